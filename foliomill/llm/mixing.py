@@ -83,6 +83,7 @@ def _pivot(held: Column, unit: Column, seed: int) -> Column:
 def round_copies(units: DataFrame, seed: int = 7, fan_in: int = FAN_IN) -> DataFrame:
     """(source, id, up) for units (source, id struct or value, p in (0, 1), w over 0): up is 1 where the fraction became 1, else 0.
 
+    A group settles its largest units first, so that the residual it leaves is likely a small one.
     A source's rows are dealt over as many groups as it needs by a hash of the id, so a source that holds most rows fills many tasks.
     """
     level, done = settle(units.select("source", "id", "p", "w")), None
@@ -99,7 +100,7 @@ def round_copies(units: DataFrame, seed: int = 7, fan_in: int = FAN_IN) -> DataF
         right = groups.withColumnRenamed("source", "of")
         dealt = level.join(F.broadcast(right) if counts.count() <= 100_000 else right, F.col("source").eqNullSafe(F.col("of"))).drop("of")
         dealt = dealt.withColumn("g", F.pmod(F.xxhash64("id", F.lit(seed + turn)), F.col("groups")))
-        packed = dealt.groupBy("source", "g").agg(F.array_sort(F.collect_list(F.struct(F.xxhash64("id", F.lit(seed)).alias("o"), "id", "p", "w"))).alias("u"))
+        packed = dealt.groupBy("source", "g").agg(F.array_sort(F.collect_list(F.struct((-F.col("w")).alias("o"), F.xxhash64("id", F.lit(seed)).alias("r"), "id", "p", "w"))).alias("u"))
         start = F.struct(F.element_at("u", 1)["id"].alias("id"), F.element_at("u", 1)["p"].alias("p"), F.element_at("u", 1)["w"].alias("w"))
         none = F.slice(F.transform("u", lambda x: F.struct(x["id"].alias("id"), F.lit(0.0).alias("p"))), 1, 0)
         s = seed + turn

@@ -32,6 +32,8 @@ MOST_LABELLED = 20_000
 BAD = "casino win bet bets free cheap pills pill spam farm ads ad track tracker click popup viagra loan loans poker slots jackpot xxx porn adult malware phish warez crack torrent bonus lottery replica".split()
 GOOD = "news blog docs wiki library school science museum research recipes garden weather travel history music forum shop books city health university journal archive code report photo sport theater river bridge".split()
 
+PAIRS = "th he in er an re on at en nd ti es or te of ed is it al ar st to nt ng se ha as ou io le ve co me de hi ri ro ic ne ea ra ce li ch ll be ma si om ur".split()
+
 
 def labelled_urls() -> list[tuple[str, bool]]:
     """The small labelled table: each word in a few host and path patterns, with neutral parts that say nothing."""
@@ -42,11 +44,10 @@ def labelled_urls() -> list[tuple[str, bool]]:
             v, end, lang, mark = words[(i * 7 + 3) % len(words)], ends[i % 3], langs[i % 4], marks[i % 4]
             out += [(f"http://{mark}{w}-{v}.example.{end}/{lang}/{i * 13 + 7}", bad), (f"https://{marks[(i + 1) % 4]}{w}.example.{ends[(i + 1) % 3]}/{lang}/{i + 20}/", bad)]
             out += [(f"https://{marks[(i + 2) % 4]}{v}{w}.example.{ends[(i + 2) % 3]}/{langs[(i + 1) % 4]}/{i * 3}.html", bad)]
-    # plain invented hosts: syllables from a rule, none of them a word above
-    syllables = [a + b for a in "bdfglmnrst" for b in "aeiou"]
-    for i in range(150):
-        host = "".join(syllables[(i * k + k * k) % len(syllables)] for k in (3, 7, 11)[: 2 + i % 2])
-        out.append((f"https://{marks[i % 4]}{host}.example.{ends[i % 3]}/{langs[(i // 3) % 4]}/{i * 7}", False))
+    # plain invented hosts: common letter pairs joined by a rule, none of them a word above
+    for i in range(600):
+        host = "".join(PAIRS[(i * k + k * k + i // len(PAIRS)) % len(PAIRS)] for k in (1, 7, 11, 13)[: 2 + i % 3])
+        out.append((f"https://{marks[i % 4]}{host}.example.{ends[i % 3]}/{langs[(i // 3) % 4]}/{i * 7 % 1000}", False))
     return out
 
 
