@@ -44,6 +44,7 @@ def labelled_urls() -> list[tuple[str, bool]]:
             v, end, lang, mark = words[(i * 7 + 3) % len(words)], ends[i % 3], langs[i % 4], marks[i % 4]
             out += [(f"http://{mark}{w}-{v}.example.{end}/{lang}/{i * 13 + 7}", bad), (f"https://{marks[(i + 1) % 4]}{w}.example.{ends[(i + 1) % 3]}/{lang}/{i + 20}/", bad)]
             out += [(f"https://{marks[(i + 2) % 4]}{v}{w}.example.{ends[(i + 2) % 3]}/{langs[(i + 1) % 4]}/{i * 3}.html", bad)]
+            out += [(f"https://{marks[(i + 3) % 4]}{w}-{LOWER[k]}.example.{ends[(i + k) % 3]}/{langs[k % 4]}/{i * k}", bad) for k in ((i * 5) % 26, (i * 3 + 11) % 26)]
     # plain invented hosts: common letter pairs joined by a rule, none of them a word above
     for i in range(600):
         host = "".join(PAIRS[(i * k + k * k + i // len(PAIRS)) % len(PAIRS)] for k in (1, 7, 11, 13)[: 2 + i % 3])
@@ -106,13 +107,15 @@ def train(labelled: Sequence[tuple[str, bool]], *, epochs: int = 60, rate: float
         raise ValueError(f"{len(labelled)} labelled URLs; at most {MOST_LABELLED} are trained on the driver")
     rows = [features(*_split(u)) for u, _ in labelled]
     y = np.array([float(b) for _, b in labelled])
+    # the rarer verdict weighs more, by the root of what would make both equal
+    share = np.where(y > 0, len(y) / max(1.0, 2 * y.sum()), len(y) / max(1.0, 2 * (1 - y).sum())) ** 0.5
     w, bias, seen, seen_b = np.zeros(1 << BITS), 0.0, np.full(1 << BITS, 1e-8), 1e-8
     of = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     at = np.concatenate([np.array(r, dtype=np.int64) for r in rows]) if len(rows) else np.zeros(0, np.int64)
     scale = 1 / np.sqrt(np.maximum(1, np.bincount(of, minlength=len(rows)))) if len(rows) else np.zeros(0)
     for _ in range(epochs if len(rows) else 0):
         z = bias + np.bincount(of, w[at], len(rows)) * scale
-        g = 1 / (1 + np.exp(-z)) - y
+        g = (1 / (1 + np.exp(-z)) - y) * share
         gw = np.bincount(at, (g * scale)[of], 1 << BITS) / len(rows) + decay * w
         seen += gw * gw
         w -= rate * gw / np.sqrt(seen) * (seen > 1e-7)
