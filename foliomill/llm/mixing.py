@@ -50,9 +50,12 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = (5, 2, 1), share
 def _ordered(sources: DataFrame) -> DataFrame:
     """sources with a rank from 0 by code point, null last; ranks come from range partitions and their counts, not from one task."""
     parts = settle(sources.repartitionByRange(16, F.col("source").asc_nulls_last()).withColumn("part", F.spark_partition_id()))
-    counts = parts.groupBy("part").count()
-    before = counts.alias("x").join(F.broadcast(counts.select(F.col("part").alias("p"), F.col("count").alias("n"))), F.col("p") < F.col("part"), "left")
-    before = before.groupBy("part").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("before"))
+    # at most as many rows as range partitions
+    bases, base = [(-1, 0)], 0
+    for r in sorted(parts.groupBy("part").count().collect()):
+        bases.append((r["part"], base))
+        base += r["count"]
+    before = sources.sparkSession.createDataFrame(bases, "part int, before long")
     within = F.row_number().over(Window.partitionBy("part").orderBy(F.col("source").asc_nulls_last())) - 1
     return parts.withColumn("within", within).join(F.broadcast(before), "part").select("source", "source_size", (F.col("before") + F.col("within")).alias("rank"))
 
