@@ -6,11 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 from foliomill.llm.common import settle, table
 from foliomill.llm.language import keep_identified
+from foliomill.llm.lines import without_repeated_lines
 from foliomill.llm.mixing import mixed_documents
+from foliomill.llm.near_dups import one_of_each_group
 from foliomill.llm.packing import packed_sequences
 
 STAGES = [
     ("language ID", keep_identified),
+    ("line dedup", without_repeated_lines),
+    ("MinHash near-dedup", one_of_each_group),
     ("mixing", mixed_documents),
     ("packing", packed_sequences),
 ]
