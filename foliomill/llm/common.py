@@ -60,6 +60,12 @@ def own(df: DataFrame, name: str) -> str:
     return name
 
 
+def aside(right: DataFrame, left: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """right with its columns renamed so that none clashes with one of left, and the new names."""
+    names = {c: own(left, f"other_{c}") for c in right.columns}
+    return right.withColumnsRenamed(names), names
+
+
 def with_fields(schema: StructType, fields: dict[str, str]) -> StructType:
     """schema with more fields; their types are given as SQL has them."""
     return StructType([*schema.fields, *[StructField(c, StructType.fromDDL(f"x {kind}")["x"].dataType) for c, kind in fields.items()]])

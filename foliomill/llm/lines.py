@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from foliomill.llm.common import n_words, own, settle, table
+from foliomill.llm.common import aside, n_words, own, settle, table
 
 MIN_WORDS, SURE_WORDS = 20, 40
 
@@ -31,7 +31,7 @@ def _reach(counts: Column, words: int) -> Column:
 
 def line_table(docs: DataFrame, text: str = "text") -> DataFrame:
     """(d, t, k, pos, h, c): the lines with words of each document (d, t), numbered by k, with their hash and word count."""
-    rows = docs.select(F.col("doc_id").alias("d"), F.xxhash64(text).alias("t"), F.posexplode(F.split(text, "\n", -1)).alias("pos", "line"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("d"), F.xxhash64(text).alias("t"), F.posexplode(F.split(text, "\n", -1)).alias("pos", "line"))
     rows = rows.select("d", "t", "pos", F.xxhash64(F.trim(F.regexp_replace("line", r"^[\x09-\x0D\x20]+|[\x09-\x0D\x20]+$", ""))).alias("h"), n_words(F.col("line")).alias("c")).filter("c > 0")
     # partial distinct first: rows that repeat are one document
     rows = rows.distinct()
@@ -95,17 +95,18 @@ def dedup_lines(docs: DataFrame, text: str = "text", *, min_words: int = MIN_WOR
         return F.struct(F.greatest(a["next"], x["p1"] + 1).alias("next"), grown.alias("cut"))
 
     cut = F.filter(F.aggregate("cuts", start, merge)["cut"], lambda c: c["length"] > 0)
-    cuts = settle(cuts.select(F.col("d").alias("d2"), F.col("t").alias("t2"), cut.alias("cut2")))
-    hashed = own(docs, "text_hash")
-    out = docs.withColumn(hashed, F.xxhash64(text)).join(cuts, F.col("doc_id").eqNullSafe(F.col("d2")) & (F.col(hashed) == F.col("t2")), "left")
+    cuts, x = aside(settle(cuts.select("d", "t", cut.alias("cut"))), docs)
+    hashed, cut = own(docs, "this_hash"), F.col(x["cut"])
+    # a merge join at every size: cuts grow with the documents
+    out = docs.withColumn(hashed, F.xxhash64(text)).join(cuts, F.col("doc_id").eqNullSafe(F.col(x["d"])) & (F.col(hashed) == F.col(x["t"])), "left")
     pieces = own(docs, "pieces")
-    out = out.withColumn(pieces, F.when(F.col("cut2").isNotNull(), F.split(text, "\n", -1)))
-    ends = F.concat(F.array(F.lit(0)), F.transform("cut2", lambda c: c["start"] + c["length"]))
-    starts = F.concat(F.transform("cut2", lambda c: c["start"]), F.array(F.size(pieces)))
+    out = out.withColumn(pieces, F.when(cut.isNotNull(), F.split(text, "\n", -1)))
+    ends = F.concat(F.array(F.lit(0)), F.transform(cut, lambda c: c["start"] + c["length"]))
+    starts = F.concat(F.transform(cut, lambda c: c["start"]), F.array(F.size(pieces)))
     kept = F.zip_with(ends, starts, lambda a, b: F.slice(F.col(pieces), a + 1, b - a))
-    said = F.when(F.col("cut2").isNull(), F.col(text)).otherwise(F.array_join(F.flatten(kept), "\n"))
+    said = F.when(cut.isNull(), F.col(text)).otherwise(F.array_join(F.flatten(kept), "\n"))
     none = F.expr("cast(array() as array<struct<start:int,length:int>>)")
-    return out.withColumns({text: said, "removed": F.coalesce(F.col("cut2"), none)}).select(*docs.columns, "removed")
+    return out.withColumns({text: said, "removed": F.coalesce(cut, none)}).select(*docs.columns, "removed")
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

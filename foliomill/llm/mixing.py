@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from foliomill.llm.common import n_words, own, settle, table, unsettle
+from foliomill.llm.common import aside, n_words, own, settle, table
 
 #: Units settled one after the other in a group of the reduction tree.
 FAN_IN = 64
@@ -167,13 +167,14 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mixed_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: each document as often as the mix takes it, with all its columns."""
-    mixed = mix(docs).select(F.col("doc_id").alias("d"), F.col("row_hash").alias("h"), "copies", "n_rows").filter("copies > 0")
-    h, n = own(docs, "row_hash"), own(docs, "copy")
+    mixed = mix(docs).select("doc_id", "row_hash", "copies", "n_rows").filter("copies > 0")
+    mixed, x = aside(mixed, docs)
+    h = own(docs, "this_hash")
     rows = docs.withColumn(h, F.xxhash64(*[F.col(c) for c in docs.columns]))
-    on = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col(h) == F.col("h"))
-    once = rows.join(mixed.filter("n_rows = 1"), on)
+    on = F.col("doc_id").eqNullSafe(F.col(x["doc_id"])) & (F.col(h) == F.col(x["row_hash"]))
+    once = rows.join(mixed.filter(F.col(x["n_rows"]) == 1), on)
     # rows that occur more than once are gathered with partial sums, as they are the same in all columns
-    again = rows.join(mixed.filter("n_rows > 1"), on)
-    again = again.groupBy("d", "h").agg(*[F.first(c).alias(c) for c in docs.columns], F.first("copies").alias("copies"))
-    both = once.select(*docs.columns, "copies").unionByName(again.select(*docs.columns, "copies"))
-    return both.withColumn(n, F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*docs.columns)
+    again = rows.join(mixed.filter(F.col(x["n_rows"]) > 1), on)
+    again = again.groupBy(x["doc_id"], x["row_hash"]).agg(*[F.first(c).alias(c) for c in docs.columns], F.first(x["copies"]).alias(x["copies"]))
+    both = once.select(*docs.columns, x["copies"]).unionByName(again.select(*docs.columns, x["copies"]))
+    return both.withColumn(h, F.explode(F.sequence(F.lit(1).cast("long"), F.col(x["copies"])))).select(*docs.columns)

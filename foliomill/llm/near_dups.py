@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliomill.llm.common import components, own, settle, table
+from foliomill.llm.common import aside, components, own, settle, table
 
 WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 36, 7
@@ -296,11 +296,12 @@ def op4_minhash_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: one document of each cluster stays."""
-    found = near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("d2"), F.col("c").alias("c2"), "n_rows")
-    c = own(docs, "text_hash")
+    found = near_duplicates(docs.select("doc_id", "text")).filter("kept").select("doc_id", "c", "n_rows")
+    found, x = aside(found, docs)
+    c = own(docs, "this_hash")
     rows = docs.withColumn(c, F.when(F.col("text").isNotNull(), F.xxhash64("text")))
-    on = F.col("doc_id").eqNullSafe(F.col("d2")) & F.col(c).eqNullSafe(F.col("c2"))
-    once = rows.join(found.filter("n_rows = 1"), on, "left_semi").select(*docs.columns)
-    again = rows.join(found.filter("n_rows > 1"), on, "left_semi")
-    again = again.groupBy("doc_id", c).agg(*[F.first(x).alias(x) for x in docs.columns if x != "doc_id"]).select(*docs.columns)
+    on = F.col("doc_id").eqNullSafe(F.col(x["doc_id"])) & F.col(c).eqNullSafe(F.col(x["c"]))
+    once = rows.join(found.filter(F.col(x["n_rows"]) == 1), on, "left_semi").select(*docs.columns)
+    again = rows.join(found.filter(F.col(x["n_rows"]) > 1), on, "left_semi")
+    again = again.groupBy("doc_id", c).agg(*[F.first(y).alias(y) for y in docs.columns if y != "doc_id"]).select(*docs.columns)
     return once.unionByName(again)
