@@ -29,7 +29,7 @@ SMOOTH = 0.1
 #: A text's evidence counts as that of so many words at most, which keeps scores off 1 for mixed texts.
 EVIDENCE = 24
 #: Unseen words whose row a Python worker keeps.
-REMEMBERED = 400_000
+REMEMBERED = 100_000
 
 
 @dataclass
@@ -92,40 +92,36 @@ class Scorer:
     """Scores texts; remembers rows of unseen words, a bounded number of them."""
 
     def __init__(self, model: LanguageModel):
-        self.model = model
+        self.model, self.at = model, {}
+        known = len(model.words)
+        self.rows = np.empty((known + REMEMBERED, len(model.languages)))
+        self.rows[:known] = model.rows
         self.reset()
 
     def reset(self) -> None:
-        self.at = dict(self.model.words)
-        self.rows = self.model.rows
-        self.new: list[np.ndarray] = []
+        self.at, self.next = {}, len(self.model.words)
 
     def indices(self, words: list[str]) -> list[int]:
+        at, known = self.at, self.model.words
         try:
-            return [self.at[w] for w in words]
+            return [known[w] if w in known else at[w] for w in words]
         except KeyError:
-            for w in words:
-                if w not in self.at:
-                    self.at[w] = len(self.rows) + len(self.new)
-                    self.new.append(self.model.unseen(w))
-            return [self.at[w] for w in words]
+            for w in {w for w in words if w not in known and w not in at}:
+                if self.next == len(self.rows):
+                    self.rows = np.concatenate([self.rows, np.empty((REMEMBERED, self.rows.shape[1]))])  # one text's words are kept together
+                at[w] = self.next
+                self.rows[self.next] = self.model.unseen(w)
+                self.next += 1
+            return [known[w] if w in known else at[w] for w in words]
 
     def score(self, text: str | None) -> tuple[str, float]:
         words = LETTERS.findall(unicodedata.normalize("NFC", text).lower()) if text else []
         if not words or not self.model.languages:
             return UNKNOWN, 0.0
-        if len(self.at) > len(self.model.words) + REMEMBERED:
+        if self.next - len(self.model.words) > REMEMBERED - 20_000:
             self.reset()
         ids = self.indices(words)
-        if self.new and (len(self.new) > 256 or max(ids) >= len(self.rows)):
-            self.rows = np.concatenate([self.rows, np.array(self.new)]) if len(self.new) > 4096 else self.rows
-            if len(self.new) > 4096:
-                self.new = []
-        base, total = len(self.rows), np.zeros(len(self.model.languages))
-        ids_ = np.array(ids)
-        total += self.rows[ids_[ids_ < base]].sum(0)
-        for i in ids_[ids_ >= base]:
-            total += self.new[i - base]
+        total = self.rows[ids].sum(0)
         mean = total / len(ids) * min(len(ids), EVIDENCE)
         p = np.exp(mean - mean.max())
         p /= p.sum()
