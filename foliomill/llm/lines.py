@@ -98,7 +98,7 @@ def dedup_lines(docs: DataFrame, text: str = "text", *, min_words: int = MIN_WOR
     cuts, x = aside(settle(cuts.select("d", "t", cut.alias("cut"))), docs)
     hashed, cut = own(docs, "this_hash"), F.col(x["cut"])
     # a merge join at every size: cuts grow with the documents
-    out = docs.withColumn(hashed, F.xxhash64(text)).join(cuts, F.col("doc_id").eqNullSafe(F.col(x["d"])) & (F.col(hashed) == F.col(x["t"])), "left")
+    out = docs.withColumn(hashed, F.xxhash64(text)).join(cuts.hint("merge"), F.col("doc_id").eqNullSafe(F.col(x["d"])) & (F.col(hashed) == F.col(x["t"])), "left")
     pieces = own(docs, "pieces")
     out = out.withColumn(pieces, F.when(cut.isNotNull(), F.split(text, "\n", -1)))
     ends = F.concat(F.array(F.lit(0)), F.transform(cut, lambda c: c["start"] + c["length"]))
