@@ -89,25 +89,35 @@ def components(edges: DataFrame) -> DataFrame:
     Self-loops give a component of one node; null ends are dropped; no edges give no rows.
     """
     edges = edges.select(F.col("a").cast("long"), F.col("b").cast("long")).dropna()
-    nodes = None
-    now = settle(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    nodes = now
+    nodes = now = settle(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    before = None
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = large.unionByName(least.select("a", F.col("m").alias("b"))).filter("a > b").distinct()
-        large = settle(large)
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
         new = settle(small.filter("a > b").distinct())
-        same = new.count() == now.filter("a > b").count() and new.join(now, ["a", "b"], "left_anti").isEmpty()
-        unsettle(large)
+        # the edges are the same as before when their number and two sums of hashes are
+        state = new.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.sum(F.xxhash64("b", "a", F.lit(1)).cast("decimal(38,0)"))).first()
         if now is not nodes:
             unsettle(now)
         now = new
-        if same:
+        if state == before:
             break
+        before = state
     every = nodes.select(F.col("a").alias("node")).unionByName(nodes.select(F.col("b").alias("node"))).distinct()
     root = now.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component"))
     return settle(every.join(root, "node", "left").select("node", F.coalesce("component", "node").alias("component")))
+
+
+def joined_components(parts: DataFrame, edges: DataFrame) -> DataFrame:
+    """parts (node, component) after more edges (a, b): only the components that these join are labelled anew."""
+    of = parts.select(F.col("node"), F.col("component").alias("c"))
+    ends = edges.join(of.withColumnRenamed("node", "a"), "a", "left").withColumn("x", F.coalesce("c", "a")).drop("c")
+    ends = settle(ends.join(of.withColumnRenamed("node", "b"), "b", "left").select("a", "b", "x", F.coalesce("c", "b").alias("y")))
+    root = components(ends.select(F.col("x").alias("a"), F.col("y").alias("b"))).select(F.col("node").alias("component"), F.col("component").alias("root"))
+    fresh = ends.select(F.col("a").alias("node")).unionByName(ends.select(F.col("b").alias("node"))).distinct().join(parts, "node", "left_anti")
+    every = parts.unionByName(fresh.withColumn("component", F.col("node")))
+    return settle(every.join(root, "component", "left").select("node", F.coalesce("root", "component").alias("component")))

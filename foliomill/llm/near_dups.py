@@ -7,8 +7,9 @@ its darts. Each dart hits one of K coordinates; the earliest dart of a coordinat
 probability of the weighted Jaccard similarity. BANDS keys of ROWS coordinates each deal documents into buckets; a pair at 0.8 misses
 all of them with a probability of 2e-4.
 
-Equal texts are one class. In each bucket all are compared with a hub first; then, where a bucket still holds several components, all
-pairs of different components in small buckets, and further hubs, one for each component, in large ones. Pairs are compared exactly, by
+Equal texts are one class. In each bucket all are compared with a hub first. Where a bucket then still holds several components,
+their pairs are compared in full if they are at most FAIR for each member, and else those of a few members drawn by a hash, twice as
+many in every further round, until one component is left, the pairs are few, or all were compared. Pairs are compared exactly, by
 their shingles (as 32-bit hashes). So a group of copies costs about as many comparisons as it has members.
 
 Defined results: null texts and such without words link with nothing and are kept; texts of one to four words are one shingle;
@@ -24,13 +25,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliomill.llm.common import aside, components, own, settle, table
+from foliomill.llm.common import aside, components, joined_components, own, settle, table
 
 WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 36, 7
 K = BANDS * ROWS
-#: Buckets up to this size are compared pair by pair where components differ.
-SMALL = 32
+#: Buckets with up to so many pairs of different components for each member are compared in full.
+FAIR = 64
+#: Members that all others of a bucket are compared with in the first round after the hub's.
+HUBS = 4
 CHUNK = 2 << 20
 
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -207,16 +210,23 @@ def _linked(pairs: DataFrame, elements: DataFrame, threshold: float) -> DataFram
     """(a, b, j) of pairs (a, b, wa, wb) with a similarity of at least threshold."""
     left, right = elements.select(F.col("c").alias("a"), F.col("e").alias("ea")), elements.select(F.col("c").alias("b"), F.col("e").alias("eb"))
     both = F.size(F.array_intersect("ea", "eb"))
-    rows = pairs.join(left, "a").join(right, "b").select("a", "b", (both / (F.col("wa") + F.col("wb") - both)).alias("j"))
+    rows = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", (both / (F.col("wa") + F.col("wb") - both)).alias("j"))
     return rows.filter(F.col("j") >= threshold)
 
 
+def _ordered(pairs: DataFrame) -> DataFrame:
+    """(a, b, wa, wb) with a < b."""
+    swap = F.col("a") > F.col("b")
+    ends = [F.when(swap, F.col(y)).otherwise(F.col(x)).alias(x) for x, y in (("a", "b"), ("b", "a"), ("wa", "wb"), ("wb", "wa"))]
+    return pairs.select(*ends)
+
+
 def _near(a: str, b: str, threshold: float):
     """Whether weights a and b allow the threshold at all."""
     return F.least(a, b) >= F.greatest(a, b) * threshold
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", *, threshold: float = THRESHOLD, small: int = SMALL) -> DataFrame:
+def near_duplicates(docs: DataFrame, text: str = "text", *, threshold: float = THRESHOLD, fair: int = FAIR) -> DataFrame:
     """(doc_id, c, n_rows, class_id, cluster_id, kept): one row for each distinct doc_id and text, c being the text's hash (null for null).
 
     class_id is the least doc_id with the same text, cluster_id the least of the component; one row of each cluster is kept.
@@ -230,52 +240,35 @@ def near_duplicates(docs: DataFrame, text: str = "text", *, threshold: float = T
     members = settle(dealt.join(hubs, "key").select("key", "c", "w", "n", F.col("hub.c").alias("hub"), F.col("hub.w").alias("hub_w")))
     wanted = members.select("c").distinct().withColumnRenamed("c", "c2")
     some = signed.groupBy("c").agg(F.min(F.struct(F.col("d").isNull().alias("z"), "d")).alias("f")).join(wanted, F.col("c") == F.col("c2")).select(F.col("c").alias("c2"), F.col("f.d").alias("d2"))
-    sources = keyed.join(some, (F.col("c") == F.col("c2")) & F.col("d").eqNullSafe(F.col("d2"))).select("c", "text")
+    sources = keyed.join(some.hint("merge"), (F.col("c") == F.col("c2")) & F.col("d").eqNullSafe(F.col("d2"))).select("c", "text")
     elements = settle(_shingled(sources).groupBy("c").agg(F.first("e").alias("e")))
 
     pairs = members.filter((F.col("c") != F.col("hub")) & _near("w", "hub_w", threshold))
-    pairs = pairs.select(F.col("hub").alias("a"), F.col("c").alias("b"), F.col("hub_w").alias("wa"), F.col("w").alias("wb")).distinct()
-    tested = settle(pairs)
-    edges = settle(_linked(tested, elements, threshold).select("a", "b"))
-    parts = components(edges)
-
-    def placed() -> DataFrame:
-        """members with their component, of buckets that hold several."""
-        rows = members.join(parts.withColumnRenamed("node", "c"), "c", "left").withColumn("component", F.coalesce("component", "c"))
-        mixed = rows.groupBy("key").agg((F.min("component") != F.max("component")).alias("m")).filter("m").select("key")
-        return rows.join(mixed, "key", "left_semi").select("key", "c", "w", "n", "hub", "component")
-
-    def ordered(pairs: DataFrame) -> DataFrame:
-        swap = F.col("a") > F.col("b")
-        return pairs.select(F.when(swap, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("b"),
-                            F.when(swap, F.col("wb")).otherwise(F.col("wa")).alias("wa"), F.when(swap, F.col("wa")).otherwise(F.col("wb")).alias("wb")).distinct()
-
-    now = settle(placed())
-    few = now.filter(F.col("n") <= small).select("key", "c", "w", "component")
-    other = few.select("key", F.col("c").alias("b"), F.col("w").alias("wb"), F.col("component").alias("component_b"))
-    more = few.withColumnsRenamed({"c": "a", "w": "wa"}).join(other, "key").filter((F.col("a") < F.col("b")) & (F.col("component") != F.col("component_b")) & _near("wa", "wb", threshold))
-    more = more.select("a", "b", "wa", "wb").distinct().join(ordered(tested).select("a", "b"), ["a", "b"], "left_anti")
-    fresh = settle(_linked(settle(more), elements, threshold).select("a", "b"))
-    if not fresh.isEmpty():
-        edges = settle(edges.unionByName(fresh))
-        parts = components(edges)
-    # large buckets: one hub after the other, each of a component that had none there yet
-    large = now.filter(F.col("n") > small).select("key", "c", "w", "hub")
-    used = settle(large.select("key", F.col("hub").alias("c")).distinct())
-    while not large.isEmpty():
-        rows = large.join(parts.withColumnRenamed("node", "c"), "c", "left").withColumn("component", F.coalesce("component", "c"))
-        done = used.join(parts.withColumnRenamed("node", "c"), "c", "left").select("key", F.coalesce("component", "c").alias("component")).distinct()
-        rest = rows.join(done, ["key", "component"], "left_anti")
-        hub = settle(rest.groupBy("key").agg(F.min(F.struct(F.xxhash64("c").alias("p"), "c", "w", "component")).alias("h")).select("key", F.col("h.c").alias("a"), F.col("h.w").alias("wa"), F.col("h.component").alias("component_a")))
-        if hub.isEmpty():
+    pairs = settle(_ordered(pairs.select(F.col("hub").alias("a"), F.col("c").alias("b"), F.col("hub_w").alias("wa"), F.col("w").alias("wb"))).distinct())
+    tested = pairs.select("a", "b")
+    parts = components(_linked(pairs, elements, threshold).select("a", "b"))
+
+    live, hubs = members.select("key", "c", "w", "n"), HUBS
+    while True:
+        rows = live.join(parts.withColumnRenamed("node", "c"), "c", "left").withColumn("component", F.coalesce("component", "c"))
+        # pairs of different components in each bucket: (n^2 - sum of squares) / 2
+        cross = rows.groupBy("key", "component").agg(F.count("*").cast("double").alias("k")).groupBy("key").agg(((F.sum("k") ** 2 - F.sum(F.col("k") ** 2)) / 2).alias("pairs")).filter("pairs > 0")
+        few = (F.col("pairs") <= fair * F.col("n")) | (F.col("n") <= hubs)
+        live = settle(rows.join(cross, "key").withColumn("whole", few))
+        if live.isEmpty():
             break
-        pairs = rows.join(hub, "key").filter((F.col("component") != F.col("component_a")) & _near("w", "wa", threshold))
-        pairs = settle(pairs.select("a", F.col("c").alias("b"), "wa", F.col("w").alias("wb")).distinct())
+        # all such pairs where they are few; else those of some members, drawn by a hash, twice as many in each round
+        drawn = F.pmod(F.xxhash64("c", F.lit(hubs)), F.lit(1 << 40)) / F.lit(float(1 << 40))  # the same documents in all buckets
+        led = F.col("whole") | (drawn * F.col("n") < hubs)
+        one = live.filter(led).select("key", F.col("c").alias("a"), F.col("w").alias("wa"), F.col("component").alias("component_a"))
+        differ = (F.col("component") != F.col("component_a")) & _near("w", "wa", threshold) & (~F.col("whole") | (F.col("a") < F.col("c")))
+        pairs = _ordered(live.join(one, "key").filter(differ).select("a", F.col("c").alias("b"), "wa", F.col("w").alias("wb")))
+        pairs = settle(pairs.distinct().join(tested, ["a", "b"], "left_anti"))
+        tested = tested.unionByName(pairs.select("a", "b"))
         fresh = settle(_linked(pairs, elements, threshold).select("a", "b"))
         if not fresh.isEmpty():
-            edges = settle(edges.unionByName(fresh))
-            parts = components(edges)
-        used = settle(used.unionByName(hub.select("key", F.col("a").alias("c"))))
+            parts = joined_components(parts, fresh)
+        live, hubs = live.filter("not whole").select("key", "c", "w", "n"), hubs * 2
 
     of = every.filter("c is not null").groupBy("c").agg(F.min("d").alias("class_id"))
     of = settle(of.join(parts.withColumnRenamed("node", "c"), "c", "left").withColumn("component", F.coalesce("component", "c")))
@@ -301,7 +294,7 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     c = own(docs, "this_hash")
     rows = docs.withColumn(c, F.when(F.col("text").isNotNull(), F.xxhash64("text")))
     on = F.col("doc_id").eqNullSafe(F.col(x["doc_id"])) & F.col(c).eqNullSafe(F.col(x["c"]))
-    once = rows.join(found.filter(F.col(x["n_rows"]) == 1), on, "left_semi").select(*docs.columns)
-    again = rows.join(found.filter(F.col(x["n_rows"]) > 1), on, "left_semi")
+    once = rows.join(found.filter(F.col(x["n_rows"]) == 1).hint("merge"), on, "left_semi").select(*docs.columns)
+    again = rows.join(found.filter(F.col(x["n_rows"]) > 1).hint("merge"), on, "left_semi")
     again = again.groupBy("doc_id", c).agg(*[F.first(y).alias(y) for y in docs.columns if y != "doc_id"]).select(*docs.columns)
     return once.unionByName(again)

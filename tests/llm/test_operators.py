@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from foliomill.llm import language, lines, lm, mixing, near_dups, packing, secret_scan, transport, urls, vectors
-from foliomill.llm.common import components, n_words
+from foliomill.llm.common import components, joined_components, n_words
 from foliomill.llm.queries import QUERIES
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -292,20 +292,20 @@ def test_near_duplicates_match_brute_force(spark, sf, rows):
     assert all(r["kept"] == (i == want[i]) for i, r in got.items())
 
 
-@pytest.mark.parametrize("small", [32, 2])
-def test_near_duplicates_in_a_large_group(spark, small):
+@pytest.mark.parametrize("fair", [near_dups.FAIR, 0])
+def test_near_duplicates_in_a_large_group(spark, fair):
     rng = np.random.default_rng(3)
     base = [f"w{x}" for x in rng.integers(0, 5000, 120)]
     texts = {}
-    for i in range(150):
+    for i in range(60):
         t = list(base)
         for x in rng.integers(0, 120, 3):
             t[x] = f"edit{i}_{x}"
         texts[i] = " ".join(t)
     shared = " ".join(f"p{x}" for x in range(60))
-    texts |= {1000 + i: " ".join(f"u{i}_{x}" for x in range(60)) + " " + shared for i in range(60)}
+    texts |= {1000 + i: " ".join(f"u{i}_{x}" for x in range(60)) + " " + shared for i in range(20)}
     table = spark.createDataFrame([(i, t) for i, t in texts.items()], "doc_id long, text string")
-    got = {r["doc_id"]: r["cluster_id"] for r in near_dups.near_duplicates(table, small=small).collect()}
+    got = {r["doc_id"]: r["cluster_id"] for r in near_dups.near_duplicates(table, fair=fair).collect()}
     assert got == clusters(texts)
 
 
@@ -375,7 +375,7 @@ def test_packing_round_trip(spark, sf, rows, encode):
 def test_word_ids_equal_the_tokenizer(encode):
     ids = packing.WordIds(packing.vocabulary())
     for text in ["", "Hello, World. It's 12.5% <|endoftext|> <|ENDOFTEXT|>", "a.b.. c?! 've", "\u00c9t\u00c9. e\u0301. \u0130I \u03a3\u03a3. x\u00a0y\u2003z\x1cq\x85w", "A\tB\r\nC\n\n", "ab. ab ab, AB. \U0001f600.", "\u65e5\u672c.", LONG[:5000]]:
-        assert np.frombuffer(ids.ids(text), "<u2").tolist() == encode(text)[:-1].tolist(), text
+        assert np.frombuffer(ids.many([text, text])[1], "<u2").tolist() == encode(text)[:-1].tolist(), text
 
 
 def test_packing_odd_rows(odd, clashing, encode):
@@ -519,6 +519,9 @@ def test_components(spark):
         for a, b in pairs:
             up[a] = up[b] = min(up[a], up[b])
     assert got == up
+    half = len(pairs) // 2
+    two = joined_components(components(spark.createDataFrame(pairs[:half], "a long, b long")), spark.createDataFrame(pairs[half:], "a long, b long"))
+    assert {r["node"]: r["component"] for r in two.collect()} == up
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
