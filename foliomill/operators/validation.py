@@ -488,19 +488,23 @@ def _shaped(bad: DataFrame) -> DataFrame:
     return bad.select(*[(F.col(c) if c in ("package", "path", "line", "code", "message", "check") else F.lit("error") if c == "severity" else F.lit(None)).cast(t).alias(c) for c, t in COLUMNS.items()])
 
 
-def findings(p: Package, *, name_prefix: str | None = None, evidence: DataFrame | None = None, has_xsd: bool = False) -> DataFrame:
-    """All findings. Without a plug-in for XSD schemas that check fails with `jats_bits_engine_error`, as it must (V3)."""
+def finding_groups(p: Package, *, name_prefix: str | None = None, evidence: DataFrame | None = None, has_xsd: bool = False) -> list[DataFrame]:
+    """The findings in groups, each a plan of its own. Without a plug-in for XSD schemas that check fails with `jats_bits_engine_error`, as it must (V3)."""
     groups = [check_files(p), check_text(p), check_manifest(p, name_prefix), check_checksums(p), check_xml(p), check_pages(p), check_elements(p), check_omissions(p), check_annotations(p), check_coverage(p, evidence)]
-    # each group is planned and kept by itself; one plan of a hundred branches would be planned anew at every stage
-    parts = [_shaped(p.bad), *[union(g[i : i + 6]).cache() for g in groups for i in range(0, len(g), 6)]]
-    rules = profile.violations(p.nodes.filter("error IS NULL")).cache()
+    parts = [_shaped(p.bad), *[union(g) for g in groups]]
+    rules = profile.violations(p.nodes.filter("error IS NULL"))
     code = F.when(F.col("severity") == "warning", "p2h_profile_warning").otherwise("p2h_profile_violation")
     made = {"package": F.col("package"), "code": code, "check": F.lit("p2h_profile"), "severity": F.col("severity"), "path": F.col("path"), "line": F.col("line"), "element_id": F.col("id"), "message": F.col("rule")}
     parts.append(rules.select(*[made.get(c, F.lit(None)).cast(t).alias(c) for c, t in COLUMNS.items()]))
     if not has_xsd:
         parts.append(say(p.nodes.filter("error IS NULL AND depth = 0"), "jats_bits_engine_error", "jats_bits_schema", "no schema engine", path="path"))
     safe = F.when(F.col("path").isNull() | S.is_safe_path(F.col("path")), F.col("path")).otherwise(F.concat(F.lit("x-invalid-path/"), F.sha2("path", 256)))
-    return union(parts).withColumn("path", safe)
+    return [x.withColumn("path", safe) for x in parts]
+
+
+def findings(p: Package, **options) -> DataFrame:
+    """All findings (options as in finding_groups). Each group is kept by itself: one plan of a hundred branches would be planned anew at every stage."""
+    return union([g.cache() for g in finding_groups(p, **options)])
 
 
 OPERATIONAL = ("jats_bits_engine_error", "schematron_engine_error", "schema_engine_error", "formula_parser_unavailable", "formula_parser_engine_error", "package_not_directory", "validator_operational_error")
