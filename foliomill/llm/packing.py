@@ -18,14 +18,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliomill.llm.common import own, settle, table, with_fields
+from foliomill.llm.common import aside, own, settle, table, with_fields
 
 WINDOW = 2048
 END_ID = 1
-#: Words whose ids a Python worker keeps.
-REMEMBERED = 400_000
+#: Words whose ids a Python worker keeps in each of two generations, from task to task.
+REMEMBERED = 450_000
 #: Rows and bytes of an Arrow batch that goes back to Spark.
 BATCH_BYTES = 4 << 20
+#: Characters that are tokenised at a time, in whole texts.
+BATCH_CHARS = 4 << 20
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
@@ -46,35 +48,69 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(1 << 16, bool)
+        self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _encode(self, words: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u2").tobytes() for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
+        return [np.array(e.ids, "<u2").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _encode_words(self, words: list[str]) -> list[bytes]:
+        """Words of letters only are encoded many in one text, and parted where a token ends a word; others one by one."""
+        letters, out = [w for w in words if w.isalpha()], {}
+        for i in range(0, len(letters), 2000):
+            some = letters[i : i + 2000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u2")
+            raw, ends = ids.tobytes(), [0, *(2 * np.flatnonzero(self.ends_word[ids]) + 2).tolist()]
+            if len(ends) == len(some) + 1:
+                out.update(zip(some, [raw[x:y] for x, y in zip(ends, ends[1:], strict=False)], strict=True))
+        rest = [w for w in words if w not in out]
+        out.update(zip(rest, self._encode(rest), strict=True))
+        return [out[w] for w in words]
 
     def _learn(self, words: set[str]) -> None:
-        known, marks = self.known, ".,;:!?"
-        plain, left = {}, []
-        for w in words:
-            base = w.lower() if w.isascii() and "<|" not in w else w
-            tail = base[-1:] if len(base) > 1 and base[-1] in marks and base[-2].isalpha() else ""
-            plain[w] = (base[: len(base) - len(tail)], tail)
-        left = [p for p in {x for pair in plain.values() for x in pair} if p not in known]
-        known.update(zip(left, self._encode(left), strict=True))
-        for w, (base, tail) in plain.items():
+        """Have the ids of all these words in self.known."""
+        if len(self.known) > REMEMBERED:
+            self.older, self.known = self.known, {}
+        known, older, marks, split = self.known, self.older, ".,;:!?", []
+        parts: set[str] = set()
+        for w in words.difference(known):
+            if w in older:
+                known[w] = older[w]
+                continue
+            tail = w[-1:] if len(w) > 1 and w[-1] in marks and w[-2].isalpha() else ""
+            base = w[:-1] if tail else w
+            if tail:
+                split.append((w, base, tail))
+                parts.add(tail)
+            parts.add(base)
+        left = parts.difference(known)
+        for w in [x for x in left if x in older]:
+            known[w] = older[w]
+            left.discard(w)
+        new = list(left)
+        known.update(zip(new, self._encode_words(new), strict=True))
+        for w, base, tail in split:
             known[w] = known[base] + known[tail]
 
-    def ids(self, text: str) -> bytes:
-        if "<|" in text:
-            return self._encode([text])[0]
-        words = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+    def many(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text."""
+        parts = [None if "<|" in t else (t.lower() if t.isascii() else t).replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
+        self._learn(set().union(*[p for p in parts if p is not None]))
         known = self.known
-        try:
-            return b"".join([known[w] for w in words])
-        except KeyError:
-            if len(known) > REMEMBERED:
-                known.clear()
-            self._learn({w for w in words if w not in known})
-            return b"".join([known[w] for w in words])
+        return [self._encode([t])[0] if p is None else b"".join([known[w] for w in p]) for t, p in zip(texts, parts, strict=True)]
+
+
+_of_worker: dict[str, WordIds] = {}
+
+
+def worker_ids(path: str) -> WordIds:
+    """One for each Python worker, which Spark uses for many tasks."""
+    if path not in _of_worker:
+        _of_worker[path] = WordIds(path)
+    return _of_worker[path]
 
 
 def tokenise(docs: DataFrame, text: str = "text", *, path: str | None = None) -> DataFrame:
@@ -86,17 +122,18 @@ def tokenise(docs: DataFrame, text: str = "text", *, path: str | None = None) ->
     end = np.array([END_ID], "<u2").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, part, start = WordIds(path), TaskContext.get().partitionId(), 0
+        words, part, start = worker_ids(path), TaskContext.get().partitionId(), 0
         for batch in batches:
             texts, rest = batch.column(batch.schema.get_field_index(text)), batch.select(keep)
             i = 0
             while i < batch.num_rows:
-                ids, size = [], 0
+                some, size = [], 0
                 first = i
-                while i < batch.num_rows and size < BATCH_BYTES:
-                    ids.append(words.ids(texts[i].as_py() or "") + end)
-                    size += len(ids[-1])
+                while i < batch.num_rows and size < BATCH_CHARS:
+                    some.append(texts[i].as_py() or "")
+                    size += len(some[-1])
                     i += 1
+                ids = [x + end for x in words.many(some)]
                 n = np.array([len(x) // 2 for x in ids], np.int64)
                 ends = start + np.cumsum(n)
                 columns = [pa.array(np.full(len(ids), part, np.int32)), pa.array(ends - n), pa.array(n), pa.array(ids, pa.binary())]
@@ -124,8 +161,8 @@ def pack(docs: DataFrame, text: str = "text", *, window: int = WINDOW, path: str
         bases.append((p, base))
         base += t
     spark = docs.sparkSession
-    before = F.broadcast(spark.createDataFrame(bases or [(0, 0)], "p int, base long"))
-    placed = stored.join(before, F.col(part) == F.col("p")).withColumn("at", F.col("base") + F.col(start)).select(*keep, "at", n, ids)
+    before, x = aside(spark.createDataFrame(bases or [(0, 0)], "p int, base long"), stored)
+    placed = stored.join(F.broadcast(before), F.col(part) == F.col(x["p"])).select(*keep, (F.col(x["base"]) + F.col(start)).alias(x["base"]), n, ids)
     tail = total % window
     last, short = (total // window, 0 if tail & (tail - 1) == 0 else window - tail) if tail else (-1, 0)
     schema = with_fields(docs.select(*keep).schema, dict(zip(made, [*["long"] * 6, "binary"], strict=True)))
