@@ -5,12 +5,21 @@ A finding has the columns code, key (the violating key as text) and detail.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections import Counter
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+#: White space between tokens, as Spark's and the oracle's patterns have it.
+BLANK = " \t\n\v\f\r"
+SPACE = re.compile(f"[{BLANK}]+")
+ITEMS_A_BLOCK = 512
+
 
 def key_text(*columns: Column | str) -> Column:
     return F.concat_ws("/", *[(F.col(c) if isinstance(c, str) else c).cast("string") for c in columns])
@@ -83,6 +92,45 @@ def token_overlap(a: Column, b: Column) -> Column:
     return shared / F.greatest(F.size(a), F.lit(1))
 
 
+def overlaps(items: DataFrame, docs: DataFrame) -> DataFrame:
+    """A8 of every item (item_id, text) with the whole text of every document (doc_id, text): item_id, doc_id, overlap.
+
+    Tokens part at white space; null texts are left out. The items are few: they are held in blocks and every document passes each block.
+    """
+    found = [(r["item_id"], SPACE.split(r["text"].strip(BLANK))) for r in items.filter("text IS NOT NULL").select("item_id", "text").collect()]
+    blocks = []
+    for at in range(0, len(found), ITEMS_A_BLOCK):
+        part = found[at : at + ITEMS_A_BLOCK]
+        # the k-th copy of a token is a symbol of its own, so that a lesser count is a number of shared symbols
+        symbols: dict[str, list[int]] = {}
+        cells, size = [], 0
+        for j, (_, tokens) in enumerate(part):
+            for token, n in Counter(tokens).items():
+                have = symbols.setdefault(token, [])
+                while len(have) < n:
+                    have.append(size)
+                    size += 1
+                cells += [(e, j) for e in have[:n]]
+        table = np.zeros((size, len(part)), np.uint8)
+        table[tuple(np.array(cells).T)] = 1
+        blocks.append((np.array([i for i, _ in part], np.int64), np.array([len(t) for _, t in part], np.int32), symbols, table))
+    shared = docs.sparkSession.sparkContext.broadcast(blocks)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                have = Counter(SPACE.split(text.strip(BLANK)))
+                for ids, sizes, symbols, table in shared.value:
+                    at = [e for t in have.keys() & symbols.keys() for e in symbols[t][: have[t]]]
+                    n = table[at].sum(axis=0, dtype=np.int32)
+                    ids_of_doc = pa.array([doc_id], pa.int64()).take(pa.array(np.zeros(len(ids), np.int64)))
+                    yield pa.RecordBatch.from_arrays([pa.array(ids), ids_of_doc, pa.array(n), pa.array(sizes)], ["item_id", "doc_id", "shared", "size"])
+
+    rows = docs.filter("text IS NOT NULL").select(F.col("doc_id").cast("long"), "text")
+    made = rows.mapInArrow(run, "item_id long, doc_id long, shared int, size int")
+    return made.select("item_id", "doc_id", F.round(F.col("shared") / F.col("size"), 6).alias("overlap"))
+
+
 def text_hygiene(df: DataFrame, text: str = "text") -> DataFrame:
     """Columns has_bom, has_cr, has_odd_line_ends (U+0085, U+2028, U+2029)."""
     t = F.col(text)
