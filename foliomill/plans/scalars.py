@@ -143,9 +143,7 @@ def paragraph_blocks(spark, sf_dir):
 
 @_query(None)
 def candidate_consistency(spark, sf_dir):
-    d = _t(spark, sf_dir, "documents").filter("text IS NOT NULL").select("doc_id", F.substring("text", 1, 600).alias("candidate"), (F.col("doc_id") % 40).alias("k"))
-    b = _t(spark, sf_dir, "benchmark").filter("text IS NOT NULL").select("item_id", "text", (F.col("item_id") % 40).alias("k"))
-    return prose.consistent(b.join(d, "k"), "text", "candidate").select("item_id", "doc_id", "ratio", "comparable")
+    return prose.supported(_t(spark, sf_dir, "benchmark"), _t(spark, sf_dir, "documents"))
 
 
 LINKS = "links AS (SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS href FROM pages WHERE html IS NOT NULL)"

@@ -6,6 +6,7 @@ import pytest
 
 import __spark_entry__ as entry
 from foliomill.operators import integrity as I
+from foliomill.operators import prose
 
 
 def tokens(text):
@@ -45,3 +46,27 @@ def test_overlap_agrees_with_the_oracle_on_its_rows(spark):
     docs = spark.read.parquet(f"{sf}/documents.parquet").filter("doc_id < 400").selectExpr("doc_id", "substr(text, 1, 400) AS text")
     made = I.overlaps(spark.read.parquet(f"{sf}/benchmark.parquet"), docs).filter("doc_id % 40 = item_id % 40")
     assert {(r["item_id"], r["doc_id"]): r["overlap"] for r in made.collect()} == pytest.approx(expected, abs=1e-6)
+
+
+def test_candidates_of_all_pairs(spark, sf):
+    items = [r for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect() if r["text"] is not None]
+    docs = [r for r in spark.read.parquet(f"{sf}/documents.parquet").collect() if r["text"] is not None]
+    found = {(r["item_id"], r["doc_id"]): r["ratio"] for r in entry.queries()["candidate_consistency"](spark, sf).collect()}
+    held = {(b["item_id"], d["doc_id"]) for b in items for d in docs if prose.flat(b["text"]) in prose.flat(d["text"])}
+    assert held and held <= set(found)
+    for b in items:
+        for d in docs:
+            if len(d["text"]) < 800:  # the matcher takes long for longer ones
+                ratio, accepted = prose.comparable(b["text"], d["text"])
+                assert found.get((b["item_id"], d["doc_id"])) == (ratio if accepted else None)
+
+
+def test_close_candidates_are_kept(spark):
+    a = "the quick brown fox jumps over the lazy dog and runs home"
+    texts = [a.replace("quick", "quiet"), a.replace(" ", ""), a[:40], "z " * 900 + a, "nothing of this", " ", "Fox"]
+    items = spark.createDataFrame([(41, a)], "item_id long, text string")
+    docs = spark.createDataFrame(list(enumerate([*texts, None])), "doc_id long, text string")
+    found = {r["doc_id"]: r["ratio"] for r in prose.supported(items, docs).collect()}
+    both = {i: prose.comparable(a, t) for i, t in enumerate(texts)}
+    assert found == {i: ratio for i, (ratio, accepted) in both.items() if accepted}
+    assert {0, 3} <= set(found) and 4 not in found
