@@ -6,7 +6,8 @@ back to the characters of the text that they come from. A layer that was seen be
 
 Defined results: null text counts as empty and has no spans; spans are in code points, end exclusive; a decoded span covers
 the escapes or base64 groups that hold it, one inside compressed data the whole run; equal spans of a kind count once; data that
-would unpack to more than MOST_UNPACKED bytes (a decompression bomb) stays packed.
+would unpack to more than MOST_UNPACKED bytes (a decompression bomb) stays packed. Every decoded layer counts as text: a byte that
+is not UTF-8 is U+FFFD. Base64 is read at each of its four alignments, and across line ends as well as line by line.
 """
 
 from __future__ import annotations
@@ -41,6 +42,11 @@ ESCAPES = {
 }
 #: 22 characters hold 16 bytes, the shortest secret.
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{22,}={0,2}")
+#: Runs that line ends part, with blanks around them.
+WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:[ \t]*+(?:\r\n?|\n)[ \t]*+[A-Za-z0-9+/_-]++)++={0,2}")
+#: Where compressed data starts.
+MAGIC = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]|BZh[1-9]|\xfd7zXZ\x00|\x28\xb5\x2f\xfd")
+STRAY = re.compile("[\udc80-\udcff]")
 MOST_UNPACKED = 64 << 20
 
 Span = tuple[int, int, int]
@@ -87,12 +93,13 @@ def _unpack(data: bytes) -> bytes | None:
     return None
 
 
-def _readable(data: bytes) -> str | None:
-    try:
-        text = data.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    return text if text and text.translate({9: 32, 10: 32, 13: 32}).isprintable() else None
+def _decoded(data: bytes) -> tuple[str, np.ndarray]:
+    """Text and the bytes of each character; a byte that is not UTF-8 is one U+FFFD."""
+    text = data.decode("utf-8", "surrogateescape")
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    sizes = 1 + (codes >= 0x80).astype(np.int64) + (codes >= 0x800) + (codes >= 0x10000)
+    sizes[(codes >= 0xDC80) & (codes <= 0xDCFF)] = 1
+    return STRAY.sub("\ufffd", text), sizes
 
 
 class _Layer:
@@ -114,15 +121,18 @@ class _Layer:
 
 
 def _packed(layer: _Layer, data: bytes, start: int, stop: int) -> Iterator[_Layer]:
-    """Compressed data, again and again; what it holds at last lies at the whole run."""
-    seen = {data}
-    inner = _unpack(data)
-    while inner is not None and inner not in seen:
-        seen.add(inner)
-        text = _readable(inner)
-        if text is not None:
+    """Compressed data wherever it starts, again and again; what it holds lies at the whole run."""
+    seen, work = {data}, [data]
+    while work:
+        data = work.pop()
+        for m in MAGIC.finditer(data):
+            inner = _unpack(data[m.start() :])
+            if inner is None or inner in seen:
+                continue
+            seen.add(inner)
+            work.append(inner)
+            text = _decoded(inner)[0]
             yield layer.within(text, np.full(len(text), start), np.full(len(text), stop))
-        data, inner = inner, _unpack(inner)
 
 
 def _one_escape(name: str, run: str) -> list[tuple[int, int, str]]:
@@ -185,26 +195,23 @@ def _unescape(layer: _Layer, name: str) -> Iterator[_Layer]:
 
 
 def _base64(layer: _Layer) -> Iterator[_Layer]:
-    for m in BASE64.finditer(layer.text):
-        run = m[0].rstrip("=").replace("-", "+").replace("_", "/")
-        for skip in range(4):  # a mark of the alphabet may stand before the data
+    runs = [(m[0], np.arange(m.start(), m.end())) for m in BASE64.finditer(layer.text)]
+    for m in WRAPPED.finditer(layer.text) if "\n" in layer.text or "\r" in layer.text else ():
+        run = "".join(m[0].split())
+        if len(run.rstrip("=")) >= 22:
+            runs.append((run, np.array([i for i, c in enumerate(m[0], m.start()) if not c.isspace()])))
+    for marked, at in runs:
+        run = marked.rstrip("=").replace("-", "+").replace("_", "/")
+        for skip in range(4):  # any number of characters of the alphabet may stand before the data
             body = run[skip:]
             body = body[: len(body) - (len(body) % 4 == 1)]
             data = base64.b64decode(body + "=" * (-len(body) % 4))
-            text = _readable(data)
-            if text is not None:
-                # byte i comes from the group of four that holds it
-                sizes = np.fromiter((len(c.encode()) for c in text), np.int64, len(text))
-                last = np.cumsum(sizes)
-                first = last - sizes
-                start = m.start() + skip
-                stops = np.minimum(start + (last + 2) // 3 * 4, m.end())
-                yield layer.within(text, start + first // 3 * 4, stops)
-                break
-            found = list(_packed(layer, data, m.start(), m.end()))
-            if found:
-                yield from found
-                break
+            text, sizes = _decoded(data)
+            # byte i comes from the group of four that holds it
+            last = np.cumsum(sizes)
+            stops = at[np.minimum(skip + (last + 2) // 3 * 4, len(at)) - 1] + 1
+            yield layer.within(text, at[skip + (last - sizes) // 3 * 4], stops)
+            yield from _packed(layer, data, int(at[0]), int(at[-1]) + 1)
 
 
 def find(text: str | None) -> tuple[list[Span], list[Span]]:
