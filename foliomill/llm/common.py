@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from functools import cache
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
@@ -13,22 +17,22 @@ from pyspark.sql.types import StructField, StructType
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-_of_tests: list[str] = []
-
-
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's spark.checkpoint.dir.
-
-    Only where it is unset (tests, local mode) a folder of this machine is taken.
-    """
+    """The folder that driver and executors share: the session's spark.checkpoint.dir. It must be set: a local folder would differ from machine to machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        if not _of_tests:
-            _of_tests.append("file://" + tempfile.mkdtemp(prefix="foliomill-"))
-        found = _of_tests[0]
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir is unset: it must name a folder that the driver and all executors share")
+        found = _local_dir()
     return found
 
 
+@cache
+def _local_dir() -> str:
+    """In local mode, where driver and executors are one process, a folder of its own."""
+    return "file://" + tempfile.mkdtemp(prefix="foliomill-")
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Write df as a Parquet table to the shared folder and read it back: the lineage is cut and survives lost executors."""
     spark = df.sparkSession
@@ -48,6 +52,36 @@ def unsettle(df: DataFrame | None) -> None:
         at.getFileSystem(jsc.hadoopConfiguration()).delete(at, True)
 
 
+@cache
+def _libc():
+    try:
+        return ctypes.CDLL("libc.so.6")
+    except OSError:
+        return None
+
+
+def lean() -> None:
+    """Give freed memory back, so that idle Python workers stay small."""
+    pa.default_memory_pool().release_unused()
+    if _libc():
+        _libc().malloc_trim(0)
+
+
+def fold(root: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """root (of each node the least node that it reaches) after more edges (x, y)."""
+    root = root.copy()
+    while len(x):
+        a, b = root[x], root[y]
+        apart = a != b
+        if not apart.any():
+            break
+        x, y, a, b = x[apart], y[apart], a[apart], b[apart]
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while (root[root] != root).any():
+            root = root[root]
+    return root
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

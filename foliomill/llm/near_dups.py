@@ -7,34 +7,37 @@ its darts. Each dart hits one of K coordinates; the earliest dart of a coordinat
 probability of the weighted Jaccard similarity. BANDS keys of ROWS coordinates each deal documents into buckets; a pair at 0.8 misses
 all of them with a probability of 2e-4.
 
-Equal texts are one class. In each bucket all are compared with a hub first. Where a bucket then still holds several components,
-their pairs are compared in full if they are at most FAIR for each member, and else those of a few members drawn by a hash, twice as
-many in every further round, until one component is left, the pairs are few, or all were compared. Pairs are compared exactly, by
-their shingles (as 32-bit hashes). So a group of copies costs about as many comparisons as it has members.
-
-Defined results: null texts and such without words link with nothing and are kept; texts of one to four words are one shingle;
-rows with the same id and text are one document; clusters are named by their least doc_id (null ids count as the largest).
+Equal texts (by two 64-bit hashes) are one class. In each bucket all are compared with a hub first, pair by pair. Buckets that then
+still hold several components are put together by the largest component in them, their host; the members of such a unit are dealt
+into blocks of bounded size, and each two blocks form a tile in which all are compared by counting shared elements. A tile returns
+only a spanning forest of the components that its links join, so rows grow with members, never with pairs. All comparisons are exact,
+on 64-bit hashes of the shingles' occurrences.
+
+Defined results: null texts and such without words link with nothing and are kept; texts of one to four words are one shingle; very
+long texts are taken whole; rows with the same id and text are one document; clusters are named by their least doc_id (null ids count
+as the largest); of two texts with one id the less by hash stands for it; an empty table gives no rows; other columns, whatever their
+names, are not read, and the pipeline stage returns them as they are.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliomill.llm.common import aside, components, joined_components, own, settle, table
+from foliomill.llm.common import aside, components, fold, joined_components, lean, own, settle, table, unsettle
 
 WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 36, 7
 K = BANDS * ROWS
-#: Buckets with up to so many pairs of different components for each member are compared in full.
-FAIR = 64
-#: Members that all others of a bucket are compared with in the first round after the hub's.
-HUBS = 4
-CHUNK = 2 << 20
+#: Members and elements of a block on average; a tile holds two blocks.
+BLOCK, BLOCK_ELEMENTS = 1024, 1 << 20
+#: Elements that up to so many members of a tile share are counted pair by pair, others by a matrix product.
+FEW = 96
+CHUNK = 1 << 19
 
 _P = np.uint64(0x9E3779B97F4A7C15)
 _PRIMES = [np.uint64(x) for x in (0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
@@ -157,7 +160,7 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
         return mix(total + np.arange(1, BANDS + 1, dtype=np.uint64) * _PRIMES[3])
 
 
-def _parts(texts: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
+def _parts(texts: Iterable[bytes]) -> Iterator[tuple[int, list[bytes]]]:
     first, part, size = 0, [], 0
     for i, t in enumerate(texts):
         part.append(t)
@@ -169,30 +172,31 @@ def _parts(texts: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
         yield first, part
 
 
-def _raw(column: pa.Array) -> list[bytes]:
-    return [(t.as_py() or "").encode("utf-8", "surrogatepass") for t in column]
+def _raw(column: pa.Array) -> Iterator[bytes]:
+    return ((t.as_py() or "").encode("utf-8", "surrogatepass") for t in column)
 
 
 def sign(rows: DataFrame) -> DataFrame:
-    """(d, c, w, keys) from (d, c, text): weight and band keys of the texts with words."""
+    """(d, h1, h2, w, keys) from (d, h1, h2, text): weight and band keys of the texts with words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
         for batch in batches:
-            for first, part in _parts(_raw(batch.column(2))):
+            for first, part in _parts(_raw(batch.column(3))):
                 element, of = shingler.elements(part)
                 w = np.bincount(of, minlength=len(part))
                 keys = band_keys(signatures(element, of, len(part))).astype(np.int64)
                 on = np.flatnonzero(w)
-                rest = batch.select([0, 1]).slice(first, len(part)).take(pa.array(on))
+                rest = batch.select([0, 1, 2]).slice(first, len(part)).take(pa.array(on))
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(on) + 1) * BANDS, pa.int32()), pa.array(keys[on].reshape(-1)))
-                yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(w[on].astype(np.int64)), lists], ["d", "c", "w", "keys"])
+                yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(w[on].astype(np.int64)), lists], ["d", "h1", "h2", "w", "keys"])
+            lean()
 
-    return rows.mapInArrow(run, "d long, c long, w long, keys array<long>")
+    return rows.mapInArrow(run, "d long, h1 long, h2 long, w long, keys array<long>")
 
 
 def _shingled(rows: DataFrame) -> DataFrame:
-    """(c, e) from (c, text): the elements as 32-bit hashes."""
+    """(c, e) from (c, text): the elements."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
@@ -200,86 +204,166 @@ def _shingled(rows: DataFrame) -> DataFrame:
             for first, part in _parts(_raw(batch.column(1))):
                 element, of = shingler.elements(part)
                 ends = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=len(part)))]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array((element >> np.uint64(32)).astype(np.uint32).view(np.int32)))
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(element.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(part)), lists], ["c", "e"])
+            lean()
 
-    return rows.mapInArrow(run, "c long, e array<int>")
+    return rows.mapInArrow(run, "c long, e array<long>")
 
 
 def _linked(pairs: DataFrame, elements: DataFrame, threshold: float) -> DataFrame:
-    """(a, b, j) of pairs (a, b, wa, wb) with a similarity of at least threshold."""
+    """(a, b) of pairs (a, b) with a similarity of at least threshold."""
     left, right = elements.select(F.col("c").alias("a"), F.col("e").alias("ea")), elements.select(F.col("c").alias("b"), F.col("e").alias("eb"))
     both = F.size(F.array_intersect("ea", "eb"))
-    rows = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", (both / (F.col("wa") + F.col("wb") - both)).alias("j"))
-    return rows.filter(F.col("j") >= threshold)
-
-
-def _ordered(pairs: DataFrame) -> DataFrame:
-    """(a, b, wa, wb) with a < b."""
-    swap = F.col("a") > F.col("b")
-    ends = [F.when(swap, F.col(y)).otherwise(F.col(x)).alias(x) for x, y in (("a", "b"), ("b", "a"), ("wa", "wb"), ("wb", "wa"))]
-    return pairs.select(*ends)
-
-
-def _near(a: str, b: str, threshold: float):
-    """Whether weights a and b allow the threshold at all."""
-    return F.least(a, b) >= F.greatest(a, b) * threshold
-
-
-def near_duplicates(docs: DataFrame, text: str = "text", *, threshold: float = THRESHOLD, fair: int = FAIR) -> DataFrame:
-    """(doc_id, c, n_rows, class_id, cluster_id, kept): one row for each distinct doc_id and text, c being the text's hash (null for null).
+    rows = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", (both / (F.size("ea") + F.size("eb") - both)).alias("j"))
+    return rows.filter(F.col("j") >= threshold).select("a", "b")
+
+
+def shared(value: np.ndarray, owner: np.ndarray, component: np.ndarray, n: int) -> np.ndarray:
+    """(n, n): at i < j how many values owners i and j share, as far as other owners' components differ. An owner has a value once."""
+    order = np.argsort(value, kind="stable")
+    value, owner = value[order], owner[order]
+    start = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]])) if len(value) else np.zeros(0, np.int64)
+    count = np.diff(np.append(start, len(value)))
+    of = component[owner]
+    on = count > 1
+    if on.any():
+        low, high = np.minimum.reduceat(of, start), np.maximum.reduceat(of, start)
+        on &= low != high
+    start, count = start[on], count[on]
+    out = np.zeros(n * n, np.int32)
+    kept, size = [], 0
+    for k in np.unique(count[count <= FEW]):
+        begin = start[count == k]
+        for i in range(0, len(begin), 1 + 200_000 // int(k * k)):
+            member = owner[begin[i : i + 1 + 200_000 // int(k * k), None] + np.arange(k)]
+            x, y = np.triu_indices(k, 1)
+            kept.append((member[:, x] * n + member[:, y]).reshape(-1))
+            size += len(kept[-1])
+            if size > 2_000_000:
+                out += np.bincount(np.concatenate(kept), minlength=n * n).astype(np.int32)
+                kept, size = [], 0
+    if kept:
+        out += np.bincount(np.concatenate(kept), minlength=n * n).astype(np.int32)
+    out = out.reshape(n, n)
+    many = np.flatnonzero(count > FEW)
+    for i in range(0, len(many), 1024):
+        some = many[i : i + 1024]
+        has = np.zeros((n, len(some)), np.float32)
+        at = np.concatenate([np.arange(start[m], start[m] + count[m]) for m in some])
+        has[owner[at], np.repeat(np.arange(len(some)), count[some])] = 1
+        out += (has @ has.T).astype(np.int32)
+    return out
+
+
+def tile_forest(host: np.ndarray, component: np.ndarray, sizes: np.ndarray, elements: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of components that links inside each host's members join: a spanning forest."""
+    n = len(host)
+    units, unit = np.unique(host, return_inverse=True)
+    names, of = np.unique(component, return_inverse=True)
+    owner = np.repeat(np.arange(n), sizes)
+    if len(units) > 1:
+        elements = elements ^ mix(unit.astype(np.uint64) * _P)[owner]
+    both = shared(elements, owner, of, n)
+    i, j = np.nonzero(both)
+    on = (i < j) & (of[i] != of[j]) & (unit[i] == unit[j])
+    i, j = i[on], j[on]
+    b = both[i, j].astype(np.int64)
+    near = b / (sizes[i] + sizes[j] - b) >= threshold
+    root = fold(np.arange(len(names)), of[i[near]], of[j[near]])
+    moved = np.flatnonzero(root != np.arange(len(names)))
+    return names[moved], names[root[moved]]
+
+
+def _compared(units: DataFrame, elements: DataFrame, threshold: float, block: int, block_elements: int) -> DataFrame:
+    """(a, b): components to join, from units (host, c, w, component): all members of a host are compared in tiles."""
+    per = units.groupBy("host").agg(F.count("*").alias("n"), F.sum("w").alias("total"))
+    blocks = F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("total") / block_elements), F.lit(1)).cast("int")
+    per = settle(per.withColumn("blocks", blocks))
+    n, total = per.filter("blocks = 1").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("total"), F.lit(0))).first()
+    packs = int(max(1, -(-n // block), -(-int(total) // block_elements)))
+    rows = units.join(per.select("host", "blocks"), "host")
+    mine = F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int")
+    # a tile of two blocks compares within each of them too, so no block meets itself
+    others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: o != F.col("mine"))
+    large = rows.filter("blocks > 1").withColumn("mine", mine).withColumn("o", F.explode(others))
+    large = large.select(F.col("host").alias("g"), F.least("mine", "o").alias("i"), F.greatest("mine", "o").alias("j"), "host", "c", "component")
+    small = rows.filter("blocks = 1").select(F.pmod(F.xxhash64("host"), F.lit(packs)).alias("g"), F.lit(-1).alias("i"), F.lit(-1).alias("j"), "host", "c", "component")
+    tiles = large.unionByName(small).join(elements.hint("merge"), "c")
+
+    def compare(group: pa.Table) -> pa.Table:
+        e = group["e"].combine_chunks()
+        sizes = np.diff(e.offsets.to_numpy()).astype(np.int64)
+        a, b = tile_forest(group["host"].to_numpy(), group["component"].to_numpy(), sizes, e.flatten().to_numpy().view(np.uint64), threshold)
+        lean()
+        return pa.table({"a": a, "b": b})
+
+    made = settle(tiles.groupBy("g", "i", "j").applyInArrow(compare, "a long, b long"))
+    unsettle(per)
+    return made
+
+
+def near_duplicates(docs: DataFrame, text: str = "text", *, threshold: float = THRESHOLD, block: int = BLOCK, block_elements: int = BLOCK_ELEMENTS) -> DataFrame:
+    """(doc_id, c, c2, n_rows, class_id, cluster_id, kept): one row for each distinct doc_id and text, c and c2 being the text's hashes (null for null).
 
     class_id is the least doc_id with the same text, cluster_id the least of the component; one row of each cluster is kept.
     """
-    keyed = docs.select(F.col("doc_id").cast("long").alias("d"), F.when(F.col(text).isNotNull(), F.xxhash64(text)).alias("c"), F.col(text).alias("text"))
-    every = settle(keyed.groupBy("d", "c").agg(F.count("*").alias("n_rows")))
+    said = F.col(text).isNotNull()
+    keyed = docs.select(F.col("doc_id").cast("long").alias("d"), F.when(said, F.xxhash64(text)).alias("h1"), F.when(said, F.xxhash64(F.lit(1), text)).alias("h2"), F.col(text).alias("text"))
+    every = settle(keyed.groupBy("d", "h1", "h2").agg(F.count("*").alias("n_rows")))
     signed = settle(sign(keyed))
-    classes = signed.groupBy("c").agg(F.min("d").alias("d"), F.first("w").alias("w"), F.first("keys").alias("keys"))
+    classes = signed.groupBy("h1", "h2").agg(F.min("d").alias("d"), F.first("w").alias("w"), F.first("keys").alias("keys"))
+    # numbers, as two hashes are no node; they hold once the table is written
+    classes = settle(classes.withColumn("c", F.monotonically_increasing_id()))
+    unsettle(signed)
     dealt = settle(classes.select("c", "w", F.explode("keys").alias("key")))
-    hubs = dealt.groupBy("key").agg(F.min(F.struct(F.xxhash64("c").alias("p"), "c", "w")).alias("hub"), F.count("*").alias("n")).filter("n > 1")
-    members = settle(dealt.join(hubs, "key").select("key", "c", "w", "n", F.col("hub.c").alias("hub"), F.col("hub.w").alias("hub_w")))
-    wanted = members.select("c").distinct().withColumnRenamed("c", "c2")
-    some = signed.groupBy("c").agg(F.min(F.struct(F.col("d").isNull().alias("z"), "d")).alias("f")).join(wanted, F.col("c") == F.col("c2")).select(F.col("c").alias("c2"), F.col("f.d").alias("d2"))
-    sources = keyed.join(some.hint("merge"), (F.col("c") == F.col("c2")) & F.col("d").eqNullSafe(F.col("d2"))).select("c", "text")
-    elements = settle(_shingled(sources).groupBy("c").agg(F.first("e").alias("e")))
-
-    pairs = members.filter((F.col("c") != F.col("hub")) & _near("w", "hub_w", threshold))
-    pairs = settle(_ordered(pairs.select(F.col("hub").alias("a"), F.col("c").alias("b"), F.col("hub_w").alias("wa"), F.col("w").alias("wb"))).distinct())
-    tested = pairs.select("a", "b")
-    parts = components(_linked(pairs, elements, threshold).select("a", "b"))
-
-    live, hubs = members.select("key", "c", "w", "n"), HUBS
-    while True:
-        rows = live.join(parts.withColumnRenamed("node", "c"), "c", "left").withColumn("component", F.coalesce("component", "c"))
-        # pairs of different components in each bucket: (n^2 - sum of squares) / 2
-        cross = rows.groupBy("key", "component").agg(F.count("*").cast("double").alias("k")).groupBy("key").agg(((F.sum("k") ** 2 - F.sum(F.col("k") ** 2)) / 2).alias("pairs")).filter("pairs > 0")
-        few = (F.col("pairs") <= fair * F.col("n")) | (F.col("n") <= hubs)
-        live = settle(rows.join(cross, "key").withColumn("whole", few))
-        if live.isEmpty():
-            break
-        # all such pairs where they are few; else those of some members, drawn by a hash, twice as many in each round
-        drawn = F.pmod(F.xxhash64("c", F.lit(hubs)), F.lit(1 << 40)) / F.lit(float(1 << 40))  # the same documents in all buckets
-        led = F.col("whole") | (drawn * F.col("n") < hubs)
-        one = live.filter(led).select("key", F.col("c").alias("a"), F.col("w").alias("wa"), F.col("component").alias("component_a"))
-        differ = (F.col("component") != F.col("component_a")) & _near("w", "wa", threshold) & (~F.col("whole") | (F.col("a") < F.col("c")))
-        pairs = _ordered(live.join(one, "key").filter(differ).select("a", F.col("c").alias("b"), "wa", F.col("w").alias("wb")))
-        pairs = settle(pairs.distinct().join(tested, ["a", "b"], "left_anti"))
-        tested = tested.unionByName(pairs.select("a", "b"))
-        fresh = settle(_linked(pairs, elements, threshold).select("a", "b"))
+    hubs = dealt.groupBy("key").agg(F.min("c").alias("hub"), F.min_by("w", "c").alias("hub_w"), F.count("*").alias("n")).filter("n > 1")
+    members = settle(dealt.join(hubs, "key").select("key", "c", "w", "n", "hub", "hub_w"))
+    unsettle(dealt)
+    some = classes.join(members.select("c").distinct(), "c", "left_semi").select("c", "h1", "h2", F.coalesce("d", F.lit(-1)).alias("dk"))
+    # one row of each class, chosen before its text is read
+    sources = keyed.filter(said).withColumn("dk", F.coalesce("d", F.lit(-1))).groupBy("h1", "h2", "dk").agg(F.first("text").alias("text"))
+    elements = settle(_shingled(sources.join(some.hint("merge"), ["h1", "h2", "dk"]).select("c", "text")))
+
+    near = F.least("w", "hub_w") >= F.greatest("w", "hub_w") * threshold
+    pairs = settle(members.filter((F.col("c") != F.col("hub")) & near).select(F.col("hub").alias("a"), F.col("c").alias("b")).distinct())
+    edges = settle(_linked(pairs, elements, threshold))
+    unsettle(pairs)
+    parts = components(edges)
+    unsettle(edges)
+
+    # buckets where members that were not compared with each other lie in different components
+    rows = members.filter("n > 2").join(parts.withColumnRenamed("node", "c"), "c", "left").withColumn("component", F.coalesce("component", "c"))
+    other = F.when(F.col("c") != F.col("hub"), F.col("component"))
+    open_ = rows.groupBy("key").agg(F.min(other).alias("low"), F.max(other).alias("high")).filter("low != high").select("key")
+    live = settle(rows.join(open_, "key").select("key", "c", "w", "component"))
+    unsettle(members)
+    if not live.isEmpty():
+        size = live.select("c", "component").distinct().groupBy("component").agg(F.count("*").alias("size"))
+        hosts = live.join(size, "component").groupBy("key").agg(F.max_by("component", F.struct("size", "component")).alias("host"))
+        units = settle(live.join(hosts, "key").select("host", "c", "w", "component").distinct())
+        fresh = _compared(units, elements, threshold, block, block_elements)
         if not fresh.isEmpty():
-            parts = joined_components(parts, fresh)
-        live, hubs = live.filter("not whole").select("key", "c", "w", "n"), hubs * 2
-
-    of = every.filter("c is not null").groupBy("c").agg(F.min("d").alias("class_id"))
-    of = settle(of.join(parts.withColumnRenamed("node", "c"), "c", "left").withColumn("component", F.coalesce("component", "c")))
-    worded = signed.select("c").distinct()
-    best = of.groupBy("component").agg(F.min(F.struct(F.col("class_id").isNull().alias("z"), "class_id", "c")).alias("f"))
-    of = of.join(best, "component").select("c", "class_id", F.col("f.class_id").alias("cluster_id"), F.col("f.c").alias("kept_c"))
-    of = of.join(worded.withColumn("worded", F.lit(True)), "c", "left")
-    out = every.join(of, "c", "left")
-    alone = F.col("worded").isNull()
-    return out.select(F.col("d").alias("doc_id"), "c", "n_rows", F.when(alone, F.col("d")).otherwise(F.col("class_id")).alias("class_id"), F.when(alone, F.col("d")).otherwise(F.col("cluster_id")).alias("cluster_id"),
-                      (alone | (F.col("d").eqNullSafe(F.col("cluster_id")) & (F.col("c") == F.col("kept_c")))).alias("kept"))
+            before, parts = parts, joined_components(parts, fresh)
+            unsettle(before)
+        unsettle(units)
+        unsettle(fresh)
+    unsettle(live)
+    unsettle(elements)
+
+    of = every.filter("h1 is not null").groupBy("h1", "h2").agg(F.min("d").alias("class_id"))
+    of = of.join(classes.select("h1", "h2", "c"), ["h1", "h2"], "left").join(parts.withColumnRenamed("node", "c"), "c", "left")
+    of = settle(of.select("h1", "h2", "c", "class_id", F.coalesce("component", "c").alias("component")))
+    unsettle(classes)
+    unsettle(parts)
+    first = F.min(F.struct(F.col("class_id").isNull().alias("z"), "class_id", "h1", "h2")).alias("f")
+    best = of.filter("component is not null").groupBy("component").agg(first)
+    of = of.join(best, "component", "left").select("h1", "h2", "c", "class_id", "f")
+    out = every.join(of, ["h1", "h2"], "left")
+    alone = F.col("c").isNull()
+    stays = F.col("d").eqNullSafe(F.col("f.class_id")) & (F.col("h1") == F.col("f.h1")) & (F.col("h2") == F.col("f.h2"))
+    return out.select(F.col("d").alias("doc_id"), F.col("h1").alias("c"), F.col("h2").alias("c2"), "n_rows", F.when(alone, F.col("d")).otherwise(F.col("class_id")).alias("class_id"),
+                      F.when(alone, F.col("d")).otherwise(F.col("f.class_id")).alias("cluster_id"), (alone | stays).alias("kept"))
 
 
 def op4_minhash_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -289,12 +373,13 @@ def op4_minhash_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: one document of each cluster stays."""
-    found = near_duplicates(docs.select("doc_id", "text")).filter("kept").select("doc_id", "c", "n_rows")
-    found, x = aside(found, docs)
-    c = own(docs, "this_hash")
-    rows = docs.withColumn(c, F.when(F.col("text").isNotNull(), F.xxhash64("text")))
-    on = F.col("doc_id").eqNullSafe(F.col(x["doc_id"])) & F.col(c).eqNullSafe(F.col(x["c"]))
+    found = near_duplicates(docs.select("doc_id", "text")).filter("kept").select("doc_id", "c", "c2", "n_rows")
+    found, x = aside(settle(found), docs)
+    c, c2 = own(docs, "this_hash"), own(docs, "that_hash")
+    said = F.col("text").isNotNull()
+    rows = docs.withColumns({c: F.when(said, F.xxhash64("text")), c2: F.when(said, F.xxhash64(F.lit(1), "text"))})
+    on = F.col("doc_id").eqNullSafe(F.col(x["doc_id"])) & F.col(c).eqNullSafe(F.col(x["c"])) & F.col(c2).eqNullSafe(F.col(x["c2"]))
     once = rows.join(found.filter(F.col(x["n_rows"]) == 1).hint("merge"), on, "left_semi").select(*docs.columns)
     again = rows.join(found.filter(F.col(x["n_rows"]) > 1).hint("merge"), on, "left_semi")
-    again = again.groupBy("doc_id", c).agg(*[F.first(y).alias(y) for y in docs.columns if y != "doc_id"]).select(*docs.columns)
+    again = again.groupBy("doc_id", c, c2).agg(*[F.first(y).alias(y) for y in docs.columns if y != "doc_id"]).select(*docs.columns)
     return once.unionByName(again)

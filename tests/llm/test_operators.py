@@ -292,8 +292,8 @@ def test_near_duplicates_match_brute_force(spark, sf, rows):
     assert all(r["kept"] == (i == want[i]) for i, r in got.items())
 
 
-@pytest.mark.parametrize("fair", [near_dups.FAIR, 0])
-def test_near_duplicates_in_a_large_group(spark, fair):
+@pytest.mark.parametrize("block", [near_dups.BLOCK, 7])
+def test_near_duplicates_in_a_large_group(spark, block):
     rng = np.random.default_rng(3)
     base = [f"w{x}" for x in rng.integers(0, 5000, 120)]
     texts = {}
@@ -305,10 +305,31 @@ def test_near_duplicates_in_a_large_group(spark, fair):
     shared = " ".join(f"p{x}" for x in range(60))
     texts |= {1000 + i: " ".join(f"u{i}_{x}" for x in range(60)) + " " + shared for i in range(20)}
     table = spark.createDataFrame([(i, t) for i, t in texts.items()], "doc_id long, text string")
-    got = {r["doc_id"]: r["cluster_id"] for r in near_dups.near_duplicates(table, fair=fair).collect()}
+    got = {r["doc_id"]: r["cluster_id"] for r in near_dups.near_duplicates(table, block=block).collect()}
     assert got == clusters(texts)
 
 
+@pytest.mark.parametrize("few", [near_dups.FEW, 3])
+def test_shared_counts_equal_brute_force(monkeypatch, few):
+    monkeypatch.setattr(near_dups, "FEW", few)
+    rng = np.random.default_rng(8)
+    sets = [set(rng.integers(0, 60, 30).tolist()) for _ in range(40)]
+    component = rng.integers(0, 9, 40)
+    owner = np.repeat(np.arange(40), [len(s) for s in sets])
+    got = near_dups.shared(np.array([x for s in sets for x in sorted(s)], np.uint64), owner, component, 40)
+    for j in range(40):
+        for i in range(j):
+            if component[i] != component[j]:
+                assert got[i, j] == len(sets[i] & sets[j])
+
+
+def test_tile_forest_keeps_hosts_apart():
+    sets = [set(range(20)), set(range(19)), set(range(20)), set(range(100, 120))]
+    elements = np.array([x for s in sets for x in s], np.uint64)
+    a, b = near_dups.tile_forest(np.array([1, 1, 2, 2]), np.array([10, 11, 12, 13]), np.array([len(s) for s in sets]), elements, 0.8)
+    assert list(zip(a.tolist(), b.tolist(), strict=True)) == [(11, 10)]
+
+
 def test_near_duplicates_odd_rows(spark, odd, clashing):
     for table in (odd, clashing):
         got = near_dups.near_duplicates(table).collect()
