@@ -2,14 +2,17 @@
 
 A gram is the shortest run of lines from a line on that holds MIN_WORDS words; a window is the shortest that holds SURE_WORDS. The least
 gram hash of each window becomes a fingerprint, so every repeated run of SURE_WORDS words shares at least one with its first
-occurrence, and runs under MIN_WORDS never match. Fingerprints are joined with their first occurrence in document order; matches are
-extended both ways along repeated lines; runs that hold MIN_WORDS words go, and the first occurrence stays.
+occurrence, and runs under MIN_WORDS never match. Fingerprints are joined by their hash: one that an earlier place holds too is a hit.
+Hits are extended both ways, line by line, as long as a gram that starts or ends at the next line stands at any earlier place as well,
+so a run goes whole even where its parts first occurred in different documents. The lines of these runs go; first occurrences stay.
+Each gram is joined with one place, its first, so the work is linear in the lines however often one repeats.
 
 Documents are ordered by doc_id (null last), then by a hash of the text; rows with the same id and text are one document and are
 treated alike. Lines are compared without white space at their ends; empty lines go only between deleted ones.
 
 Defined results: null text stays null; texts without repeated runs stay as they are, byte by byte; a text of which all goes
-becomes empty; an empty table gives no rows; columns of the made names are replaced.
+becomes empty; very long texts are taken whole; an empty table gives no rows; columns of the made names are replaced, and others
+are returned as they are.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from foliomill.llm.common import aside, n_words, own, settle, table
+from foliomill.llm.common import aside, n_words, own, settle, table, unsettle
 
 MIN_WORDS, SURE_WORDS = 20, 40
 
@@ -38,44 +41,59 @@ def line_table(docs: DataFrame, text: str = "text") -> DataFrame:
     return rows.withColumn("k", F.row_number().over(Window.partitionBy("d", "t").orderBy("pos")) - 1)
 
 
-def fingerprints(lines: DataFrame, min_words: int = MIN_WORDS, sure_words: int = SURE_WORDS) -> DataFrame:
-    """(d, t, k, g): the grams that windows select, g being the gram's hash and k its first line. A document's last, incomplete windows count too."""
-    ahead = Window.partitionBy("d", "t").orderBy("k").rowsBetween(0, sure_words - 1)
-    rows = lines.select("d", "t", "k", F.collect_list("h").over(ahead).alias("hs"), F.collect_list(F.col("c").cast("long")).over(ahead).alias("cs"))
-    rows = rows.withColumns({"r1": _reach(F.col("cs"), min_words), "r2": _reach(F.col("cs"), sure_words)})
-    gram = F.when(F.col("r1.s") >= min_words, F.xxhash64(F.slice("hs", 1, F.col("r1.n"))))
-    rows = rows.select("d", "t", "k", gram.alias("g"), F.col("r1.n").alias("n1"), F.col("r2.n").alias("n2"))
-    grams = F.collect_list(F.struct("g", "n1")).over(ahead)
-    rows = rows.select("d", "t", "k", "n2", grams.alias("grams"))
-    marked = F.transform(F.slice("grams", 1, F.col("n2")), lambda x, i: F.struct(x["g"].alias("g"), (-i).alias("o"), (i + x["n1"]).alias("stop")))
+def grams(lines: DataFrame, min_words: int = MIN_WORDS, sure_words: int = SURE_WORDS) -> DataFrame:
+    """Of each line (d, t, k): the gram that starts there (g, its last line k1, positions p0 and p1), the one that ends there if no
+    line's gram is the same (back_g, back_k, back_p0), and the gram that the line's window selects (print_g, print_k). A gram is
+    null where the text ends before. A document's last, incomplete windows count too."""
+    document = Window.partitionBy("d", "t").orderBy("k")
+    ahead, behind = document.rowsBetween(0, sure_words - 1), document.rowsBetween(1 - min_words, 0)
+    lists = {"hs": "h", "cs": "c", "ps": "pos"}
+    rows = lines.withColumn("c", F.col("c").cast("long"))
+    rows = rows.select("d", "t", "k", "c", F.col("pos").alias("p0"), *[F.collect_list(c).over(ahead).alias(x) for x, c in lists.items()], *[F.collect_list(c).over(behind).alias("b" + x) for x, c in lists.items()])
+    rows = rows.withColumns({"r1": _reach(F.col("cs"), min_words), "r2": _reach(F.col("cs"), sure_words), "rb": _reach(F.reverse("bcs"), min_words)})
+    back, n1, nb = F.col("rb.s") - F.col("c") >= min_words, F.col("r1.n"), F.col("rb.n")
+    rows = rows.select(
+        "d", "t", "k", "p0", F.element_at("ps", n1).alias("p1"), F.when(F.col("r1.s") >= min_words, F.xxhash64(F.slice("hs", 1, n1))).alias("g"), n1.alias("n1"), F.col("r2.n").alias("n2"),
+        F.when(back, F.xxhash64(F.slice("bhs", -nb, nb))).alias("back_g"), (F.col("k") - nb + 1).alias("back_k"), F.element_at("bps", -nb).alias("back_p0"),
+    )
+    rows = rows.withColumn("near", F.collect_list(F.struct("g", "n1")).over(ahead))
+    marked = F.transform(F.slice("near", 1, F.col("n2")), lambda x, i: F.struct(x["g"].alias("g"), (-i).alias("o"), (i + x["n1"]).alias("stop")))
     least = F.array_min(F.filter(marked, lambda x: x["g"].isNotNull() & (x["stop"] <= F.col("n2"))))
-    return rows.withColumn("m", least).filter("m is not null").select("d", "t", (F.col("k") - F.col("m.o")).alias("k"), F.col("m.g").alias("g")).distinct()
+    rows = rows.withColumn("m", least)
+    return rows.select("d", "t", "k", (F.col("k") + F.col("n1") - 1).alias("k1"), "p0", "p1", "g", "back_g", "back_k", "back_p0", (F.col("k") - F.col("m.o")).alias("print_k"), F.col("m.g").alias("print_g"))
+
+
+def _later(rows: DataFrame, places: DataFrame) -> DataFrame:
+    """rows (d, t, k, g and others) whose g an earlier one of the places (d, t, k, g) holds."""
+    order = F.struct(F.col("d").isNull().alias("z"), "d", "t", "k")
+    # a table, so that the join's two sides are plain exchanges and a frequent g can be split
+    first = settle(places.groupBy("g").agg(F.min(order).alias("f"), F.count("*").alias("n")).filter("n > 1").select(F.col("g").alias("g1"), "f"))
+    same = F.col("d").eqNullSafe(F.col("f.d")) & (F.col("t") == F.col("f.t")) & (F.col("k") == F.col("f.k"))
+    return rows.join(first.hint("merge"), F.col("g") == F.col("g1")).filter(~same).select(*rows.columns)
 
 
 def repeated_runs(lines: DataFrame, min_words: int = MIN_WORDS, sure_words: int = SURE_WORDS) -> DataFrame:
-    """(d, t, p0, p1, n): runs of lines (positions p0 to p1, n of them with words) that an earlier document or an earlier part of the same one holds."""
-    prints = settle(fingerprints(lines, min_words, sure_words))
-    order = F.struct(F.col("d").isNull().alias("z"), F.col("d").alias("d"), F.col("t").alias("t"), F.col("k").alias("k"))
-    first = prints.groupBy("g").agg(F.min(order).alias("f"), F.count("*").alias("n")).filter("n > 1").select("g", "f")
-    same = F.col("d").eqNullSafe(F.col("f.d")) & (F.col("t") == F.col("f.t"))
-    found = prints.join(first, "g").filter(~(same & (F.col("k") == F.col("f.k"))))
-    found = found.select("d", "t", "k", F.col("f.d").alias("sd"), F.col("f.t").alias("st"), (F.col("k") - F.col("f.k")).alias("delta"))
-    # lines that occur more than once, and islands of them: no run reaches beyond its island
-    often = lines.groupBy("h").count().filter("count > 1").select("h")
-    again = lines.join(often, "h", "left_semi")
-    again = settle(again.withColumn("island", F.col("k") - F.row_number().over(Window.partitionBy("d", "t").orderBy("k"))).select("d", "t", "k", "pos", "h", "c", "island"))
-    seat = again.select(F.col("d").alias("d2"), F.col("t").alias("t2"), F.col("k").alias("k2"), "island")
-    placed = found.join(seat, F.col("d").eqNullSafe(F.col("d2")) & (F.col("t") == F.col("t2")) & (F.col("k") == F.col("k2")))
-    placed = placed.select("d", "t", "island", "sd", "st", "delta").distinct()
-    mine = again.select(F.col("d").alias("d2"), F.col("t").alias("t2"), F.col("island").alias("i2"), "k", "pos", "h", "c")
-    lined = placed.join(mine, F.col("d").eqNullSafe(F.col("d2")) & (F.col("t") == F.col("t2")) & (F.col("island") == F.col("i2")))
-    lined = lined.select("d", "t", "sd", "st", "delta", "k", "pos", "h", "c", (F.col("k") - F.col("delta")).alias("sk"))
-    source = again.select(F.col("d").alias("d2"), F.col("t").alias("t2"), F.col("k").alias("k2"), F.col("h").alias("h2"))
-    equal = lined.join(source, F.col("sd").eqNullSafe(F.col("d2")) & (F.col("st") == F.col("t2")) & (F.col("sk") == F.col("k2")) & (F.col("h") == F.col("h2")))
-    pair = ["d", "t", "sd", "st", "delta"]
-    runs = equal.withColumn("run", F.col("k") - F.row_number().over(Window.partitionBy(*pair).orderBy("k")))
-    runs = runs.groupBy(*pair, "run").agg(F.min("pos").alias("p0"), F.max("pos").alias("p1"), F.count("*").alias("n"), F.sum("c").alias("words"))
-    return runs.filter(F.col("words") >= min_words).select("d", "t", "p0", "p1", "n").distinct()
+    """(d, t, p0, p1): runs of lines, by position, that stand at earlier places too."""
+    every = settle(grams(lines, min_words, sure_words))
+    prints = every.filter("print_g is not null").select("d", "t", F.col("print_k").alias("k"), F.col("print_g").alias("g")).distinct()
+    hits = settle(_later(prints, prints).select(F.col("d").alias("d2"), F.col("t").alias("t2"), F.col("k").alias("k2")))
+    own_ = F.col("d").eqNullSafe(F.col("d2")) & (F.col("t") == F.col("t2"))
+    columns = ["d", "t", "k", "k1", "p0", "p1", "g"]
+    back = every.filter("back_g is not null").select("d", "t", F.col("back_k").alias("k"), F.col("k").alias("k1"), F.col("back_p0").alias("p0"), F.col("p0").alias("p1"), F.col("back_g").alias("g"))
+    placed = every.filter("g is not null").select(*columns).unionByName(back)
+    mine = placed.join(hits.select("d2", "t2").distinct(), own_, "left_semi")
+    again = settle(_later(mine, placed))
+    again = again.join(hits, own_ & (F.col("k") == F.col("k2")), "left").withColumn("hit", F.col("k2").isNotNull())
+    # grams that overlap or touch are one run
+    order = Window.partitionBy("d", "t").orderBy("k", "k1")
+    before = F.max("k1").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    again = again.withColumn("new", F.when(F.col("k") <= before + 1, 0).otherwise(1))
+    runs = again.withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = runs.groupBy("d", "t", "run").agg(F.min("p0").alias("p0"), F.max("p1").alias("p1"), F.max("hit").alias("hit"))
+    out = settle(runs.filter("hit").select("d", "t", "p0", "p1"))
+    for made in (every, hits):
+        unsettle(made)
+    return out
 
 
 def dedup_lines(docs: DataFrame, text: str = "text", *, min_words: int = MIN_WORDS, sure_words: int = SURE_WORDS) -> DataFrame:
@@ -83,6 +101,7 @@ def dedup_lines(docs: DataFrame, text: str = "text", *, min_words: int = MIN_WOR
     docs = docs.select(*[c for c in docs.columns if c == text or c != "removed"])
     lines = settle(line_table(docs, text))
     runs = repeated_runs(lines, min_words, sure_words)
+    unsettle(lines)
     cuts = runs.groupBy("d", "t").agg(F.array_sort(F.collect_list(F.struct("p0", "p1"))).alias("cuts"))
     # overlapping cuts become one; what lies between them stays
     start = F.struct(F.lit(0).alias("next"), F.expr("array(struct(0 as start, 0 as length))").alias("cut"))
