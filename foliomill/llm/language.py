@@ -3,31 +3,45 @@
 Known words are scored by their log frequency in each learned language. An unseen word is cut into character n-grams of
 the longest length of which the model knows any, and gets the mean of their log frequencies.
 
-Defined results: null text or text without a letter gives `und` with score 0; ties go to the first language in code-point
-order; without any labelled row every text is `und`; a null id counts as not held out but is not learned from.
+Defined results: null text or text without a letter (a character of a category L) gives `und` with score 0; ties go to the first
+language in code-point order; without any labelled row every text is `und`; a null id counts as not held out but is not learned
+from; repeated texts are drawn as one; very long texts are read whole; an empty table gives no rows; columns of the made names
+are replaced, and others are returned as they are.
 """
 
 from __future__ import annotations
 
 import re
+import sys
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from foliomill.llm.common import id_bucket, own, table
+from foliomill.llm.common import id_bucket, lean, own, table, with_fields
 
 UNKNOWN = "und"
-LETTERS = re.compile(r"[^\W\d_]+")
+
+
+def _letters() -> re.Pattern:
+    """Runs of letters: \\w without digits, the underscore and the numbers that are no letters, such as superscripts and fractions."""
+    numbers = [chr(i) for i in range(sys.maxunicode + 1) if chr(i).isnumeric() and not chr(i).isalpha() and not chr(i).isdecimal()]
+    return re.compile(r"[^\W\d_" + "".join(numbers) + "]+")
+
+
+LETTERS = _letters()
 #: Added to every count, so that no log frequency is infinite.
 SMOOTH = 0.1
 #: A text's evidence counts as that of so many words at most, which keeps scores off 1 for mixed texts.
 EVIDENCE = 24
+#: Rows that are scored at a time.
+ROWS = 1000
 #: Unseen words whose row a Python worker keeps.
 REMEMBERED = 100_000
 
@@ -62,16 +76,44 @@ def _rows(counts: dict[str, dict[str, float]], languages: list[str]) -> tuple[di
     return at, np.log(c / c.sum(0)) if keys else c
 
 
-def fit(docs: DataFrame, text: str = "text", lang: str = "lang", *, per_language: int = 2000, min_count: int = 3, longest: int = 4) -> LanguageModel:
-    """Fit on at most about `per_language` labelled rows of each language, chosen by a hash of the text.
+def words_of(text: str) -> list[str]:
+    return LETTERS.findall(unicodedata.normalize("NFC", text).lower())
+
+
+def _counted(rows: DataFrame) -> DataFrame:
+    """(lang, word, n) from (lang, text), a part of the counts a row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter = Counter()
 
-    The bound also bounds what the driver gets: words that the sample holds at least `min_count` times.
+        def made() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in counts], pa.string()), pa.array([w for _, w in counts], pa.string()), pa.array(list(counts.values()), pa.int64())], ["lang", "word", "n"])
+
+        for batch in batches:
+            for lang, text in zip(batch.column(0), batch.column(1), strict=True):
+                x = lang.as_py()
+                counts.update((x, w) for w in words_of(text.as_py()))
+                if len(counts) > 200_000:
+                    yield made()
+                    counts.clear()
+        yield made()
+
+    return rows.mapInArrow(run, "lang string, word string, n long")
+
+
+def fit(docs: DataFrame, text: str = "text", lang: str = "lang", *, per_language: int = 2000, min_count: int = 3, few_words: int = 200, longest: int = 4) -> LanguageModel:
+    """Fit on about `per_language` different labelled texts of each language at most, chosen by a hash of the text.
+
+    The bound also bounds what the driver gets: words that the sample holds at least `min_count` times. A language of which fewer
+    than `few_words` words are that frequent has all its words.
     """
-    rows = docs.select(F.col(lang).alias("lang"), F.col(text).alias("text")).dropna()
-    share = rows.groupBy("lang").agg((per_language / F.count("*")).alias("share"))
-    drawn = rows.join(F.broadcast(share), "lang").filter(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < F.col("share") * 1_000_000)
-    found = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), 1)).alias("word")
-    counted = drawn.select("lang", found).groupBy("lang", "word").agg(F.count("*").alias("n")).filter(F.col("n") >= min_count).toPandas()
+    rows = docs.select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(F.lit(7), text).alias("h")).dropna()
+    share = rows.groupBy("lang").agg((per_language / F.approx_count_distinct("h")).alias("share"))
+    drawn = rows.join(F.broadcast(share), "lang").filter(F.pmod("h", F.lit(1 << 52)) / float(1 << 52) < F.col("share"))
+    drawn = drawn.groupBy("lang", "h").agg(F.first("text").alias("text")).select("lang", "text")
+    counts = _counted(drawn).groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    often = F.sum(F.when(F.col("n") >= min_count, 1).otherwise(0)).over(Window.partitionBy("lang"))
+    counted = counts.withColumn("often", often).filter((F.col("n") >= min_count) | (F.col("often") < few_words)).toPandas()
     languages = sorted(counted["lang"].unique())
     words: dict[str, dict[str, float]] = {x: {} for x in languages}
     grams: list[dict[str, Counter]] = [{x: Counter() for x in languages} for _ in range(longest)]
@@ -115,7 +157,7 @@ class Scorer:
             return [known[w] if w in known else at[w] for w in words]
 
     def score(self, text: str | None) -> tuple[str, float]:
-        words = LETTERS.findall(unicodedata.normalize("NFC", text).lower()) if text else []
+        words = words_of(text) if text else []
         if not words or not self.model.languages:
             return UNKNOWN, 0.0
         if self.next - len(self.model.words) > REMEMBERED - 20_000:
@@ -132,16 +174,20 @@ class Scorer:
 def identify(docs: DataFrame, model: LanguageModel, text: str = "text", lang_out: str = "lang_pred", score_out: str = "score") -> DataFrame:
     """docs with two more columns: the predicted language and its posterior share (0 to 1). Only the text is read."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    rest = docs.select(*[c for c in docs.columns if c == text or c not in (lang_out, score_out)])
+    at, names = rest.columns.index(text), [*rest.columns, lang_out, score_out]
 
-    @F.pandas_udf("lang string, score double")
-    def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
         for batch in batches:
-            yield pd.DataFrame([scorer.score(t) for t in batch], columns=["lang", "score"])
-
-    tmp = own(docs, "predicted")
-    out = docs.withColumn(tmp, predict(F.col(text)))
-    return out.withColumn(lang_out, F.col(tmp)["lang"]).withColumn(score_out, F.col(tmp)["score"]).drop(tmp)
+            for i in range(0, batch.num_rows, ROWS):
+                part = batch.slice(i, ROWS)
+                found = [scorer.score(t.as_py()) for t in part.column(at)]
+                made = [pa.array([x for x, _ in found], pa.string()), pa.array([y for _, y in found], pa.float64())]
+                yield pa.RecordBatch.from_arrays([*part.columns, *made], names)
+            lean()
+
+    return rest.mapInArrow(run, with_fields(rest.schema, {lang_out: "string", score_out: "double"}))
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
