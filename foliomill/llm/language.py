@@ -29,13 +29,12 @@ from foliomill.llm.common import id_bucket, lean, own, table, with_fields
 UNKNOWN = "und"
 
 
-def _letters() -> re.Pattern:
-    """Runs of letters: \\w without digits, the underscore and the numbers that are no letters, such as superscripts and fractions."""
-    numbers = [chr(i) for i in range(sys.maxunicode + 1) if chr(i).isnumeric() and not chr(i).isalpha() and not chr(i).isdecimal()]
-    return re.compile(r"[^\W\d_" + "".join(numbers) + "]+")
-
-
-LETTERS = _letters()
+#: Runs of letters and of numbers that are no digits; the latter, such as superscripts and fractions, are blanked before.
+LETTERS = re.compile(r"[^\W\d_]+")
+_NUMBERS = [c for c in map(chr, range(sys.maxunicode + 1)) if c.isnumeric() and not c.isalpha() and not c.isdecimal()]
+#: In two sets, as only one of small code points is compiled to a table.
+NUMBERS = re.compile("[" + "".join(c for c in _NUMBERS if c <= "\uffff") + "]")
+HIGH_NUMBERS = re.compile("[" + "".join(c for c in _NUMBERS if c > "\uffff") + "]")
 #: Added to every count, so that no log frequency is infinite.
 SMOOTH = 0.1
 #: A text's evidence counts as that of so many words at most, which keeps scores off 1 for mixed texts.
@@ -77,7 +76,12 @@ def _rows(counts: dict[str, dict[str, float]], languages: list[str]) -> tuple[di
 
 
 def words_of(text: str) -> list[str]:
-    return LETTERS.findall(unicodedata.normalize("NFC", text).lower())
+    text = unicodedata.normalize("NFC", text).lower()
+    if not text.isascii():
+        text = NUMBERS.sub(" ", text)
+        if max(text) > "\uffff":
+            text = HIGH_NUMBERS.sub(" ", text)
+    return LETTERS.findall(text)
 
 
 def _counted(rows: DataFrame) -> DataFrame:
