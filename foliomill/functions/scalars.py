@@ -10,6 +10,12 @@ from pyspark.sql import functions as F
 # --- fixed values of the format -------------------------------------------------------------------------------------
 #: Months of a dated stamp.
 MONTHS = ("Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec")
+#: Signs that make a text look mathematical.
+MATH_SIGNS = "[0-9=+−<>√Σ∆δφϕηµενπτ|⌊⌋]"
+#: Greek signs that extraction joins with a Latin letter after them.
+JOINED_GREEK = "[∆δφϕηνµε]"
+#: Units that extraction joins with a letter after them.
+JOINED_UNITS = "ns|ms|km|Hz"
 #: Namespace of package ids.
 PACKAGE_NAMESPACE = "6d4d259c-105b-5fee-a87a-efd4ad4d9bf8"
 PREPRINT_ISSN = "2331-8422"
@@ -59,7 +65,7 @@ def natural_words(text: Column | str = "text") -> Column:
 
 
 def math_signals(text: Column | str = "text") -> Column:
-    return F.regexp_count(text, F.lit(r"[=+\-*/<>|^_(){}\[\]−×∑∫√α-ωΔ∆]"))
+    return F.regexp_count(text, F.lit(MATH_SIGNS))
 
 
 def is_math_seed() -> Column:
@@ -67,18 +73,20 @@ def is_math_seed() -> Column:
     return F.contains("text", F.lit("=")) & (natural_words() <= 2) & (math_signals() >= 3) & (width() >= 0.1)
 
 
+def _short_tokens(text: Column | str) -> Column:
+    """Two letter runs or more; only asked where no run has three letters."""
+    return F.regexp_count(text, F.lit("[A-Za-z]+")) >= 2
+
+
 def is_formula_fragment(text: str = "text") -> Column:
-    """No word, no year in brackets, and signs or short tokens only."""
-    t = F.trim(text)
-    short = F.size(F.filter(F.split(t, r"\s+"), lambda x: x.rlike(r"^[A-Za-z]{1,2}$"))) >= 2
-    return (natural_words(text) == 0) & ~t.rlike(r"\([0-9]{4}\)") & ((math_signals(text) > 0) | short | t.rlike(r"^[^A-Za-z0-9\s]+$"))
+    """No word, no year in brackets, and signs, short tokens or no letter and digit at all."""
+    t = F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return (natural_words(text) == 0) & ~t.rlike(r"(?U)\(\d{4}\)") & ((math_signals(text) > 0) | _short_tokens(text) | t.rlike(r"^[^A-Za-z0-9]+$"))
 
 
 def is_quality_fragment(text: str = "text") -> Column:
     """The quality report's variant: no exception for years, no branch for signs alone."""
-    t = F.trim(text)
-    short = F.size(F.filter(F.split(t, r"\s+"), lambda x: x.rlike(r"^[A-Za-z]{1,2}$"))) >= 2
-    return (natural_words(text) == 0) & ((math_signals(text) > 0) | short)
+    return (natural_words(text) == 0) & ((math_signals(text) > 0) | _short_tokens(text))
 
 
 def heading_level(median: Column) -> Column:
@@ -109,23 +117,28 @@ def overlap(a: Sequence[Column], b: Sequence[Column]) -> Column:
 
 
 def needs_space(left: Column, right: Column) -> Column:
-    """Whether two runs of a line are parted (H1)."""
+    """Whether two touching runs of a line are parted (H1): only at a capital after a small letter, at a change between Latin and
+    other letters, and between a digit and a word of two characters or more."""
     a, b = F.right(left, F.lit(1)), F.left(right, F.lit(1))
-    glue = (
-        a.rlike(r"^[(\[{]$")
-        | (a.rlike(r"^\p{Ll}$") & b.rlike(r"^\p{Lu}$"))
-        | (a.rlike(r"^\p{IsLatin}$") & b.rlike(r"^\p{L}$") & ~b.rlike(r"^\p{IsLatin}$"))
-        | (a.rlike(r"^\p{L}$") & ~a.rlike(r"^\p{IsLatin}$") & b.rlike(r"^\p{IsLatin}$"))
-        | (a.rlike(r"^\p{Nd}$") & b.rlike(r"^\p{L}$") & (F.length(right) > 1))
-    )
-    return ~glue
+    case = a.rlike(r"^\p{Ll}$") & b.rlike(r"^\p{Lu}$")
+    script = a.rlike(r"^\p{L}$") & b.rlike(r"^\p{L}$") & (a.rlike("^[A-Za-z]$") != b.rlike("^[A-Za-z]$"))
+    digit = a.rlike(r"^[\p{Nd}⁰¹²³⁴-⁹₀-₉]$") & b.rlike(r"^\p{L}$") & (F.length(right) > 1)
+    return ~a.rlike(r"^[(\[{]$") & (a != "") & (b != "") & (case | script | digit)
 
 
 def repaired_spacing(text: Column) -> Column:
-    """Spaces that extraction lost (H2): `aAB`, Greek before Latin, units after numbers."""
-    t = F.regexp_replace(text, r"([a-z])([A-Z]{2,})", "$1 $2")
-    t = F.regexp_replace(t, r"([Ͱ-Ͽ∆])([A-Za-z])", "$1 $2")
-    return F.regexp_replace(t, r"([0-9])(ns|ms|km|Hz)\b", "$1 $2")
+    """Spaces that extraction lost (H2), without a lexicon: `aAB`, Greek before Latin, a unit before a letter."""
+    t = F.regexp_replace(text, "(?<=[a-z])(?=[A-Z][A-Z])", " ")
+    t = F.regexp_replace(t, f"(?<={JOINED_GREEK})(?=[A-Za-z])", " ")
+    return F.regexp_replace(t, rf"(?U)\b({JOINED_UNITS})(?=[A-Za-z])", "$1 ")
+
+
+def joined_lines(text: Column, following: Column) -> Column:
+    """Two lines as one text (H3), without a lexicon: no hyphen is soft."""
+    word = F.lower(F.regexp_extract(following, r"(?U)^\s*(\S+)", 1))
+    hyphen = text.endswith("-")
+    whole = F.when(text == "", "").when(hyphen & word.isin("and", "or"), " ").when(hyphen & word.rlike("^(and|or)-"), "").when(hyphen & following.rlike(r"^\p{Ll}"), "").otherwise(" ")
+    return repaired_spacing(F.trim(F.regexp_replace(F.concat(text, whole, following), r"(?U)\s+", " ")))
 
 
 def name_parts(name: Column) -> tuple[Column, Column]:
@@ -143,8 +156,8 @@ def labelled(text: Column, kind: str) -> tuple[Column, Column]:
 
 def stamp_date(text: Column) -> Column:
     """(day, month, year) of the first date of a stamp as one text without padding; null if there is none."""
-    pattern = r"\b([0-9]{1,2})\s+(" + "|".join(MONTHS) + r")\s+([0-9]{4})\b"
-    month = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), F.regexp_extract(text, pattern, 2))
+    pattern = r"(?U)\b(\d{1,2})\s+([A-Za-z]{3})\s+(\d{4})\b"
+    month = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), F.initcap(F.regexp_extract(text, pattern, 2)))
     day, year = (F.regexp_extract(text, pattern, i).try_cast("int").cast("string") for i in (1, 3))
     return F.when(month > 0, F.concat(day, month.cast("string"), year))
 

@@ -20,8 +20,8 @@ def _flag(condition: Column) -> Column:
 
 
 def reading_order(boxes: DataFrame) -> DataFrame:
-    """Full-width boxes part a page into bands, each read left column first; sparse or wide pages are read by row."""
-    b = boxes.withColumns({"full": _flag(S.is_full_width()), "wide": _flag(S.is_wide_prose() & ~S.is_full_width()), "side": _flag(~S.is_left()), "ry": F.round("y0", 4)})
+    """Full-width boxes part a page into bands, each read left column first; pages with a sparse column, or where 0.35 of all boxes are wide, are read by row."""
+    b = boxes.withColumns({"full": _flag(S.is_full_width()), "wide": _flag(S.is_wide_prose()), "side": _flag(~S.is_left()), "ry": F.round("y0", 4)})
     page = Window.partitionBy(*PAGE)
     narrow = F.col("full") == 0
     b = b.withColumns({"n_left": F.sum(_flag(narrow & (F.col("side") == 0))).over(page), "n_right": F.sum(_flag(narrow & (F.col("side") == 1))).over(page),
@@ -33,13 +33,15 @@ def reading_order(boxes: DataFrame) -> DataFrame:
     return b.withColumn("reading_order", F.row_number().over(Window.partitionBy(*PAGE).orderBy(*keys))).select(*boxes.columns, "reading_order")
 
 
-def median_fonts(boxes: DataFrame) -> DataFrame:
-    """A2: the exact median of fonts of at least 8, else 10."""
-    return boxes.groupBy("doc_id").agg(F.coalesce(F.median(F.when(F.col("font_size") >= 8, F.col("font_size"))), F.lit(10.0)).alias("median"))
+def median_fonts(boxes: DataFrame, consumed: DataFrame | None = None) -> DataFrame:
+    """A2: each page's exact median of fonts of at least 8, else 10; page numbers and consumed boxes (doc_id, seq) do not count."""
+    left = boxes if consumed is None else boxes.join(consumed.select("doc_id", "seq"), ["doc_id", "seq"], "left_anti")
+    fonts = left.filter((F.col("font_size") >= 8) & ~S.is_page_number()).groupBy(*PAGE).agg(F.median("font_size").alias("median"))
+    return boxes.select(*PAGE).distinct().join(fonts, PAGE, "left").select(*PAGE, F.coalesce("median", F.lit(10.0)).alias("median"))
 
 
-def with_median(boxes: DataFrame) -> DataFrame:
-    return boxes.join(median_fonts(boxes), "doc_id")
+def with_median(boxes: DataFrame, consumed: DataFrame | None = None) -> DataFrame:
+    return boxes.join(median_fonts(boxes, consumed), PAGE)
 
 
 def envelopes(boxes: DataFrame, *keys: str) -> DataFrame:
@@ -85,62 +87,140 @@ def overlay_math(boxes: DataFrame) -> DataFrame:
 
 
 def nearest_markers(names: DataFrame, markers: DataFrame) -> DataFrame:
-    """For each name the nearest marker on its line within -0.015 and +0.035 of its right end."""
-    m = markers.select("doc_id", "page", F.col("seq").alias("marker_seq"), F.col("text").alias("marker"), F.col("x0").alias("m_x0"), F.col("y0").alias("m_y0"))
-    near = names.join(m, PAGE).filter((F.abs(F.col("m_y0") - F.col("y0")) < 0.015) & F.col("m_x0").between(F.col("x1") - 0.015, F.col("x1") + 0.035))
-    best = F.min_by(F.struct("marker_seq", "marker"), F.struct(F.abs(F.col("m_x0") - F.col("x1")), F.col("marker_seq"))).alias("m")
-    return near.groupBy("doc_id", "page", "seq", "text").agg(best).select("doc_id", "page", "seq", "text", "m.marker_seq", "m.marker")
+    """The marker of each name (doc_id, page, seq of its line, nth, x0, x1, y0): that of the same rank where a line has as many
+    markers as names, else the one nearest to the name's end of those whose centre lies from 0.015 before the name to 0.035 after it."""
+    m = markers.select("doc_id", "page", F.col("seq").alias("marker_seq"), F.col("text").alias("marker"), F.col("x0").alias("m_x0"), F.col("x1").alias("m_x1"), F.col("y0").alias("m_y0"))
+    line = ["doc_id", "page", "seq"]
+    near = names.join(m, PAGE).filter(F.abs(F.col("m_y0") - F.col("y0")) < 0.015)
+    ranked = Window.partitionBy(*line, "nth").orderBy("m_x0", "marker_seq")
+    n_names = names.groupBy(*line).agg(F.count("*").alias("n_names"))
+    rank = names.select(*line, "nth", F.row_number().over(Window.partitionBy(*line).orderBy("nth")).alias("rank"))
+    near = near.withColumns({"m_rank": F.row_number().over(ranked), "n_markers": F.count("*").over(Window.partitionBy(*line, "nth"))}).join(n_names, line).join(rank, [*line, "nth"])
+    centre = (F.col("m_x0") + F.col("m_x1")) / 2
+    beside = (centre >= F.col("x0") - 0.015) & (centre <= F.col("x1") + 0.035)
+    fits = F.when(F.col("n_markers") == F.col("n_names"), F.col("m_rank") == F.col("rank")).otherwise(beside)
+    best = F.min_by(F.struct("marker_seq", "marker"), F.struct(F.abs(F.col("m_x0") - F.col("x1")), F.col("m_y0"), F.col("m_x0"), F.col("marker_seq"))).alias("m")
+    return near.filter(fits).groupBy(*line, "nth").agg(best).select(*line, "nth", "m.marker_seq", "m.marker")
 
 
 def gap_islands(boxes: DataFrame, gap: float) -> DataFrame:
     """Islands of boxes by row; a new one starts where the gap to the lowest bottom so far is over `gap`."""
     order = Window.partitionBy(*PAGE).orderBy("y0", "x0", "seq")
     low = F.max("y1").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    b = boxes.withColumn("starts", F.when(low.isNull() | (F.round(F.col("y0") - low, 6) > gap), 1).otherwise(0))
+    b = boxes.withColumn("starts", F.when(low.isNull() | (F.col("y0") - low > gap), 1).otherwise(0))
     return b.withColumn("island", F.sum("starts").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("starts")
 
 
-def table_regions(boxes: DataFrame) -> DataFrame:
-    """Boxes from a `Table n` start on until a large font follows a gap; under two boxes are no table."""
+def table_boxes(boxes: DataFrame) -> DataFrame:
+    """The boxes of each table (start_seq): all from the top of a `Table n` start on, until a font of 9.5 or more follows a gap over 0.015. One box alone is none."""
+    starts = boxes.filter(F.col("text").rlike(r"(?U)^Table\s+\d+\b")).select("doc_id", "page", F.col("seq").alias("start_seq"), F.col("y0").alias("s_y0"))
     order = Window.partitionBy("doc_id", "page", "start_seq").orderBy("y0", "x0", "seq")
-    starts = boxes.filter(F.col("text").rlike(r"^Table\s+[0-9]+\b")).select("doc_id", "page", F.col("seq").alias("start_seq"), F.col("y0").alias("s_y0"), F.col("x0").alias("s_x0"))
-    after = (F.col("y0") > F.col("s_y0")) | ((F.col("y0") == F.col("s_y0")) & ((F.col("x0") > F.col("s_x0")) | ((F.col("x0") == F.col("s_x0")) & (F.col("seq") >= F.col("start_seq")))))
-    rows = boxes.join(starts, PAGE).filter(after)
-    gap = F.round(F.col("y0") - F.lag("y1").over(order), 6)
-    stop = F.sum(_flag((F.col("font_size") >= 9.5) & (F.coalesce(gap, F.lit(0.0)) > 0.004))).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    inside = rows.withColumn("stop", stop).filter("stop = 0")
-    return envelopes(inside, "doc_id", "page", "start_seq").filter("n_boxes >= 2")
+    rows = boxes.join(starts, PAGE).filter(F.col("y0") >= F.col("s_y0"))
+    stop = F.coalesce((F.col("font_size") >= 9.5) & (F.col("y0") - F.lag("y1").over(order) > 0.015), F.lit(False))
+    rows = rows.withColumn("stop", _flag(stop))
+    rows = rows.withColumn("stops", F.sum("stop").over(order.rowsBetween(Window.unboundedPreceding, 0))).filter("stops = 0")
+    return rows.withColumn("n_in", F.count("*").over(Window.partitionBy("doc_id", "page", "start_seq"))).filter("n_in >= 2").select(*boxes.columns, "start_seq")
 
 
-def reference_groups(boxes: DataFrame) -> DataFrame:
-    """Each `[n]` starts a reference and later lines continue it; lines before the first are left out."""
-    order = Window.partitionBy("doc_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    b = boxes.withColumn("reference", F.sum(_flag(S.is_reference_start())).over(order)).filter("reference > 0")
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"]), " ")
-    label = S.labelled(F.element_at(F.array_sort(F.collect_list(F.struct("seq", "text"))), 1)["text"], "reference")[0]
-    return b.groupBy("doc_id", "reference").agg(label.alias("label"), F.count("*").alias("n_lines"), joined.alias("text"))
+def table_regions(boxes: DataFrame) -> DataFrame:
+    """B3, F10."""
+    return envelopes(table_boxes(boxes), "doc_id", "page", "start_seq")
 
 
-def figure_captions(boxes: DataFrame) -> DataFrame:
-    """Each caption start in the upper part with three boxes before it, and the boxes that continue it without a gap."""
-    page = Window.partitionBy(*PAGE).orderBy("y0", "x0", "seq")
-    starts = boxes.withColumn("before", F.row_number().over(page) - 1).filter(F.col("text").rlike(r"^Fig\.\s*[0-9]+\b") & (F.col("y0") < 0.6) & (F.col("before") >= 3))
+def _texts(name: str = "text") -> Column:
+    return F.transform(F.array_sort(F.collect_list(F.struct("at", "seq", name))), lambda x: x[name])
+
+
+def _joined(texts: Column) -> Column:
+    return F.aggregate(F.slice(texts, 2, F.greatest(F.size(texts) - 1, F.lit(0))), F.element_at(texts, 1), S.joined_lines)
+
+
+def reference_groups(boxes: DataFrame) -> DataFrame:
+    """Once references have begun (at a `References` heading, or where a document has none at its first `[n]`) each `[n]` starts a
+    reference and all else continues the last one; boxes between the heading and the first `[n]` are left out. Texts are joined line by line."""
+    heading = F.lower(F.regexp_replace("text", r"(?U)^\s+|\s+$", "")) == "references"
+    on_page = F.max(_flag(heading)).over(Window.partitionBy(*PAGE)) == 1
+    b = reading_order(boxes).withColumns({"head": heading, "row": F.row_number().over(Window.partitionBy(*PAGE).orderBy("y0", "x0", "seq")), "by_row": on_page})
+    b = b.withColumn("at", F.col("page") * F.lit(1_000_000) + F.when(F.col("by_row"), F.col("row")).otherwise(F.col("reading_order")))
+    b = b.withColumn("has_head", F.max(_flag(F.col("head"))).over(Window.partitionBy("doc_id")))
+    order = Window.partitionBy("doc_id").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    begun = F.when(F.col("has_head") == 1, F.sum(_flag(F.col("head"))).over(order)).otherwise(1)
+    b = b.withColumn("begun", begun).filter((F.col("begun") > 0) & ~F.col("head"))
+    b = b.withColumn("reference", F.sum(_flag(S.is_reference_start())).over(order)).filter("reference > 0")
+    label = S.labelled(F.element_at(F.col("texts"), 1), "reference")[0]
+    made = b.groupBy("doc_id", "reference").agg(F.count("*").alias("n_lines"), _texts().alias("texts"))
+    return made.select("doc_id", "reference", label.alias("label"), "n_lines", _joined(F.col("texts")).alias("text"))
+
+
+def figure_boxes(boxes: DataFrame) -> DataFrame:
+    """The caption boxes of each figure (start_seq): a `Fig. n` start above 0.6 after at least three boxes that end 0.005 above
+    it (page numbers aside), and what continues it without a gap over 0.018. `top` is the least y0 of the boxes above."""
+    starts = boxes.filter(F.col("text").rlike(r"(?U)^Fig\.\s*\d+\b") & (F.col("y0") < 0.6))
     s = starts.select("doc_id", "page", F.col("seq").alias("start_seq"), *[F.col(c).alias("s_" + c) for c in ("x0", "y0", "font_size")])
-    window = (F.col("y0") >= F.col("s_y0") - 0.002) & (F.col("y1") <= F.col("s_y0") + 0.23) & (F.col("font_size") <= F.col("s_font_size") + 0.5) & (F.col("x0") >= F.col("s_x0") - 0.02)
+    above = boxes.filter(~S.is_page_number()).select(*PAGE, F.col("y0").alias("p_y0"), F.col("y1").alias("p_y1"))
+    prior = s.join(above, PAGE).filter(F.col("p_y1") < F.col("s_y0") - 0.005).groupBy("doc_id", "page", "start_seq").agg(F.count("*").alias("n_above"), F.min("p_y0").alias("top"))
+    s = s.join(prior.filter("n_above >= 3"), ["doc_id", "page", "start_seq"]).drop("n_above")
+    window = (F.col("s_y0") - 0.002 <= F.col("y0")) & (F.col("y1") <= F.col("s_y0") + 0.23) & (F.col("font_size") <= F.col("s_font_size") + 0.5) & (F.col("x0") >= F.col("s_x0") - 0.02)
     rows = boxes.join(s, PAGE).filter(window)
     order = Window.partitionBy("doc_id", "page", "start_seq").orderBy("y0", "x0", "seq")
     low = F.max("y1").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    rows = rows.withColumn("gap", _flag(F.coalesce(F.round(F.col("y0") - low, 6) > 0.018, F.lit(False))))
-    inside = rows.withColumn("gaps", F.sum("gap").over(order.rowsBetween(Window.unboundedPreceding, 0))).filter("gaps = 0")
-    return envelopes(inside, "doc_id", "page", "start_seq")
+    rows = rows.withColumn("gap", _flag(F.coalesce(F.col("y0") - low > 0.018, F.lit(False))))
+    rows = rows.withColumn("gaps", F.sum("gap").over(order.rowsBetween(Window.unboundedPreceding, 0))).filter("gaps = 0")
+    return rows.select(*boxes.columns, "start_seq", "s_y0", "top")
 
 
-def formula_clusters(boxes: DataFrame) -> DataFrame:
-    """Each formula seed with the boxes on its row that hold few words or a smaller font."""
-    seeds = boxes.filter(S.is_math_seed()).select("doc_id", "page", F.col("seq").alias("seed"), ((F.col("y0") + F.col("y1")) / 2).alias("cy"), F.col("font_size").alias("seed_font"))
+def figure_captions(boxes: DataFrame) -> DataFrame:
+    return envelopes(figure_boxes(boxes), "doc_id", "page", "start_seq")
+
+
+def figure_graphics(figures: DataFrame) -> DataFrame:
+    """B2: the region of each figure above its caption, from figure_boxes."""
+    g = figures.groupBy("doc_id", "page", "start_seq").agg(F.first("s_y0").alias("s_y0"), F.first("top").alias("t"))
+    y0, y1 = S.clamped(F.col("t") - 0.01), S.clamped(F.col("s_y0") - 0.008)
+    return g.select("doc_id", "page", "start_seq", F.lit(0.14).alias("x0"), y0.alias("y0"), F.lit(0.86).alias("x1"), F.when(y1 <= y0, F.least(y0 + 0.000001, F.lit(1.0))).otherwise(y1).alias("y1"), "s_y0")
+
+
+def formula_boxes(boxes: DataFrame, regions: DataFrame | None = None) -> DataFrame:
+    """The boxes of each formula (seed): a seed and the boxes whose centre is within 0.018 of its own, with two words at most or a
+    font under 0.85 of its own. One box alone is none. From the top down, a seed that an earlier formula holds starts none.
+    Boxes that a region covers to 0.2 or more are left out."""
+    b = boxes if regions is None else without_regions(boxes, regions)
     centre = (F.col("y0") + F.col("y1")) / 2
-    near = boxes.join(seeds, PAGE).filter((F.round(F.abs(centre - F.col("cy")), 6) <= 0.018) & ((S.natural_words() <= 2) | (F.col("font_size") < 0.85 * F.col("seed_font"))))
-    return envelopes(near, "doc_id", "page", "seed")
+    seeds = b.filter(S.is_math_seed()).select("doc_id", "page", F.col("seq").alias("seed"), centre.alias("cy"), F.col("font_size").alias("seed_font"), F.struct("y0", "x0", "seq").alias("place"))
+    near = b.join(seeds, PAGE).filter((F.abs(centre - F.col("cy")) <= 0.018) & ((S.natural_words() <= 2) | (F.col("font_size") < 0.85 * F.col("seed_font"))))
+    held = near.groupBy("doc_id", "page", "seed").agg(F.min("place").alias("place"), F.collect_list("seq").alias("seqs")).filter(F.size("seqs") >= 2)
+    page = held.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct("place", "seed", "seqs"))).alias("all"))
+    none = F.expr("struct(cast(array() as array<int>) as used, cast(array() as array<int>) as taken)")
+
+    def take(a: Column, x: Column) -> Column:
+        free = ~F.array_contains(a["used"], x["seed"])
+        return F.when(free, F.struct(F.concat(a["used"], x["seqs"]).alias("used"), F.concat(a["taken"], F.array(x["seed"])).alias("taken"))).otherwise(a)
+
+    taken = page.select(*PAGE, F.explode(F.aggregate("all", none, take)["taken"]).alias("seed"))
+    return near.join(taken, ["doc_id", "page", "seed"], "left_semi").select(*boxes.columns, "seed")
+
+
+def formula_clusters(boxes: DataFrame, regions: DataFrame | None = None) -> DataFrame:
+    return envelopes(formula_boxes(boxes, regions), "doc_id", "page", "seed")
+
+
+def math_exclusions(boxes: DataFrame) -> DataFrame:
+    """Regions in which no formula is sought: graphics, caption boxes and tables."""
+    figures = figure_boxes(boxes)
+    return figure_graphics(figures).select(*PAGE, *BOX).unionByName(figures.select(*PAGE, *BOX)).unionByName(table_regions(boxes).select(*PAGE, *BOX))
+
+
+def consumed(boxes: DataFrame) -> DataFrame:
+    """U4: (doc_id, page, seq, kind) of the boxes that the title, figures (captions and what their graphics touch), tables and formulas use up."""
+    def part(df: DataFrame, kind: str) -> DataFrame:
+        return df.select("doc_id", "page", "seq", F.lit(kind).alias("kind"))
+
+    figures = figure_boxes(boxes)
+    g = figure_graphics(figures).select("doc_id", "page", "s_y0", *[F.col(c).alias("g_" + c) for c in BOX])
+    above = boxes.join(g, PAGE).filter((F.col("y1") < F.col("s_y0") - 0.005) & ~S.is_page_number() & (S.overlap([F.col(c) for c in BOX], [F.col("g_" + c) for c in BOX]) > 0))
+    title = titles(boxes).withColumn("page", F.lit(1))
+    every = part(title, "title").unionByName(part(figures, "figure")).unionByName(part(above, "figure"))
+    return every.unionByName(part(table_boxes(boxes), "table")).unionByName(part(formula_boxes(boxes, math_exclusions(boxes)), "formula")).distinct()
 
 
 def sections(headings: DataFrame) -> DataFrame:
@@ -154,40 +234,108 @@ def sections(headings: DataFrame) -> DataFrame:
     return h.select("doc_id", "seq", "level", title.alias("title_id"), parent.alias("parent"), "top", F.when(F.col("level") == 2, F.col("sub")).otherwise(0).alias("sub"))
 
 
+def front_matter(boxes: DataFrame) -> DataFrame:
+    """B1: per document the title's bottom and font, the top of the abstract's label (0.7 without one), the author lines' font and bottom."""
+    first = boxes.filter("page = 1")
+    title = titles(boxes).join(first.select("doc_id", "seq", F.col("y1").alias("title_bottom"), F.col("font_size").alias("title_font")), ["doc_id", "seq"]).select("doc_id", "title_bottom", "title_font")
+    label = first.filter(F.lower(F.trim("text")) == "abstract").groupBy("doc_id").agg(F.min(F.struct("y0", "x0", "seq", "y1")).alias("l"))
+    f = title.join(label, "doc_id", "left").select("doc_id", "title_bottom", "title_font", F.coalesce("l.y0", F.lit(0.7)).alias("abstract_top"), F.col("l.y1").alias("abstract_bottom"))
+    lines = possible_author_lines(first, f)
+    font = lines.groupBy("doc_id").agg(F.max("font_size").alias("author_font"))
+    bottom = lines.join(font, "doc_id").filter(F.col("font_size") >= F.col("author_font") - 0.5).groupBy("doc_id").agg(F.first("author_font").alias("author_font"), F.max("y1").alias("author_bottom"))
+    return f.join(bottom, "doc_id", "left").withColumn("author_bottom", F.coalesce("author_bottom", "title_bottom"))
+
+
+def possible_author_lines(first: DataFrame, front: DataFrame) -> DataFrame:
+    """F5 before the font of the largest: lines with a comma between title and abstract, not in a small font."""
+    between = (F.col("title_bottom") < F.col("y0")) & (F.col("y0") < F.col("abstract_top"))
+    large = F.col("font_size") >= F.greatest(F.lit(10.5), F.col("title_font") * 0.6)
+    rows = first.join(front.select("doc_id", "title_bottom", "title_font", "abstract_top"), "doc_id")
+    return rows.filter(between & ~S.is_stamp() & large & F.contains("text", F.lit(","))).select(*first.columns)
+
+
+def author_lines(boxes: DataFrame, front: DataFrame) -> DataFrame:
+    """F5, A16."""
+    first = boxes.filter("page = 1")
+    rows = possible_author_lines(first, front).join(front.select("doc_id", "author_font"), "doc_id")
+    return rows.filter(F.col("font_size") >= F.col("author_font") - 0.5).select(*first.columns)
+
+
+def author_markers(boxes: DataFrame, front: DataFrame) -> DataFrame:
+    """boxes of digits, commas and daggers beside the author lines."""
+    rows = boxes.filter("page = 1").join(front.select("doc_id", "title_bottom", "author_bottom"), "doc_id")
+    beside = (F.col("title_bottom") < F.col("y0")) & (F.col("y0") <= F.col("author_bottom") + 0.012)
+    return rows.filter(beside & F.trim("text").rlike("^[0-9,†]+$")).select(*boxes.columns)
+
+
+def affiliation_lines(boxes: DataFrame, front: DataFrame) -> DataFrame:
+    """lines between authors and abstract in a font of 8.5 to 11.5; notes that start with a dagger are none."""
+    rows = boxes.filter("page = 1").join(front.filter("author_font IS NOT NULL").select("doc_id", "author_bottom", "abstract_top"), "doc_id")
+    between = (F.col("author_bottom") < F.col("y0")) & (F.col("y0") < F.col("abstract_top"))
+    return rows.filter(between & ~S.is_stamp() & F.col("font_size").between(8.5, 11.5) & ~F.col("text").startswith("†")).select(*boxes.columns)
+
+
 def affiliations(lines: DataFrame) -> DataFrame:
-    """A line that starts with a number and a capital starts an affiliation, others continue it."""
-    order = Window.partitionBy("doc_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    rows = lines.withColumn("affiliation", F.sum(_flag(F.col("text").rlike(r"^[1-9][0-9]?\s+[A-Z]"))).over(order)).filter("affiliation > 0")
-    ordered = F.array_sort(F.collect_list(F.struct("seq", "text")))
-    text = F.array_join(F.transform(ordered, lambda x: x["text"]), " ")
-    return rows.groupBy("doc_id", "affiliation").agg(S.labelled(F.element_at(ordered, 1)["text"], "affiliation")[0].alias("label"), F.length(text).alias("n_chars"), F.count("*").alias("n_lines"))
+    """Lines by place; one that starts with a number and a capital starts an affiliation, as the first line does; others continue it."""
+    order = Window.partitionBy("doc_id").orderBy("y0", "x0", "seq")
+    starts = (F.row_number().over(order) == 1) | F.col("text").rlike(r"(?U)^[1-9]\d?\s+[A-Z]")
+    rows = lines.withColumns({"starts": _flag(starts), "at": F.row_number().over(order)})
+    rows = rows.withColumn("affiliation", F.sum("starts").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    made = rows.groupBy("doc_id", "affiliation").agg(F.count("*").alias("n_lines"), _texts().alias("texts"))
+    text = _joined(F.col("texts"))
+    return made.select("doc_id", "affiliation", S.labelled(F.element_at("texts", 1), "affiliation")[0].alias("label"), text.alias("text"), "n_lines")
 
 
 def authors(lines: DataFrame) -> DataFrame:
-    """Names of comma-separated lines, placed along the line in proportion to their characters."""
-    parts = lines.select("doc_id", "page", "seq", "text", "x0", "x1", F.posexplode(F.split("text", ",")).alias("nth", "name"))
-    before = F.length(F.array_join(F.slice(F.split("text", ","), 1, F.col("nth")), ",")) + F.when(F.col("nth") > 0, 1).otherwise(0)
-    per_char = (F.col("x1") - F.col("x0")) / F.length("text")
+    """The names of comma-separated lines that hold a letter, without the white space around them, placed along the line in proportion to their characters."""
+    parts = F.split("text", ",", -1)
+    rows = lines.select("doc_id", "page", "seq", "text", "x0", "x1", "y0", "y1", F.posexplode(parts).alias("part", "raw"), parts.alias("parts")).filter(F.col("raw").rlike("[A-Za-z]"))
+    name = F.regexp_replace("raw", r"(?U)^\s+|\s+$", "")
+    before = F.aggregate(F.slice("parts", 1, F.col("part")), F.lit(0), lambda a, x: a + F.length(x) + 1) + F.length("raw") - F.length(F.regexp_replace("raw", r"(?U)^\s+", ""))
+    rows = rows.withColumns({"name": name, "before": before, "width": F.col("x1") - F.col("x0"), "n": F.length("text")})
+    x0, x1 = S.clamped(F.col("x0") + F.col("width") * F.col("before") / F.col("n")), S.clamped(F.col("x0") + F.col("width") * (F.col("before") + F.length("name")) / F.col("n"))
+    x1 = F.when(x1 <= x0, F.least(x0 + 0.000001, F.lit(1.0))).otherwise(x1)
     given, surname = S.name_parts(F.col("name"))
-    return parts.filter(F.trim("name") != "").select("doc_id", "seq", "nth", given.alias("given"), surname.alias("surname"), F.round(F.col("x0") + before * per_char, 6).alias("x0"), F.round(F.col("x0") + (before + F.length("name")) * per_char, 6).alias("x1"))
+    nth = F.row_number().over(Window.partitionBy("doc_id", "seq").orderBy("part")) - 1
+    return rows.select("doc_id", "page", "seq", nth.alias("nth"), "name", given.alias("given"), surname.alias("surname"), x0.alias("x0"), x1.alias("x1"), "y0")
 
 
-def abstract_continuation(boxes: DataFrame) -> DataFrame:
-    """How far page 2 goes on without a gap over 0.025 or a font jump over 1; stamps and page numbers are passed over."""
-    second = boxes.filter((F.col("page") == 2) & ~S.is_stamp() & ~S.is_page_number())
+def abstract_continuation(boxes: DataFrame, front: DataFrame) -> DataFrame:
+    """How far page 2 continues an abstract whose last box on page 1 ends below 0.68: until a gap over 0.025 or a font that differs
+    from the box before by over 1; stamps and page numbers are passed over."""
+    label = front.filter("abstract_bottom IS NOT NULL").select("doc_id", "abstract_bottom")
+    rest = boxes.filter((F.col("page") == 1) & ~S.is_page_number()).join(label, "doc_id").filter(F.col("y0") > F.col("abstract_bottom"))
+    last = rest.groupBy("doc_id").agg(F.max_by(F.struct("y1", "font_size"), F.struct("y0", "x0", "seq")).alias("l")).filter(F.col("l.y1") > 0.68).select("doc_id", F.col("l.font_size").alias("last_font"))
+    second = boxes.filter((F.col("page") == 2) & ~S.is_stamp() & ~S.is_page_number()).join(last, "doc_id")
     order = Window.partitionBy("doc_id").orderBy("y0", "x0", "seq")
-    stop = (F.round(F.col("y0") - F.lag("y1").over(order), 6) > 0.025) | (F.abs(F.col("font_size") - F.lag("font_size").over(order)) > 1)
-    rows = second.withColumn("stop", _flag(F.coalesce(stop, F.lit(False))))
+    gap = F.coalesce(F.col("y0") - F.lag("y1").over(order) > 0.025, F.lit(False))
+    jump = F.abs(F.col("font_size") - F.coalesce(F.lag("font_size").over(order), F.col("last_font"))) > 1
+    rows = second.withColumn("stop", _flag(gap | jump))
     rows = rows.withColumn("stops", F.sum("stop").over(order.rowsBetween(Window.unboundedPreceding, 0))).filter("stops = 0")
     return rows.groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.max("seq").alias("last_seq"))
 
 
+#: The types and reasons of omissions.
+REASONS = {
+    "table": ("other", "Table detected, but reliable cell structure cannot yet be reconstructed."),
+    "formula": ("other", "Detected display-math region; semantic formula recovery remains partial."),
+    "page-number": ("page-number", "Printed page number is not canonical article content."),
+    "stamp": ("page-header", "Repository side stamp is recorded as source metadata, not body text."),
+    "fragment": ("other", "Isolated mathematical typesetting fragment cannot yet be reconstructed reliably."),
+    "reference": ("other", "Reference continuation could not be assigned safely."),
+}
+
+
 def omissions(boxes: DataFrame) -> DataFrame:
-    """Page numbers, fragments and tables as omissions, numbered in that order."""
-    tables = table_regions(boxes).select("doc_id", "page", F.col("start_seq").alias("seq"), F.lit(0).alias("turn"), F.lit("other").alias("type"), F.lit("table").alias("reason"))
-    formulas = formula_clusters(boxes).select("doc_id", "page", F.col("seed").alias("seq"), F.lit(1).alias("turn"), F.lit("other").alias("type"), F.lit("math region").alias("reason"))
-    number = boxes.filter(S.is_page_number()).select("doc_id", "page", "seq", F.lit(2).alias("turn"), F.lit("page-number").alias("type"), F.lit("page number").alias("reason"))
-    fragment = boxes.filter(S.is_formula_fragment() & ~S.is_page_number() & ~S.is_math_seed()).select("doc_id", "page", "seq", F.lit(2).alias("turn"), F.lit("other").alias("type"), F.lit("fragment").alias("reason"))
-    every = tables.unionByName(formulas).unionByName(number).unionByName(fragment)
-    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("turn", "seq"))
-    return every.select("doc_id", "page", "seq", "type", "reason", F.format_string("omit-%06d", nth).alias("id"))
+    """Tables, formulas, then what no structure used: page numbers, stamps, fragments and small signs beside prose, numbered in that order."""
+    used = consumed(boxes)
+    beside = overlay_math(with_median(boxes, used)).select("doc_id", "seq", F.lit(True).alias("beside"))
+    left = reading_order(boxes).join(used.select("doc_id", "seq"), ["doc_id", "seq"], "left_anti").join(beside, ["doc_id", "seq"], "left")
+    kind = F.when(S.is_page_number(), "page-number").when(S.is_stamp(), "stamp").when(F.col("beside") | S.is_formula_fragment(), "fragment")
+    singles = left.withColumn("kind", kind).filter("kind IS NOT NULL").select("doc_id", "page", "seq", "kind", F.lit(2).alias("turn"), F.col("reading_order").alias("at"))
+    tables = table_regions(boxes).select("doc_id", "page", F.col("start_seq").alias("seq"), F.lit("table").alias("kind"), F.lit(0).alias("turn"), F.col("start_seq").alias("at"))
+    formulas = formula_clusters(boxes, math_exclusions(boxes)).select("doc_id", "page", F.col("seed").alias("seq"), F.lit("formula").alias("kind"), F.lit(1).alias("turn"), F.col("seed").alias("at"))
+    every = tables.unionByName(formulas).unionByName(singles)
+    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("turn", "page", "at", "seq"))
+    said = [F.element_at(F.create_map(*[x for k, v in REASONS.items() for x in (F.lit(k), F.lit(v[i]))]), F.col("kind")) for i in (0, 1)]
+    return every.select("doc_id", "page", "seq", said[0].alias("type"), said[1].alias("reason"), F.format_string("omit-%06d", nth).alias("id"))

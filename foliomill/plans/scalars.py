@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from foliomill.functions import scalars as S
 from foliomill.operators import golden as G
 from foliomill.operators import prose
+from foliomill.plans.layout import join_sql
 from foliomill.sources.bridge import BOXES, boxes
 
 QUERIES, SQL = {}, {}
@@ -94,11 +95,12 @@ def bbox_validity(spark, sf_dir):
     return b.select("l_orderkey", "l_linenumber", S.bbox_is_valid(*[F.col(c) for c in ("x0", "y0", "x1", "y1")]).alias("valid"))
 
 
+# every other month is written in small letters
 DATES = "'stamp ' || (1 + doc_id % 28) || ' ' || (['Jan','Feb','Mar','Apr','May','Jun','Jul','Aug','Sep','Oct','Nov','Dec'])[1 + doc_id % 13] || ' ' || (2000 + doc_id % 30)"
 
 
 @_query(
-    f"""WITH d AS (SELECT doc_id, coalesce({DATES}, 'no date') AS s, CASE WHEN doc_id % 3 = 0 THEN 'see arXiv:' || lpad((doc_id % 10000)::VARCHAR, 4, '0') || '.' || lpad((doc_id * 7 % 100000)::VARCHAR, 5, '0') || 'v2 end' ELSE substr(text, 1, 80) END AS t FROM documents)
+    f"""WITH d AS (SELECT doc_id, coalesce({DATES}, 'no date') AS s, CASE WHEN doc_id % 3 = 0 THEN 'see arXiv:' || lpad((doc_id % 10000)::VARCHAR, 4, '0') || '.' || lpad((doc_id * 7 % 100000)::VARCHAR, 5, '0') || 'v2 end' ELSE text END AS t FROM documents)
     SELECT doc_id, CASE WHEN s <> 'no date' THEN (1 + doc_id % 28) || '' || (1 + doc_id % 13) || '' || (2000 + doc_id % 30) END AS stamp_date, nullif(regexp_extract(t, '(?:arXiv:)?([0-9]{{4}}\\.[0-9]{{4,5}}v[0-9]+)', 1), '') AS preprint_id FROM d"""
 )
 def stamp_dates(spark, sf_dir):
@@ -106,7 +108,7 @@ def stamp_dates(spark, sf_dir):
     month = F.get(F.array(*[F.lit(m) for m in S.MONTHS]), (k % 13).cast("int"))
     stamp = F.coalesce(F.concat(F.lit("stamp "), (1 + k % 28).cast("string"), F.lit(" "), month, F.lit(" "), (2000 + k % 30).cast("string")), F.lit("no date"))
     number = F.concat(F.lit("see arXiv:"), F.lpad((k % 10000).cast("string"), 4, "0"), F.lit("."), F.lpad((k * 7 % 100000).cast("string"), 5, "0"), F.lit("v2 end"))
-    text = F.when(k % 3 == 0, number).otherwise(F.substring("text", 1, 80))
+    text = F.when(k % 3 == 0, number).otherwise(F.col("text"))
     return _t(spark, sf_dir, "documents").select("doc_id", S.stamp_date(stamp).alias("stamp_date"), S.preprint_id(text).alias("preprint_id"))
 
 
@@ -122,13 +124,9 @@ def public_urls(spark, sf_dir):
     return _t(spark, sf_dir, "pages").filter("url IS NOT NULL").select("page_id", S.is_public_url(url).alias("is_public"))
 
 
-@_query(
-    f"""WITH {BOXES}, l AS (SELECT doc_id, seq, text, lead(text) OVER (PARTITION BY doc_id ORDER BY seq) AS nxt FROM boxes)
-    SELECT doc_id, seq, trim(regexp_replace(CASE WHEN NOT ends_with(text, '-') THEN text || ' ' || nxt WHEN regexp_matches(nxt, '^(and|or)[\\s-]') THEN text || (CASE WHEN regexp_matches(nxt, '^(and|or)-') THEN '' ELSE ' ' END) || nxt
-      WHEN regexp_matches(nxt, '^[a-z]') THEN text || nxt ELSE text || ' ' || nxt END, '\\s+', ' ', 'g')) AS joined FROM l WHERE nxt IS NOT NULL AND seq % 11 = 3"""
-)
+@_query(f"WITH {BOXES}, l AS (SELECT doc_id, seq, text, lead(text) OVER (PARTITION BY doc_id ORDER BY seq) AS nxt FROM boxes) SELECT doc_id, seq, {join_sql('text', 'nxt')} AS joined FROM l WHERE nxt IS NOT NULL")
 def line_join(spark, sf_dir):
-    return prose.joined_neighbours(boxes(spark, sf_dir)).filter("seq % 11 = 3")
+    return prose.joined_neighbours(boxes(spark, sf_dir))
 
 
 @_query(None)

@@ -1,8 +1,9 @@
 """Positioned text boxes from plain documents, by a rule that Spark and the oracle both follow.
 
-The layout is ours and synthetic: a page has 40 rows; long lines are full-width, others alternate between two columns; some rows are
-rewritten by their number so that headings, page numbers, captions, tables, references, formulas, hyphens and stamps occur.
-All coordinates are thousandths, divided once.
+The layout is ours and synthetic: a page has 40 rows, one for each line of the text; long lines are full-width, others alternate between
+two columns. Every line is kept whole: some get a caption's, table's, reference's, affiliation's or heading's start or a hyphen at
+their end, and beside some stand boxes of our own (page numbers, formulas with numbers, fragments, an abstract label, stamps, markers).
+All coordinates are thousandths, divided once. seq is 8 times the line's number plus the kind of box (0 for the line itself).
 """
 
 from __future__ import annotations
@@ -12,32 +13,40 @@ from pyspark.sql import functions as F
 
 ROWS = 40
 
-#: Text by row number; the same words in Spark and in the oracle.
-TEXT_RULE = """CASE WHEN seq % 40 = 37 THEN CAST(page AS STRING)
- WHEN seq % 29 = 7 THEN concat('Table ', CAST(seq AS STRING), ' ', substr(line, 1, 30))
- WHEN seq % 13 = 4 THEN concat('Fig. ', CAST(seq AS STRING), ' ', substr(line, 1, 40))
- WHEN seq % 23 = 9 THEN concat('E = m c + ', CAST(seq AS STRING), ' x - y < z')
- WHEN seq % 31 = 11 THEN '- | x'
- WHEN seq % 19 = 6 THEN concat('[', CAST(seq AS STRING), '] ', substr(line, 1, 40))
- WHEN seq % 37 = 12 THEN concat(CAST(1 + seq % 9 AS STRING), ' ', substr(line, 1, 40))
- WHEN seq % 11 = 3 THEN concat(substr(line, 1, 60), '-')
- ELSE line END"""
+#: Texts by kind and line number; the same words in Spark and in the oracle.
+TEXTS = [
+    """CASE WHEN pos % 29 = 7 THEN concat('Table ', CAST(pos AS STRING), ' ', line)
+ WHEN pos % 13 = 4 THEN concat('Fig. ', CAST(pos AS STRING), ' ', line)
+ WHEN pos % 19 = 6 THEN concat('[', CAST(pos AS STRING), '] ', line)
+ WHEN pos % 37 = 12 THEN concat(CAST(1 + pos % 9 AS STRING), ' Institute ', line)
+ WHEN pos % 34 = 17 THEN concat('A', CAST(pos AS STRING), '. ', line)
+ WHEN pos % 11 = 3 THEN concat(line, '-')
+ ELSE line END""",
+    "CASE WHEN pos % 40 = 37 THEN CAST(page AS STRING) END",
+    "CASE WHEN pos % 23 = 9 THEN concat('E = 2 m + ', CAST(pos AS STRING), ' < z') END",
+    "CASE WHEN pos % 46 = 9 THEN concat('(', CAST(pos AS STRING), ')') END",
+    "CASE WHEN pos % 31 = 11 THEN '− | x' END",
+    "CASE WHEN pos % 53 = 20 THEN 'Abstract' END",
+    "CASE WHEN pos % 97 = 5 THEN concat('preprint:2103.', CAST(10000 + pos AS STRING), 'v1 [q] 3 mar 2021') END",
+    "CASE WHEN pos % 17 = 0 AND pos > 0 THEN concat(CAST(1 + pos % 9 AS STRING), ',†') END",
+]
 GEOMETRY = {
-    "x0": "CASE WHEN seq % 97 = 5 THEN 40 WHEN length(text) >= 400 THEN 100 WHEN seq % 2 = 0 THEN 100 ELSE 550 END",
-    "y0": "CASE WHEN seq % 97 = 5 THEN 180 ELSE 50 + 20 * (seq % 40) END",
-    "x1": "CASE WHEN seq % 97 = 5 THEN 80 WHEN length(text) >= 400 THEN 900 WHEN length(text) <= 12 THEN (CASE WHEN seq % 2 = 0 THEN 190 ELSE 640 END) WHEN seq % 2 = 0 THEN 450 ELSE 900 END",
-    "y1": "CASE WHEN seq % 97 = 5 THEN 860 ELSE 65 + 20 * (seq % 40) END",
-    "font": "CASE WHEN seq = 0 THEN 24 WHEN seq % 17 = 0 THEN 14 WHEN seq % 7 = 3 THEN 7 ELSE 10 END",
-    "conf": "900 + seq % 100",
+    "x0": "CASE kind WHEN 0 THEN (CASE WHEN length(text) >= 400 OR pos % 2 = 0 THEN 100 ELSE 550 END) WHEN 1 THEN 480 WHEN 2 THEN 460 WHEN 3 THEN 905 WHEN 4 THEN 905 WHEN 5 THEN 460 WHEN 6 THEN 40 ELSE 455 END",
+    "y0": "CASE WHEN kind = 6 THEN 180 ELSE 50 + 20 * (pos % 40) END",
+    "x1": "CASE kind WHEN 0 THEN (CASE WHEN length(text) >= 400 THEN 900 WHEN length(text) <= 12 THEN (CASE WHEN pos % 2 = 0 THEN 190 ELSE 640 END) WHEN pos % 2 = 0 THEN 450 ELSE 900 END) WHEN 1 THEN 500 WHEN 2 THEN 600 WHEN 3 THEN 930 WHEN 4 THEN 930 WHEN 5 THEN 540 WHEN 6 THEN 80 ELSE 465 END",
+    "y1": "CASE WHEN kind = 6 THEN 860 WHEN pos % 9 = 5 THEN 53 + 20 * (pos % 40) ELSE 65 + 20 * (pos % 40) END",
+    "font": "CASE WHEN kind = 7 THEN 8 WHEN kind <> 0 THEN 10 WHEN pos = 0 THEN 20 WHEN pos % 17 = 0 THEN 14 WHEN pos % 7 = 3 THEN 7 ELSE 10 END",
+    "conf": "900 + pos % 100",
 }
 COLUMNS = ["doc_id", "page", "seq", "text", "x0", "y0", "x1", "y1", "font_size", "confidence"]
 
 
 def boxes_of(documents: DataFrame) -> DataFrame:
-    """(doc_id, page, seq, text, x0, y0, x1, y1, font_size, confidence): one row for each line that is not blank."""
-    lines = documents.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("seq", "line")).filter("trim(line) <> ''")
-    rows = lines.withColumn("page", F.expr(f"CAST(seq DIV {ROWS} + 1 AS INT)")).withColumn("text", F.expr(TEXT_RULE))
-    rows = rows.withColumns({k: F.expr(f"CAST({v} AS INT)") for k, v in GEOMETRY.items()})
+    """(doc_id, page, seq, text, x0, y0, x1, y1, font_size, confidence): one row for each line that is not blank, and our own boxes beside them."""
+    lines = documents.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line")).filter("trim(line) <> ''")
+    lines = lines.withColumn("page", F.expr(f"CAST(pos DIV {ROWS} + 1 AS INT)"))
+    rows = lines.select("doc_id", "page", "pos", F.posexplode(F.array(*[F.expr(t) for t in TEXTS])).alias("kind", "text")).filter("text IS NOT NULL")
+    rows = rows.withColumns({k: F.expr(f"CAST({v} AS INT)") for k, v in GEOMETRY.items()}).withColumn("seq", F.expr("8 * pos + kind"))
     scaled = [(F.col(c) / F.lit(1000.0)).alias(c) for c in ("x0", "y0", "x1", "y1")]
     return rows.select("doc_id", "page", "seq", "text", *scaled, F.col("font").cast("double").alias("font_size"), (F.col("conf") / F.lit(1000.0)).alias("confidence"))
 
@@ -52,9 +61,9 @@ def _duck(sql: str) -> str:
 
 #: The same boxes for the oracle.
 BOXES = (
-    "lines AS (SELECT doc_id, unnest(range(len(l))) AS seq, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL)), "
-    f"paged AS (SELECT doc_id, CAST(seq AS INT) AS seq, line, CAST(seq // {ROWS} + 1 AS INT) AS page FROM lines WHERE trim(line) <> ''), "
-    f"texted AS (SELECT doc_id, page, seq, {_duck(TEXT_RULE)} AS text FROM paged), "
-    f"placed AS (SELECT doc_id, page, seq, text, {', '.join(f'{v} AS {k}_i' for k, v in GEOMETRY.items())} FROM texted), "
+    "lines AS (SELECT doc_id, unnest(range(len(l))) AS pos, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL)), "
+    f"paged AS (SELECT doc_id, CAST(pos AS INT) AS pos, line, CAST(pos // {ROWS} + 1 AS INT) AS page FROM lines WHERE trim(line) <> ''), "
+    f"kinds AS (SELECT doc_id, page, pos, unnest(range({len(TEXTS)})) AS kind, unnest([{', '.join(_duck(t) for t in TEXTS)}]) AS text FROM paged), "
+    f"placed AS (SELECT doc_id, page, CAST(8 * pos + kind AS INT) AS seq, text, {', '.join(f'{v} AS {k}_i' for k, v in GEOMETRY.items())} FROM kinds WHERE text IS NOT NULL), "
     "boxes AS (SELECT doc_id, page, seq, text, x0_i / 1000.0::DOUBLE AS x0, y0_i / 1000.0::DOUBLE AS y0, x1_i / 1000.0::DOUBLE AS x1, y1_i / 1000.0::DOUBLE AS y1, font_i::DOUBLE AS font_size, conf_i / 1000.0::DOUBLE AS confidence FROM placed)"
 )
