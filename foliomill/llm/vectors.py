@@ -4,12 +4,13 @@ Equal vectors become one. Unit vectors are quantised to int8 with the exact norm
 multiplied, and a pair can only reach the threshold if its product is above it less the pair's error bound. Such pairs, and no
 others, are computed again in double precision. A tile pair yields link counts and a spanning forest of its links, never pairs.
 
-Defined results: null or zero vectors and such with null or non-finite components link with nothing; vectors of different length do
+Other columns are not read. Defined results: null or zero vectors and such with null or non-finite components link with nothing; vectors of different length do
 not link; rows of equal vectors link with each other; repeated rows each have a row; component_id is null only where every vec_id is.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,10 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliomill.llm.common import components, settle, table
+from foliomill.llm.common import components, fold, lean, settle, table, unsettle
 
 TILE = 8192
 STRIPE = 1024
+#: Vectors of a tile that are not dealt further for the sake of idle cores.
+SMALL = 1024
 #: Dimensions whose int8 products float32 adds exactly (127 * 127 * 1024 < 2^24).
 EXACT = 1024
 #: Covers rounding of the double and float operations in a bound.
@@ -74,25 +77,6 @@ def tile_links(a: np.ndarray, b: np.ndarray, threshold: float, same: bool) -> It
             yield x[yes], y[yes]
 
 
-def _roots(n: int, edges: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """The least index that each of n nodes reaches by the edges."""
-    root = np.arange(n)
-    if not edges:
-        return root
-    x, y = np.concatenate([e[0] for e in edges]), np.concatenate([e[1] for e in edges])
-    while True:
-        low = np.minimum(root[x], root[y])
-        new = root.copy()
-        np.minimum.at(new, x, low)
-        np.minimum.at(new, y, low)
-        np.minimum.at(new, root[x], low)
-        np.minimum.at(new, root[y], low)
-        new = new[new]
-        if (new == root).all():
-            return root
-        root = new
-
-
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector: str = "embedding", *, threshold: float = 0.9, tile: int = TILE) -> DataFrame:
     """(vec_id, n_links, component_id, kept), one row for each row of vectors."""
     rows = vectors.select(F.col(id_col).alias("vec_id"), F.col(vector).cast("array<double>").alias("v"))
@@ -101,7 +85,10 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector: str = "e
     rows = settle(rows.select("vec_id", F.when(F.col("ok"), F.xxhash64("v")).alias("h"), F.when(F.col("ok"), F.col("v")).alias("v")))
     classes = rows.filter("h is not null").groupBy("h").agg(F.min("vec_id").alias("first"), F.count("*").alias("n"), F.first("v").alias("v"))
     classes = settle(classes.withColumn("dim", F.size("v")))
-    tiles = max(1, -(-classes.count() // tile))
+    n = classes.count()
+    # tiles of bounded size, and enough of them for all cores
+    cores = vectors.sparkSession.sparkContext.defaultParallelism
+    tiles = max(1, -(-n // tile), min(math.ceil(math.sqrt(2 * cores)), -(-n // SMALL)))
     mine = F.pmod(F.xxhash64("h"), F.lit(tiles)).cast("int")
     sent = classes.select("dim", "h", "n", "v", mine.alias("t"), F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))).alias("o"))
     sent = sent.select("dim", F.least("t", "o").alias("a"), F.greatest("t", "o").alias("b"), "t", "h", "n", "v")
@@ -113,14 +100,14 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector: str = "e
         x = v.flatten().to_numpy().reshape(len(v), -1)
         order = np.argsort(h)
         left, right = order[t[order] == first], order[t[order] == second]
-        links, edges = np.zeros(len(h), np.int64), []
+        links, root = np.zeros(len(h), np.int64), np.arange(len(h))
         if len(left) and len(right):
             for i, j in tile_links(x[left], x[right], threshold, first == second):
                 p, q = left[i], right[j]
                 np.add.at(links, p, n[q])
                 np.add.at(links, q, n[p])
-                edges.append((p, q))
-        root = _roots(len(h), edges)
+                root = fold(root, p, q)  # links go into the forest at once and are not kept
+        lean()
         on = links > 0
         return pa.table({"h": h[on], "links": links[on], "root": h[root[on]]})
 
@@ -129,6 +116,8 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector: str = "e
     parts = components(made.select(F.col("h").alias("a"), F.col("root").alias("b")))
     of = classes.select("h", "first", "n").join(links, "h", "left").join(parts.withColumnRenamed("node", "h"), "h", "left")
     of = settle(of.select("h", "first", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "h").alias("component")))
+    for used in (classes, made, parts):
+        unsettle(used)
     least = of.groupBy("component").agg(F.min("first").alias("component_id"))
     of = of.join(least, "component").select("h", "n_links", "component_id")
     out = rows.select("vec_id", "h").join(of, "h", "left")

@@ -527,6 +527,20 @@ def test_vectors_match_brute_force(spark, tile):
     assert vectors.near_duplicates(table.limit(0)).count() == 0
 
 
+def test_vectors_of_one_dense_cluster(spark):
+    rng = np.random.default_rng(6)
+    v = rng.normal(size=32) + 0.01 * rng.normal(size=(3000, 32))
+    table = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    got = vectors.near_duplicates(table).agg(F.min("n_links").alias("low"), F.max("n_links").alias("high"), F.max("component_id").alias("c"), F.count_if("kept").alias("kept")).first()
+    assert tuple(got) == (2999, 2999, 0, 1)
+
+
+def test_vectors_odd_rows(spark):
+    rows = [(1, [1.0, 0.0]), (1, [1.0, 0.0]), (None, [1.0, 0.001]), (2, None), (3, []), (4, [0.0, 0.0]), (5, [float("nan"), 1.0]), (6, [1.0, 0.0, 0.0]), (None, None)]
+    got = Counter((r["vec_id"], r["n_links"], r["component_id"]) for r in vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
+    assert got == Counter([(1, 2, 1), (1, 2, 1), (None, 2, 1), (2, 0, 2), (3, 0, 3), (4, 0, 4), (5, 0, 5), (6, 0, 6), (None, 0, None)])
+
+
 def test_quantisation_bound_is_rigorous():
     u = np.random.default_rng(2).normal(size=(200, 64))
     u /= np.linalg.norm(u, axis=1)[:, None]
