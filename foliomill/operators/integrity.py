@@ -15,9 +15,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from foliomill.operators.prose import flat
+
 #: White space between tokens, as Spark's and the oracle's patterns have it.
-BLANK = " \t\n\v\f\r"
-SPACE = re.compile(f"[{BLANK}]+")
 ITEMS_A_BLOCK = 512
 
 
@@ -86,6 +86,10 @@ def is_valid(statuses: DataFrame) -> DataFrame:
     return statuses.agg(F.bool_and(F.col("status") == "passed").alias("valid"), F.count_if(F.col("status") == "failed").alias("n_failed"), F.count_if(F.col("status") == "not-run").alias("n_not_run"))
 
 
+def tokens(text: str) -> list[str]:
+    return re.findall(r"\w+", flat(text))
+
+
 def token_overlap(a: Column, b: Column) -> Column:
     """Sum of the lesser counts over the tokens of a, by the number of tokens of a (1 at least). Token arrays."""
     shared = F.aggregate(F.array_distinct(a), F.lit(0), lambda acc, x: acc + F.least(F.size(F.filter(a, lambda y: y == x)), F.size(F.filter(b, lambda y: y == x))))
@@ -95,31 +99,32 @@ def token_overlap(a: Column, b: Column) -> Column:
 def overlaps(items: DataFrame, docs: DataFrame) -> DataFrame:
     """A8 of every item (item_id, text) with the whole text of every document (doc_id, text): item_id, doc_id, overlap.
 
-    Tokens part at white space; null texts are left out. The items are few: they are held in blocks and every document passes each block.
+    Tokens are runs of word characters of the case-folded text; null texts are left out, and an item without tokens has no overlap. The
+    items are few: they are held in blocks and every document passes each block.
     """
-    found = [(r["item_id"], SPACE.split(r["text"].strip(BLANK))) for r in items.filter("text IS NOT NULL").select("item_id", "text").collect()]
+    found = [(r["item_id"], tokens(r["text"])) for r in items.filter("text IS NOT NULL").select("item_id", "text").collect()]
     blocks = []
     for at in range(0, len(found), ITEMS_A_BLOCK):
         part = found[at : at + ITEMS_A_BLOCK]
         # the k-th copy of a token is a symbol of its own, so that a lesser count is a number of shared symbols
         symbols: dict[str, list[int]] = {}
         cells, size = [], 0
-        for j, (_, tokens) in enumerate(part):
-            for token, n in Counter(tokens).items():
+        for j, (_, said) in enumerate(part):
+            for token, n in Counter(said).items():
                 have = symbols.setdefault(token, [])
                 while len(have) < n:
                     have.append(size)
                     size += 1
                 cells += [(e, j) for e in have[:n]]
         table = np.zeros((size, len(part)), np.uint8)
-        table[tuple(np.array(cells).T)] = 1
+        table[tuple(np.array(cells, np.int64).reshape(-1, 2).T)] = 1
         blocks.append((np.array([i for i, _ in part], np.int64), np.array([len(t) for _, t in part], np.int32), symbols, table))
     shared = docs.sparkSession.sparkContext.broadcast(blocks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                have = Counter(SPACE.split(text.strip(BLANK)))
+                have = Counter(tokens(text))
                 for ids, sizes, symbols, table in shared.value:
                     at = [e for t in have.keys() & symbols.keys() for e in symbols[t][: have[t]]]
                     n = table[at].sum(axis=0, dtype=np.int32)
@@ -128,7 +133,7 @@ def overlaps(items: DataFrame, docs: DataFrame) -> DataFrame:
 
     rows = docs.filter("text IS NOT NULL").select(F.col("doc_id").cast("long"), "text")
     made = rows.mapInArrow(run, "item_id long, doc_id long, shared int, size int")
-    return made.select("item_id", "doc_id", F.round(F.col("shared") / F.col("size"), 6).alias("overlap"))
+    return made.select("item_id", "doc_id", F.round(F.col("shared") / F.greatest("size", F.lit(1)), 6).alias("overlap"))
 
 
 def text_hygiene(df: DataFrame, text: str = "text") -> DataFrame:

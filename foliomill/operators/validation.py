@@ -13,6 +13,7 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
+from operator import or_
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,7 +30,7 @@ SCHEMA = ", ".join(f"`{k}` {v}" for k, v in COLUMNS.items())
 
 # --- fixed values of the format -------------------------------------------------------------------------------------
 REQUIRED = ("manifest.json", "content/document.xml", "provenance/pages.jsonl", "provenance/elements.jsonl", "provenance/omissions.jsonl", "validation/report.json", "checksums.sha256")
-ROOTS = ("manifest.json", "checksums.sha256", "content", "provenance", "validation", "assets", "annotations", "extensions", "LICENSES")
+ROOTS = ("manifest.json", "checksums.sha256", "content/", "provenance/", "assets/content/", "assets/evidence/pages/", "assets/sources/", "annotations/", "validation/")
 # ----------------------------------------------------------------------------------------------------------------------
 
 REF = "source_id string, physical_page int, logical_page_id string, page_image string"
@@ -116,7 +117,7 @@ def check_files(p: Package) -> list[DataFrame]:
         return paths.map(str.casefold)
 
     ok = is_nfc(F.col("path"))
-    top = F.split_part("path", F.lit("/"), F.lit(1))
+    standard = reduce(or_, [F.col("path").startswith(x) if x.endswith("/") else F.col("path") == x for x in ROOTS])
     need = p.files.select("package").distinct().select("package", F.explode(F.array(*[F.lit(x) for x in REQUIRED])).alias("path"))
     twice = f.select("package", "path", folded(F.col("path")).alias("low")).withColumn("n", F.row_number().over(Window.partitionBy("package", "low").orderBy("path"))).filter("n > 1")
     return [
@@ -125,7 +126,7 @@ def check_files(p: Package) -> list[DataFrame]:
         say(f.filter(ok & ~S.is_package_path(F.col("path"))), "illegal_path_name", c, path="path"),
         say(twice, "casefold_collision", c, path="path"),
         say(f.filter("kind = 'other'"), "non_regular_file", c, path="path"),
-        say(f.filter(~top.isin(*ROOTS)), "unexpected_package_path", c, path="path"),
+        say(f.filter((F.col("kind") == "file") & ~standard), "unexpected_package_path", c, path="path"),
         say(need.join(f.filter("kind = 'file'").select("package", "path"), ["package", "path"], "left_anti"), "required_file_missing", c, path="path"),
     ]
 

@@ -136,12 +136,12 @@ def report_validity(spark, sf_dir):
 
 
 @_query(
-    """WITH p AS (SELECT b.item_id, d.doc_id, string_split(trim(regexp_replace(b.text, '\\s+', ' ', 'g')), ' ') AS x, string_split(trim(regexp_replace(substr(d.text, 1, 400), '\\s+', ' ', 'g')), ' ') AS y FROM benchmark b JOIN documents d ON d.doc_id % 40 = b.item_id % 40 WHERE d.doc_id < 400 AND b.text IS NOT NULL AND d.text IS NOT NULL),
-    t AS (SELECT item_id, doc_id, len(x) AS n, list_sum(list_transform(list_distinct(x), lambda w: least(len(list_filter(x, lambda z: z = w)), len(list_filter(y, lambda z: z = w))))) AS s FROM p)
-    SELECT item_id, doc_id, round(s / greatest(n, 1), 6) AS overlap FROM t"""
+    r"""WITH i AS (SELECT item_id, regexp_extract_all(lower(nfc_normalize(text)), '[\p{L}\p{N}_]+') AS t FROM benchmark WHERE text IS NOT NULL), d AS (SELECT doc_id, regexp_extract_all(lower(nfc_normalize(text)), '[\p{L}\p{N}_]+') AS t FROM documents WHERE text IS NOT NULL),
+    iw AS (SELECT item_id, w, count(*) AS n FROM (SELECT item_id, unnest(t) AS w FROM i) GROUP BY 1, 2), dw AS (SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest(t) AS w FROM d) GROUP BY 1, 2),
+    s AS (SELECT item_id, doc_id, sum(least(iw.n, dw.n)) AS s FROM iw JOIN dw ON iw.w = dw.w GROUP BY 1, 2)
+    SELECT i.item_id, d.doc_id, round(coalesce(s, 0) / greatest(len(i.t), 1), 6) AS overlap FROM i CROSS JOIN d LEFT JOIN s ON s.item_id = i.item_id AND s.doc_id = d.doc_id"""
 )
 def token_overlap(spark, sf_dir):
-    # every item with the whole text of every document; the SQL still holds the id rules and the prefix of the first round
     return I.overlaps(_t(spark, sf_dir, "benchmark"), _t(spark, sf_dir, "documents"))
 
 

@@ -11,6 +11,8 @@ from foliomill.plans.layout import join_sql
 from foliomill.sources.bridge import BOXES, boxes
 
 QUERIES, SQL = {}, {}
+#: Parts that rows are dealt to for each block of queries.
+ROW_BLOCKS = 64
 
 
 def _query(sql: str | None):
@@ -50,15 +52,20 @@ def canonical_digest(spark, sf_dir):
 
 
 @_query(
-    """WITH b AS (SELECT vec_id, list_sum(list_transform(range(1, 64), lambda i: CASE WHEN embedding[i + 1] > 0 THEN 1 ELSE 0 END * (1::HUGEINT << (i - 1)::INT)))::BIGINT AS bits FROM embeddings)
-    SELECT a.vec_id, b.vec_id AS other, bit_count(xor(a.bits, b.bits))::INT AS distance FROM b a JOIN b b ON b.vec_id BETWEEN a.vec_id + 1 AND a.vec_id + 8 WHERE bit_count(xor(a.bits, b.bits)) <= 26"""
+    """WITH b AS (SELECT vec_id, list_sum(list_transform(range(64), lambda i: CASE WHEN embedding[i + 1] > 0 THEN 1 ELSE 0 END * (CASE WHEN i = 63 THEN -(1::HUGEINT << 63) ELSE 1::HUGEINT << i::INT END)))::BIGINT AS bits FROM embeddings WHERE embedding IS NOT NULL)
+    SELECT a.vec_id, b.vec_id AS other, bit_count(xor(a.bits, b.bits))::INT AS distance FROM b a JOIN b b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0 AND bit_count(xor(a.bits, b.bits)) <= 20"""
 )
 def hamming_near(spark, sf_dir):
-    bits = F.expr("aggregate(sequence(1, 63), 0L, (acc, i) -> acc + CASE WHEN embedding[i] > 0 THEN shiftleft(1L, i - 1) ELSE 0L END)")
-    e = _t(spark, sf_dir, "embeddings").select("vec_id", bits.alias("bits"))
-    # neighbours by number: each row goes to the eight numbers before it
-    near = e.select(F.explode(F.sequence(F.col("vec_id") - 8, F.col("vec_id") - 1)).alias("vec_id"), F.col("vec_id").alias("other"), F.col("bits").alias("bits2"))
-    return e.join(near, "vec_id").select("vec_id", "other", S.hamming(F.col("bits"), F.col("bits2")).alias("distance")).filter("distance <= 26")
+    bits = F.expr("aggregate(sequence(1, 64), 0L, (acc, i) -> acc + CASE WHEN embedding[i - 1] > 0 THEN shiftleft(1L, i - 1) ELSE 0L END)")
+    e = _t(spark, sf_dir, "embeddings").filter("embedding IS NOT NULL").select("vec_id", bits.alias("bits"))
+    # every row with an id divisible by 50 is a query against all rows, in blocks of 1024 queries
+    queries = e.filter("vec_id % 50 = 0")
+    blocks = max(1, -(-queries.count() // 1024))
+    q = queries.select(F.col("vec_id").alias("q_id"), F.col("bits").alias("q_bits"), F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(ROW_BLOCKS - 1))).alias("part"))
+    rows = e.select("vec_id", "bits", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"), F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(ROW_BLOCKS)).cast("int").alias("part"))
+    distance = S.hamming(F.col("q_bits"), F.col("bits"))
+    near = rows.join(q, (rows["block"] == q["block"]) & (rows["part"] == q["part"]) & (F.col("q_id") != F.col("vec_id")) & (distance <= 20))
+    return near.select(F.col("q_id").alias("vec_id"), F.col("vec_id").alias("other"), distance.alias("distance"))
 
 
 MIME_SQL = "CASE lower(regexp_extract(p, '\\.([A-Za-z0-9]+)$', 1)) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in S.MIME.items()) + " END"
