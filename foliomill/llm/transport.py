@@ -22,7 +22,7 @@ from foliomill.llm.common import own, table, with_fields
 
 #: Fixed values of the format (ISO/IEC 13818-1).
 PACKET, SYNC, PAT_PID, PRIVATE_STREAM, PRIVATE_TYPE = 188, 0x47, 0x0000, 0xBD, 0x06
-CRC_POLYNOMIAL = 0x04C11DB7
+CRC_POLYNOMIAL, NULL_PID, PMT_TABLE = 0x04C11DB7, 0x1FFF, 2
 #: Ours: one program with one stream.
 PMT_PID, DATA_PID, PROGRAM = 0x1000, 0x0100, 1
 UNIT = 192
@@ -106,8 +106,11 @@ def write_stream(payload: bytes) -> bytes:
 
 @dataclass
 class Stream:
+    """What a stream holds. A unit is one elementary packet; pids, times, offsets and random have one entry for each, in the order in which they end."""
+
     payload: bytes = b""
     programs: dict[int, dict[int, int]] = field(default_factory=dict)
+    pids: list[int] = field(default_factory=list)
     times: list[int] = field(default_factory=list)
     offsets: list[int] = field(default_factory=list)
     random: list[bool] = field(default_factory=list)
@@ -115,38 +118,75 @@ class Stream:
     errors: int = 0
 
 
-def _body(packet: bytes) -> bytes | None:
-    section = packet[5 + packet[4] :]
-    size = (section[1] & 0x0F) << 8 | section[2]
-    whole = section[: 3 + size]
-    return whole[8:-4] if len(whole) == 3 + size and section_crc(whole) == 0 else None
+class Sections:
+    """Table sections of one kind of packet, put together over as many packets as they take."""
+
+    def __init__(self):
+        self.held: dict[int, bytes] = {}
+        self.errors = 0
+
+    def _cut(self, data: bytes) -> tuple[list[bytes], bytes]:
+        """Whole sections at the start of data, and what is left of one that goes on. Bytes FF after a section are stuffing."""
+        whole = []
+        while data and data[0] != 0xFF:
+            size = 3 + ((data[1] & 0x0F) << 8 | data[2]) if len(data) >= 3 else len(data) + 1
+            if len(data) < size:
+                return whole, data
+            whole.append(data[:size])
+            data = data[size:]
+        return whole, b""
+
+    def feed(self, pid: int, data: bytes, starts: bool) -> list[bytes]:
+        """The sections that end in this packet and whose checksums hold."""
+        before = self.held.pop(pid, b"")
+        if starts:
+            pointer = data[0] if data else 0
+            done, cut_off = self._cut(before + data[1 : 1 + pointer]) if before else ([], b"")
+            more, left = self._cut(data[1 + pointer :])
+            done += more
+            self.errors += bool(cut_off)
+        elif before:
+            done, left = self._cut(before + data)
+        else:  # the start was lost
+            done, left = [], b""
+            self.errors += 1
+        if left:
+            self.held[pid] = left
+        good = [x for x in done if len(x) >= 12 and section_crc(x) == 0]
+        self.errors += len(done) - len(good)
+        return good
 
 
 def read_stream(media: bytes) -> Stream:
-    """Program tables, continuity check, elementary packets, time stamps with their payload offsets and random-access marks."""
+    """Program tables, continuity check, elementary packets, time stamps with their payload offsets and random-access marks.
+
+    Sections may take several packets and have adaptation fields before them; tables that are not in force yet are left out. A counter
+    may jump where the discontinuity mark is set. An elementary packet of length 0 goes on until the next one of its stream starts.
+    """
     s = Stream(packets=len(media) // PACKET, errors=int(len(media) % PACKET > 0))
     tables: dict[int, int] = {}
     wanted: set[int] = set()
     last: dict[int, int] = {}
-    parts: list[bytes] = []
+    parts: dict[int, list[bytes]] = {}
+    marks: dict[int, bool] = {}
+    sections = Sections()
     out: list[bytes] = []
     size = 0
-    mark = False
 
-    def close() -> None:
+    def close(pid: int) -> None:
         nonlocal size
-        pes = b"".join(parts)
-        parts.clear()
+        pes = b"".join(parts.pop(pid))
         if len(pes) < 9 or pes[:3] != b"\x00\x00\x01":
             s.errors += 1
             return
         length, flags, more = pes[4] << 8 | pes[5], pes[7], pes[8]
-        data = pes[9 + more : 6 + length]
-        s.errors += len(pes) < 6 + length
-        pts = (pes[9] & 0x0E) << 29 | pes[10] << 22 | (pes[11] & 0xFE) << 14 | pes[12] << 7 | pes[13] >> 1 if flags & 0x80 else -1
+        data = pes[9 + more : 6 + length] if length else pes[9 + more :]
+        s.errors += len(pes) < (6 + length if length else 9 + more)
+        pts = (pes[9] & 0x0E) << 29 | pes[10] << 22 | (pes[11] & 0xFE) << 14 | pes[12] << 7 | pes[13] >> 1 if flags & 0x80 and len(pes) >= 14 else -1
+        s.pids.append(pid)
         s.times.append(pts)
         s.offsets.append(size)
-        s.random.append(mark)
+        s.random.append(marks[pid])
         out.append(data)
         size += len(data)
 
@@ -155,38 +195,46 @@ def read_stream(media: bytes) -> Stream:
             s.errors += 1
             continue
         b1, b3 = media[at + 1], media[at + 3]
-        pid, starts = (b1 & 0x1F) << 8 | media[at + 2], b1 & 0x40
-        if b3 & 0x10:
-            if pid in last and last[pid] + 1 & 15 != b3 & 15:
-                s.errors += 1
-                if last[pid] == b3 & 15:  # a doubled packet
-                    continue
-            last[pid] = b3 & 15
+        pid, starts = (b1 & 0x1F) << 8 | media[at + 2], bool(b1 & 0x40)
+        if pid == NULL_PID:
+            continue
+        flags = media[at + 5] if b3 & 0x20 and media[at + 4] else 0
+        if flags & 0x80:
+            last.pop(pid, None)
+        if not b3 & 0x10:  # an adaptation field alone
+            continue
+        if pid in last and last[pid] + 1 & 15 != b3 & 15:
+            s.errors += 1
+            if last[pid] == b3 & 15:  # a doubled packet
+                continue
+        last[pid] = b3 & 15
+        data = media[at + 4 + (1 + media[at + 4] if b3 & 0x20 else 0) : at + PACKET]
         if pid in wanted:
-            skip = 4 + (1 + media[at + 4] if b3 & 0x20 else 0)
             if starts:
-                if parts:
-                    close()
-                mark = bool(b3 & 0x20 and media[at + 4] and media[at + 5] & 0x40)
-            elif not parts:
+                if pid in parts:
+                    close(pid)
+                marks[pid], parts[pid] = bool(flags & 0x40), []
+            elif pid not in parts:
                 s.errors += 1
                 continue
-            parts.append(media[at + skip : at + PACKET])
+            parts[pid].append(data)
         elif pid == PAT_PID or pid in tables:
-            body = _body(media[at : at + PACKET]) if starts else None
-            if body is None:
-                s.errors += 1
-            elif pid == PAT_PID:
-                tables |= {p & 0x1FFF: n for n, p in struct.iter_unpack(">HH", body[: len(body) // 4 * 4]) if n}
-            else:
-                i, streams = 4 + ((body[2] & 0x0F) << 8 | body[3]), {}
-                while i + 5 <= len(body):
-                    streams[(body[i + 1] & 0x1F) << 8 | body[i + 2]] = body[i]
-                    i += 5 + ((body[i + 3] & 0x0F) << 8 | body[i + 4])
-                s.programs[tables[pid]] = streams
-                wanted |= streams.keys()
-    if parts:
-        close()
+            for section in sections.feed(pid, data, starts):
+                if not section[5] & 1:
+                    continue
+                body = section[8:-4]
+                if pid == PAT_PID:
+                    tables |= {p & 0x1FFF: n for n, p in struct.iter_unpack(">HH", body[: len(body) // 4 * 4]) if n}
+                elif section[0] == PMT_TABLE and len(body) >= 4:
+                    i, streams = 4 + ((body[2] & 0x0F) << 8 | body[3]), {}
+                    while i + 5 <= len(body):
+                        streams[(body[i + 1] & 0x1F) << 8 | body[i + 2]] = body[i]
+                        i += 5 + ((body[i + 3] & 0x0F) << 8 | body[i + 4])
+                    s.programs[section[3] << 8 | section[4]] = streams
+                    wanted |= streams.keys()
+    for pid in list(parts):
+        close(pid)
+    s.errors += sections.errors + len(sections.held)
     s.payload = b"".join(out)
     return s
 
@@ -237,4 +285,5 @@ def op10_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ts.select(
         "doc_id", F.col("ts.n_bytes").alias("n_bytes"), F.length(p).cast("long").alias("payload_bytes"), F.sha2(p, 256).alias("payload_sha256"),
         F.crc32(F.substring(p, -16, 16)).alias("tail_crc32"), F.length("ts.media").cast("long").alias("media_bytes"), F.sha2("ts.media", 256).alias("media_sha256"), said.alias("feature"),
+        F.col("ts.times").alias("times"), F.col("ts.random_offsets").alias("random_offsets"),
     )
