@@ -40,8 +40,10 @@ ESCAPES = {
     "url": re.compile(r"(?:%[0-9A-Fa-f]{2})+"),
     "unicode": re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};)+"),
 }
-#: 22 characters hold 16 bytes, the shortest secret.
-BASE64 = re.compile(r"[A-Za-z0-9+/_-]{22,}={0,2}")
+#: 22 characters hold 16 bytes, the shortest secret. Shorter runs can hold one only if it is compressed: the least zlib stream
+#: of 16 bytes has 10, and those of the other formats have 16 and more.
+BASE64 = re.compile(r"[A-Za-z0-9+/_-]{14,}={0,2}")
+PLAIN, LEAST_PACKED = 22, 14
 #: Runs that line ends part, with blanks around them.
 WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:[ \t]*+(?:\r\n?|\n)[ \t]*+[A-Za-z0-9+/_-]++)++={0,2}")
 #: Where compressed data starts.
@@ -119,6 +121,11 @@ class _Layer:
             return _Layer(text, starts, stops)
         return _Layer(text, self.begin[starts], self.end[np.maximum(stops, 1) - 1])
 
+    def spread(self, text: str, start: int, stop: int) -> _Layer:
+        """A layer inside this one of which every character comes from all of start to stop here."""
+        begin, end = self.place(start, stop)
+        return _Layer(text, np.broadcast_to(np.int64(begin), len(text)), np.broadcast_to(np.int64(end), len(text)))
+
 
 def _packed(layer: _Layer, data: bytes, start: int, stop: int) -> Iterator[_Layer]:
     """Compressed data wherever it starts, again and again; what it holds lies at the whole run."""
@@ -131,8 +138,9 @@ def _packed(layer: _Layer, data: bytes, start: int, stop: int) -> Iterator[_Laye
                 continue
             seen.add(inner)
             work.append(inner)
-            text = _decoded(inner)[0]
-            yield layer.within(text, np.full(len(text), start), np.full(len(text), stop))
+            text = STRAY.sub("\ufffd", inner.decode("utf-8", "surrogateescape"))
+            # all of it lies at the whole run, so that one number serves every character
+            yield layer.spread(text, start, stop)
 
 
 def _one_escape(name: str, run: str) -> list[tuple[int, int, str]]:
@@ -194,11 +202,21 @@ def _unescape(layer: _Layer, name: str) -> Iterator[_Layer]:
         yield layer.within("".join(pieces), np.concatenate(starts), np.concatenate(stops))
 
 
+def _may_be_packed(run: str) -> bool:
+    """Whether compressed data may start at some alignment of a base64 run."""
+    run = run.rstrip("=").replace("-", "+").replace("_", "/")
+    return any(MAGIC.search(base64.b64decode(run[skip : skip + (len(run) - skip) // 4 * 4])) for skip in range(4))
+
+
 def _base64(layer: _Layer) -> Iterator[_Layer]:
-    runs = [(m[0], np.arange(m.start(), m.end())) for m in BASE64.finditer(layer.text)]
+    runs = []
+    for m in BASE64.finditer(layer.text):
+        if m.end() - m.start() >= PLAIN or _may_be_packed(m[0]):
+            runs.append((m[0], np.arange(m.start(), m.end())))
     for m in WRAPPED.finditer(layer.text) if "\n" in layer.text or "\r" in layer.text else ():
         run = "".join(m[0].split())
-        if len(run.rstrip("=")) >= 22:
+        size = len(run.rstrip("="))
+        if size >= PLAIN or size >= LEAST_PACKED and _may_be_packed(run):
             runs.append((run, np.array([i for i, c in enumerate(m[0], m.start()) if not c.isspace()])))
     for marked, at in runs:
         run = marked.rstrip("=").replace("-", "+").replace("_", "/")

@@ -46,3 +46,15 @@ def test_secrets_in_wrapped_base64(width, end):
         text = f"mail:\n\n{wrapped}\nbye"
         assert found_at(text)
         assert all(7 <= a < b <= 7 + len(wrapped) for a, b in found_at(text))
+
+
+@pytest.mark.parametrize("before", ["", "x", "xy", "xyz"])
+def test_short_runs_of_compressed_secrets(before):
+    for inner in (b"a" * 16, b"f0" * 12, b"0" * 40):
+        run = base64.b64encode(zlib.compress(inner, 9)).decode().rstrip("=")
+        assert len(run) < 22
+        spans = secret_scan.find(f"see {before}{run} end")[1]
+        assert [(a, b) for a, k, b in spans if k == 2] == [(4, 4 + len(before) + len(run))]
+        wrapped = f"{run[:8]}\n{run[8:]}"
+        assert any(k == 2 for _, k, _ in secret_scan.find(f"- {wrapped} -")[1])
+    assert secret_scan.find("incomprehensibilities")[1] == []
