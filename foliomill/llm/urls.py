@@ -9,7 +9,6 @@ Defined results: a null URL or one without `://` has an empty host and path, no
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -25,30 +24,52 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 BITS = 16
 SIZES = (3, 4, 5)
+#: Multiplier of the n-grams' hash, and characters that are hashed at a time.
+MIX, CHARS = np.uint64(0x9E3779B97F4A7C15), 1 << 20
 #: The largest labelled table that is trained on, on the driver.
 MOST_LABELLED = 20_000
 
-#: Words of the built-in labelled table: of hosts and paths that crawls block, and of such that they keep.
-BAD = "casino win bet bets free cheap pills pill spam farm ads ad track tracker click popup viagra loan loans poker slots jackpot xxx porn adult malware phish warez crack torrent bonus lottery replica".split()
-GOOD = "news blog docs wiki library school science museum research recipes garden weather travel history music forum shop books city health university journal archive code report photo sport theater river bridge".split()
-
+#: Words of the built-in labelled table: such as stand in hosts and paths that crawls block, in those that they keep, and in both.
+BAD = """casino poker slots jackpot roulette bet bets betting sportsbet lottery viagra cialis pills pill xxx porn porno sex sexcam nude adult
+escort singles webcamgirls malware phish phishing spam spammer warez keygen torrent crack replica payday loan loans popup popunder tracker
+adserver ads clickbait""".split()
+GOOD = """news blog docs wiki library school science museum research recipes garden weather travel history music forum books city health
+university journal archive code report photo sport theater river bridge times post tribune herald guide athletics software hospital
+pharmacy language alphabet better essex sussex roads pillow racetrack backpack slotted adulthood museumshop cookbook kitchen parliament
+court railway harbour island mountain church choir cinema painting poetry grammar physics chemistry biology algebra nursery college council""".split()
+BOTH = """free online best top hot live club zone world hub site direct now pro my the cheap discount track open daily local city24 green blue
+north euro global easy smart""".split()
 PAIRS = "th he in er an re on at en nd ti es or te of ed is it al ar st to nt ng se ha as ou io le ve co me de hi ri ro ic ne ea ra ce li ch ll be ma si om ur".split()
 
 
 def labelled_urls() -> list[tuple[str, bool]]:
-    """The small labelled table: each word in a few host and path patterns, with neutral parts that say nothing."""
-    ends, langs, marks = ("com", "net", "org"), ("en", "de", "fr", "es"), ("www.", "m.", "blog.", "")
+    """The small labelled table: each word in hosts of several shapes and in paths, beside words that stand in both classes."""
+    ends, starts = ("com", "net", "org", "info", "de", "fr", "io", "co.uk", "example.com", "example.org", "example.net"), ("", "www.", "m.", "blog.", "")
+    tails = ("", "/", "/index.html", "/en/{}", "/de/{}/", "/fr/{}.html", "/es/{}", "/2021/05/{}", "/item/{}", "/a/b/{}")
     out = []
+
+    def add(host: str, i: int, bad: bool, path: str | None = None) -> None:
+        tail = tails[i % len(tails)].format(i * 37 % 1000) if path is None else path
+        out.append((f"http{'s' * (i % 2)}://{starts[i % len(starts)]}{host}.{ends[i * 3 % len(ends)]}{tail}", bad))
+
     for bad, words in ((True, BAD), (False, GOOD)):
         for i, w in enumerate(words):
-            v, end, lang, mark = words[(i * 7 + 3) % len(words)], ends[i % 3], langs[i % 4], marks[i % 4]
-            out += [(f"http://{mark}{w}-{v}.example.{end}/{lang}/{i * 13 + 7}", bad), (f"https://{marks[(i + 1) % 4]}{w}.example.{ends[(i + 1) % 3]}/{lang}/{i + 20}/", bad)]
-            out += [(f"https://{marks[(i + 2) % 4]}{v}{w}.example.{ends[(i + 2) % 3]}/{langs[(i + 1) % 4]}/{i * 3}.html", bad)]
-            out += [(f"https://{marks[(i + 3) % 4]}{w}-{LOWER[k]}.example.{ends[(i + k) % 3]}/{langs[k % 4]}/{i * k}", bad) for k in ((i * 5) % 26, (i * 3 + 11) % 26)]
+            other = words[(i * 7 + 3) % len(words)]
+            add(w, i, bad)
+            add(f"{w}-{other}", i + 1, bad)
+            add(f"{other}{w}", i + 2, bad)
+            add(f"{w}-{LOWER[i * 5 % 26]}", i + 3, bad)
+            for k in range(18 if bad else 6):  # as many of one class as of the other, about
+                n = BOTH[(i * 5 + k * 7) % len(BOTH)]
+                add((f"{n}-{w}", f"{w}{n}", f"{n}{w}", f"{w}-{n}", f"{n}-{w}-{other}", f"{w}s-{n}")[k % 6], i + k + 4, bad)
+            add(BOTH[(i * 11) % len(BOTH)], i + 9, bad, f"/{w}/{i}")
+    for i, n in enumerate(BOTH):  # such words say nothing by themselves
+        add(n, i, False)
+        add(f"{n}-{BOTH[(i + 5) % len(BOTH)]}", i + 1, False)
+        add(f"{n}-and-{BOTH[(i + 9) % len(BOTH)]}", i + 2, False)
     # plain invented hosts: common letter pairs joined by a rule, none of them a word above
     for i in range(600):
-        host = "".join(PAIRS[(i * k + k * k + i // len(PAIRS)) % len(PAIRS)] for k in (1, 7, 11, 13)[: 2 + i % 3])
-        out.append((f"https://{marks[i % 4]}{host}.example.{ends[i % 3]}/{langs[(i // 3) % 4]}/{i * 7 % 1000}", False))
+        add("".join(PAIRS[(i * k + k * k + i // len(PAIRS)) % len(PAIRS)] for k in (1, 7, 11, 13)[: 2 + i % 3]), i, False)
     return out
 
 
@@ -71,13 +92,25 @@ def best_rule(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -> t
     return rule, verdict
 
 
-def features(host: str, path: str, bits: int = BITS) -> list[int]:
-    """Hashed n-grams of the host (marks ^ and $ at its ends) and of the path."""
-    out, mask = [], (1 << bits) - 1
-    for mark, text in (("h", f"^{host}$"), ("p", path)):
+def features(hosts: Sequence[str], paths: Sequence[str], bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
+    """(row, feature) of the hashed n-grams of the hosts (marks ^ and $ at their ends) and of the paths, each feature of a row once."""
+    found = [np.zeros(0, np.uint64)]
+    marked = [f"^{h}$" if h or p else "" for h, p in zip(hosts, paths, strict=True)]
+    for kind, texts in enumerate((marked, paths)):
+        codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        row = np.repeat(np.arange(len(texts), dtype=np.uint64), [len(t) for t in texts])
         for n in SIZES:
-            out += [zlib.crc32(f"{mark}{text[i : i + n]}".encode("utf-8", "surrogatepass")) & mask for i in range(len(text) - n + 1)]
-    return sorted(set(out)) if host or path else []
+            m = len(codes) - n + 1
+            if m <= 0:
+                continue
+            h = np.full(m, 8 * n + kind + 1, np.uint64)
+            for k in range(n):
+                h = (h ^ codes[k : k + m]) * MIX
+                h ^= h >> np.uint64(29)
+            whole = row[:m] == row[n - 1 :]
+            found.append((row[:m] << np.uint64(bits) | h * MIX >> np.uint64(64 - bits))[whole])
+    both = np.unique(np.concatenate(found))
+    return (both >> np.uint64(bits)).astype(np.int64), (both & np.uint64((1 << bits) - 1)).astype(np.int64)
 
 
 @dataclass
@@ -85,11 +118,21 @@ class UrlModel:
     weights: np.ndarray
     bias: float
 
+    def scores(self, hosts: Sequence[str], paths: Sequence[str]) -> np.ndarray:
+        """Probability of each URL that it is to be blocked. URLs are read CHARS characters at a time, whole."""
+        out, first, size = [], 0, 0
+        for i in range(len(hosts)):
+            size += len(hosts[i]) + len(paths[i])
+            if size >= CHARS or i + 1 == len(hosts):
+                row, feature = features(hosts[first : i + 1], paths[first : i + 1])
+                n = np.bincount(row, minlength=i + 1 - first)
+                z = self.bias + np.bincount(row, self.weights[feature], i + 1 - first) / np.sqrt(np.maximum(n, 1))
+                out.append(1 / (1 + np.exp(-z)))
+                first, size = i + 1, 0
+        return np.concatenate(out) if out else np.zeros(0)
+
     def score(self, host: str, path: str) -> float:
-        """Probability that the URL is to be blocked."""
-        f = features(host, path)
-        z = self.bias + (self.weights[f].sum() / np.sqrt(len(f)) if f else 0.0)
-        return float(1 / (1 + np.exp(-z)))
+        return float(self.scores([host], [path])[0])
 
 
 def _split(url: str) -> tuple[str, str]:
@@ -105,18 +148,17 @@ def train(labelled: Sequence[tuple[str, bool]], *, epochs: int = 60, rate: float
     """Full-batch AdaGrad on the labelled rows in the given order: the same table gives the same model."""
     if len(labelled) > MOST_LABELLED:
         raise ValueError(f"{len(labelled)} labelled URLs; at most {MOST_LABELLED} are trained on the driver")
-    rows = [features(*_split(u)) for u, _ in labelled]
+    parts = [_split(u) for u, _ in labelled]
+    of, at = features([h for h, _ in parts], [p for _, p in parts])
     y = np.array([float(b) for _, b in labelled])
     # the rarer verdict weighs more, by the root of what would make both equal
-    share = np.where(y > 0, len(y) / max(1.0, 2 * y.sum()), len(y) / max(1.0, 2 * (1 - y).sum())) ** 0.5
+    share = np.where(y > 0, len(y) / max(1.0, 2 * y.sum()), len(y) / max(1.0, 2 * (1 - y).sum())) ** 0.8
     w, bias, seen, seen_b = np.zeros(1 << BITS), 0.0, np.full(1 << BITS, 1e-8), 1e-8
-    of = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    at = np.concatenate([np.array(r, dtype=np.int64) for r in rows]) if len(rows) else np.zeros(0, np.int64)
-    scale = 1 / np.sqrt(np.maximum(1, np.bincount(of, minlength=len(rows)))) if len(rows) else np.zeros(0)
-    for _ in range(epochs if len(rows) else 0):
-        z = bias + np.bincount(of, w[at], len(rows)) * scale
+    scale = 1 / np.sqrt(np.maximum(1, np.bincount(of, minlength=len(parts))))
+    for _ in range(epochs if len(parts) else 0):
+        z = bias + np.bincount(of, w[at], len(parts)) * scale
         g = (1 / (1 + np.exp(-z)) - y) * share
-        gw = np.bincount(at, (g * scale)[of], 1 << BITS) / len(rows) + decay * w
+        gw = np.bincount(at, (g * scale)[of], 1 << BITS) / len(parts) + decay * w
         seen += gw * gw
         w -= rate * gw / np.sqrt(seen) * (seen > 1e-7)
         seen_b += g.mean() ** 2
@@ -133,7 +175,7 @@ def judge(pages: DataFrame, url: str = "url", *, rules: Sequence[tuple[str, str]
     def blocked(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         m = shared.value
         for hosts, paths in batches:
-            yield pd.Series([m.score(h, p) for h, p in zip(hosts, paths, strict=True)], dtype="float64")
+            yield pd.Series(m.scores(hosts.tolist(), paths.tolist()), dtype="float64")
 
     h, p = split_url(F.col(url))
     a, b, c = own(pages, "url_host"), own(pages, "url_path"), own(pages, "url_said")
