@@ -10,6 +10,7 @@ unless it holds a power of two; rows are packed as they are stored, repeated row
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,6 +46,7 @@ class WordIds:
     """
 
     def __init__(self, path: str, remembered: int = REMEMBERED):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core; threads for all would wait for each other
         from tokenizers import Tokenizer
 
         self.remembered = remembered
