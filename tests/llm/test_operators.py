@@ -8,6 +8,7 @@ import re
 import time
 import zlib
 from collections import Counter, defaultdict
+from functools import cache
 from urllib.parse import quote
 
 import numpy as np
@@ -274,6 +275,88 @@ def test_lm_odd_rows(odd, clashing):
     assert alone["score"] == pytest.approx(41 * 8 * math.log10(0.5), rel=1e-6) and alone["train_tokens"] == 0
 
 
+def byte_tree(train):
+    """log10 probability of a byte after the bytes before it by trees whose contexts are classes first, then the last three bytes and more, in plain Python."""
+
+    def path(before):
+        b = [before[-k] if len(before) >= k else 0 for k in range(1, lm.DEPTH + 1)]
+        shapes = [lm.FINE[b[0]], lm.COARSE[b[1]], lm.COARSE[b[2]]]
+        return [*[("class", *map(int, shapes[:k])) for k in range(4)], *[tuple(b[:k]) for k in range(3, lm.DEPTH + 1)]]
+
+    def walk(byte):
+        return [(1 << level | byte >> (8 - level), byte >> (7 - level) & 1) for level in range(8)]
+
+    def kt(a, b):
+        return math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1) - math.log(math.pi) if a + b else 0.0
+
+    counts, children = defaultdict(lambda: [0, 0]), defaultdict(set)
+    for t in train:
+        for i, byte in enumerate([*t, 255]):
+            for node, bit in walk(byte):
+                p = path(t[:i])
+                for c, deeper in zip(p, [*p[1:], None], strict=True):
+                    counts[c, node][bit] += 1
+                    if deeper:
+                        children[c, node].add(deeper)
+
+    @cache
+    def pw(context, node):
+        own = kt(*counts.get((context, node), (0, 0)))
+        if len(context) == lm.DEPTH and context[0] != "class":
+            return own
+        return np.logaddexp(math.log(0.5) + own, math.log(0.5) + sum(pw(c, node) for c in children.get((context, node), ())))
+
+    def log_probability(before, byte):
+        total = 0.0
+        for node, bit in walk(byte):
+            p = None
+            for c in reversed(path(before)):
+                zeros, ones = counts.get((c, node), (0, 0))
+                here = (ones + 0.5) / (zeros + ones + 1)
+                w = 1 if p is None else math.exp(math.log(0.5) + kt(zeros, ones) - pw(c, node))
+                p = here if p is None else w * here + (1 - w) * p
+            total += math.log10(p if bit else 1 - p)
+        return total
+
+    return log_probability
+
+
+@pytest.mark.parametrize("gram_head", [lm.GRAMS, 60, 0])
+def test_lm_scores_by_whole_bytes(spark, gram_head):
+    learnt = ["the cat sat on the mat", "THE cat, 1812 and 1945!", "the cat sat on the mat", "", "\u00e9t\u00e9 \u043b\u0435\u0442\u043e", "call 1812 or 1813"]
+    texts = [*learnt, "the mat sat, 1945", "zebra \u4e2d\u6587", "the cat sat on the mat", "\u043b\u0435\u0442\u043e 1813"]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["score"] for r in lm.score(table, F.col("doc_id") < len(learnt), gram_head=gram_head).collect()}
+    said = byte_tree([t.encode() for t in learnt])
+    for i, t in enumerate(texts):
+        raw = t.encode()
+        assert got[i] == pytest.approx(sum(said(raw[:k], b) for k, b in enumerate([*raw, 255])), rel=1e-6)
+
+
+def test_lm_tells_bytes_of_a_class_apart(spark):
+    learnt = ["in 1st place", "in 2nd place"] * 30
+    table = spark.createDataFrame([*enumerate(learnt), (100, "in 1st place"), (101, "in 1nd place")], "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in lm.score(table, F.col("doc_id") < 100).filter("doc_id >= 100").collect()}
+    assert got[100] > got[101] + 1
+
+
+def test_lm_beats_its_classes_on_held_out_text(docs, rows):
+    learnt, held = [[(r["text"] or "").encode() for i, r in rows.items() if (zlib.crc32(str(i).encode()) % 7 == 2) == h] for h in (False, True)]
+    by_class = lm.code_lengths(*lm._sum(lm.codes(learnt)[0]))[lm.codes(held)[0]].sum(dtype=float)
+    apart = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
+    got = lm.score(docs.select("doc_id", "text"), ~apart).filter(apart).agg(F.sum("score")).first()[0]
+    assert got > 0.95 * by_class
+
+
+def test_lookup_has_every_gram():
+    rng = np.random.default_rng(3)
+    gram = np.unique(rng.integers(0, 2**48, 5000, np.uint64))
+    value = rng.random(len(gram)).astype(np.float32)
+    found, absent = lm.Lookup(gram[::2], value[::2]).get(gram)
+    assert (found[::2] == value[::2]).all() and (found[1::2] == 0).all()
+    assert (absent == np.arange(1, len(gram), 2)).all()
+
+
 # 4 near-duplicates
 
 
