@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
+from pandas.util import hash_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -38,17 +38,38 @@ TOGETHER = 2_000_000
 #: Weighted rows that a bucket should hold; more spill.
 BUCKET_ROWS = 4_000_000
 MEMORY = "256MB"
-#: DuckDB's batches.
-APPEND = 200_000
+#: Rows that DuckDB takes at a time, and rows of a part of a bucket.
+APPEND, PART = 200_000, 65_536
 _LOW, _ODD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
+#: Bytes of a text as pieces need them: A-Z in lower case, piece ends as LF, tabs as blanks. UTF-8 keeps these bytes out of all other characters.
+_BYTES = bytes.maketrans(bytes(range(65, 91)) + b".,;:!?\x0b\x0c\r\t", bytes(range(97, 123)) + b"\n" * 9 + b" ")
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, piece) of each piece that holds a word."""
+    for batch in batches:
+        text = batch.column(1)
+        plain = text.cast(pa.large_binary())
+        _, ends, data = pa.concat_arrays([plain]).buffers()
+        if data is None:
+            continue
+        text = pa.Array.from_buffers(pa.large_string(), len(plain), [None, ends, pa.py_buffer(data.to_pybytes().translate(_BYTES))], offset=plain.offset)
+        parts = pc.split_pattern(text, "\n")
+        lang = batch.column(0).take(pc.list_parent_indices(parts))
+        piece = pc.utf8_trim(parts.flatten(), " ")
+        if pc.any(pc.match_substring(piece, "  ")).as_py():
+            piece = pc.replace_substring_regex(piece, " +", " ")
+        filled = pc.greater(pc.binary_length(piece), 0)
+        yield from pa.Table.from_arrays([lang.filter(filled), piece.filter(filled).cast(pa.string())], ["lang", "piece"]).to_batches(max_chunksize=50_000)
+    lean()
+
+
 def pieces_of(documents: DataFrame) -> DataFrame:
     """(lang, piece, m): the distinct pieces, their words parted by single blanks, and how often each occurs."""
-    text = F.translate(F.coalesce("text", F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    parts = documents.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.explode(F.split(text, r"[.,;:!?\x0A-\x0D]")).alias("piece"))
-    piece = F.trim(F.regexp_replace("piece", r"[\x20\x09]+", " "))
-    return parts.select("lang", piece.alias("piece")).filter("piece <> ''").groupBy("lang", "piece").agg(F.count("*").alias("m"))
+    rows = documents.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text").filter("text IS NOT NULL")
+    return rows.mapInArrow(_cut, "lang string, piece string").groupBy("lang", "piece").agg(F.count("*").alias("m"))
 
 
 class Words:
@@ -68,8 +89,7 @@ class Words:
 
     def hashes(self) -> np.ndarray:
         """64 bits for each word and its language."""
-        names = np.fromiter((xxhash.xxh3_64_intdigest(x.as_buffer() or b"") for x in self.names), np.uint64, len(self.names))
-        langs = np.fromiter((xxhash.xxh3_64_intdigest(x.as_buffer() or b"", 1) for x in self.langs), np.uint64, len(self.langs))
+        names, langs = (hash_array(x.to_pandas().to_numpy(object), categorize=False) for x in (self.names, self.langs))
         return names[self.word] ^ (langs[self.lang] * _ODD)
 
 
@@ -107,14 +127,38 @@ def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[Words]:
 
 
 def _weighted(keys: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    by = np.argsort(keys, kind="stable")
+    by = np.argsort(keys)
     keys, m = keys[by], m[by]
     starts = np.r_[0, np.nonzero(keys[1:] != keys[:-1])[0] + 1] if len(keys) else np.zeros(0, int)
     return keys[starts], np.add.reduceat(m, starts) if len(keys) else m
 
 
+DEALT = "bucket int, part binary"
+
+
+def _dealt(rows: pa.Table, hashes: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
+    """rows as parts of buckets, each an Arrow stream of at most PART rows: Spark shuffles few rows, whatever their number."""
+    bucket = (hashes % np.uint64(buckets)).astype(np.int32)
+    by = np.argsort(bucket, kind="stable")
+    rows, bucket = rows.take(pa.array(by)).combine_chunks(), bucket[by]
+    cuts = np.r_[0, np.nonzero(bucket[1:] != bucket[:-1])[0] + 1, len(bucket)] if len(bucket) else np.zeros(1, int)
+    for lo, hi in zip(cuts, cuts[1:], strict=False):
+        for at in range(lo, hi, PART):
+            part = rows.slice(at, min(PART, hi - at))
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, part.schema) as out:
+                out.write_table(part)
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[lo : lo + 1]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["bucket", "part"])
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for x in batch.column(1):
+            yield from pa.ipc.open_stream(x.as_buffer())
+
+
 def _counted(batches: Iterator[pa.RecordBatch], keys: list[str], least: int) -> Iterator[pa.RecordBatch]:
-    """The sums of `w` by `keys`, those of at least `least`, of one bucket, by DuckDB out of core."""
+    """The sums of `w` by `keys`, those of at least `least`, of the buckets dealt to a task, by DuckDB out of core."""
     import duckdb
 
     with tempfile.TemporaryDirectory() as scratch, duckdb.connect(":memory:", config={"threads": 1, "memory_limit": MEMORY, "temp_directory": os.path.join(scratch, "spill"), "preserve_insertion_order": False}) as db:
@@ -126,7 +170,7 @@ def _counted(batches: Iterator[pa.RecordBatch], keys: list[str], least: int) ->
             db.execute("INSERT INTO counts SELECT * FROM part" if made else "CREATE TABLE counts AS SELECT * FROM part")
             made = True
 
-        for batch in batches:
+        for batch in _parts(batches):
             held.append(batch)
             size += batch.num_rows
             if size >= APPEND:
@@ -155,7 +199,7 @@ def frequent_hashes(pieces: DataFrame, words: int, least: int) -> np.ndarray:
             h = part.hashes()
             inside = part.left[:-1] > 1
             keys, w = _weighted(np.concatenate([word_keys(h), pair_keys(h)[inside]]).view(np.int64), np.concatenate([part.m, part.m[:-1][inside]]))
-            yield from pa.Table.from_arrays([pa.array(keys), pa.array(w)], ["key", "w"]).to_batches(max_chunksize=100_000)
+            yield from _dealt(pa.Table.from_arrays([pa.array(keys), pa.array(w)], ["key", "w"]), keys.view(np.uint64), buckets)
         lean()
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,7 +207,7 @@ def frequent_hashes(pieces: DataFrame, words: int, least: int) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(np.unique(batch.column(0).to_numpy().view(np.uint64) >> np.uint64(64 - MAP_BITS)).astype(np.int64))], ["bit"])
 
     # words of the map of 64 bits; at most 2^(MAP_BITS - 6) of them go to the driver
-    bits = pieces.mapInArrow(emit, "key long, w long").repartition(buckets, "key").mapInArrow(mark, "bit long")
+    bits = pieces.mapInArrow(emit, DEALT).repartition(buckets, "bucket").mapInArrow(mark, "bit long")
     marked = bits.groupBy(F.expr("bit DIV 64").alias("at")).agg(F.expr("bit_or(shiftleft(1L, CAST(bit % 64 AS INT)))").alias("bits")).toArrow()
     out = np.zeros(1 << (MAP_BITS - 6), np.int64)
     out[marked["at"].to_numpy()] = marked["bits"].to_numpy()
@@ -209,14 +253,16 @@ def frequent_phrases(documents: DataFrame, least: int = LEAST) -> tuple[DataFram
     words = sizes.agg(F.sum("distinct")).first()[0] or 0
     bits = pieces.sparkSession.sparkContext.broadcast(frequent_hashes(pieces, words, least))
 
+    buckets = _buckets(pieces.sparkSession, words)
+
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _together(batches):
             for n, lang, phrase, w in _phrases(part, bits.value):
-                t = pa.Table.from_arrays([lang, pa.array(np.full(len(w), n, np.int32)), phrase, pa.array(w)], ["lang", "len", "phrase", "w"])
-                yield from t.to_batches(max_chunksize=50_000)
+                rows = pa.Table.from_arrays([lang, pa.array(np.full(len(w), n, np.int32)), phrase, pa.array(w)], ["lang", "len", "phrase", "w"])
+                yield from _dealt(rows, hash_array(phrase.to_pandas().to_numpy(object), categorize=False), buckets)
         lean()
 
-    kept = pieces.mapInArrow(emit, "lang string, len int, phrase string, w long").repartition(_buckets(pieces.sparkSession, words), "lang", "phrase")
+    kept = pieces.mapInArrow(emit, DEALT).repartition(buckets, "bucket")
     out = settle(kept.mapInArrow(lambda b: _counted(b, ["lang", "len", "phrase"], least), "lang string, len int, phrase string, f long"))
     unsettle(pieces)
     return out, sizes.select("lang", "n")
