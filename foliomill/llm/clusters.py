@@ -7,7 +7,7 @@ sums for each centroid and dimension, in limbs of 30 bits, so sums are exact at
 
 Other columns are not read. Defined results: null vectors, vectors of another length and such with null or non-finite components are
 left out; a row with a null vec_id is assigned but starts no centroid; rows that share a vec_id start centroids in the order of their
-components; repeated rows each have a row; with fewer rows than centroids there are fewer centroids; no rows give no rows. A distance or
+components; repeated rows each have a row; with fewer rows than centroids there are fewer centroids; without any there are no rows. A distance or
 an inertia beyond 64 bits is null. Texts do not occur; a vector of any other length, however long, is left out.
 """
 
@@ -31,8 +31,8 @@ STEPS = (8, 8, 16, 32)
 SAFE = 1 << 27
 LIMB = 30
 BATCH = 8192
-#: Rows of a sum that are no dimension.
-COUNT, SPREAD = -1, -2
+#: The "dimension" that counts a centroid's vectors.
+COUNT = -1
 
 
 def integers(x: np.ndarray) -> np.ndarray:
@@ -146,15 +146,15 @@ def clustered(vectors: DataFrame, id_col: str = "vec_id", vector: str = "embeddi
     kept = settle(rows.filter(F.coalesce(fine, F.lit(False))))
     hashed = F.sha2(F.concat(F.lit(salt), F.col("vec_id").cast("string")), 256)
     starts = kept.filter("vec_id IS NOT NULL").orderBy(hashed, "vec_id", "v").limit(k).collect()
-    centroids = _as_array([list(x) for x in integers(np.array([r["v"] for r in starts], np.float64).reshape(-1, dim))])
-    # dimensions by variance: only the order of adding depends on it
-    spread = kept.agg(*[F.variance(F.col("v")[d]).alias(f"d{d}") for d in range(dim)]).first()
-    order = np.argsort([-(x if x is not None and np.isfinite(x) else 0) for x in spread], kind="stable")
     schema = "vec_id long, cluster int, distance long"
     if not starts:
-        none = vectors.sparkSession.createDataFrame([], schema)
+        none = vectors.sparkSession.createDataFrame([], f"{schema}, cluster_inertia long, inertia long, centroid_sha256 string")
         unsettle(kept)
-        return none.select("*", *[F.lit(None).cast(t).alias(c) for c, t in (("cluster_inertia", "long"), ("inertia", "long"), ("centroid_sha256", "string"))])
+        return none
+    centroids = _as_array([list(x) for x in integers(np.array([r["v"] for r in starts], np.float64))])
+    # dimensions by variance: only the order of adding depends on it
+    spread = kept.agg(*[F.variance(F.col("v")[d]).alias(f"d{d}") for d in range(dim)]).first()
+    order = np.argsort([-(x if x is not None and np.isfinite(x) else 0) for x in spread], kind="stable")
     for _ in range(rounds):
         total = _sums(kept, centroids, order)
         centroids = _as_array([[total.get((c, d), 0) // total[c, COUNT] for d in range(dim)] if (c, COUNT) in total else [int(x) for x in centroids[c]] for c in range(len(centroids))])
