@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from foliomill.functions import scalars as S
+from foliomill.operators import pages as P
 
 PAGE = ["doc_id", "page"]
 BOX = ["x0", "y0", "x1", "y1"]
@@ -40,8 +41,8 @@ def median_fonts(boxes: DataFrame, consumed: DataFrame | None = None) -> DataFra
     return boxes.select(*PAGE).distinct().join(fonts, PAGE, "left").select(*PAGE, F.coalesce("median", F.lit(10.0)).alias("median"))
 
 
-def with_median(boxes: DataFrame, consumed: DataFrame | None = None) -> DataFrame:
-    return boxes.join(median_fonts(boxes, consumed), PAGE)
+def with_median(boxes: DataFrame) -> DataFrame:
+    return boxes.join(median_fonts(boxes), PAGE)
 
 
 def envelopes(boxes: DataFrame, *keys: str) -> DataFrame:
@@ -78,14 +79,6 @@ def without_regions(boxes: DataFrame, regions: DataFrame, ratio: float = 0.2) ->
     return boxes.join(r, (F.col("doc_id") == F.col("r_doc")) & (F.col("page") == F.col("r_page")) & covered, "left_anti")
 
 
-def overlay_math(boxes: DataFrame) -> DataFrame:
-    """Small boxes beside other prose of their page. boxes carry `median`."""
-    prose = boxes.filter((F.col("font_size") >= 0.85 * F.col("median")) & (S.natural_words() >= 1))
-    p = prose.select(F.col("doc_id").alias("p_doc"), F.col("page").alias("p_page"), F.col("seq").alias("p_seq"), F.col("y0").alias("p_y0"), F.col("y1").alias("p_y1"))
-    beside = (F.col("doc_id") == F.col("p_doc")) & (F.col("page") == F.col("p_page")) & (F.col("seq") != F.col("p_seq")) & (F.col("y0") < F.col("p_y1")) & (F.col("p_y0") < F.col("y1"))
-    return boxes.filter(F.col("font_size") < 0.8 * F.col("median")).join(p, beside, "left_semi")
-
-
 def nearest_markers(names: DataFrame, markers: DataFrame) -> DataFrame:
     """The marker of each name (doc_id, page, seq of its line, nth, x0, x1, y0): that of the same rank where a line has as many
     markers as names, else the one nearest to the name's end of those whose centre lies from 0.015 before the name to 0.035 after it."""
@@ -112,14 +105,8 @@ def gap_islands(boxes: DataFrame, gap: float) -> DataFrame:
 
 
 def table_boxes(boxes: DataFrame) -> DataFrame:
-    """The boxes of each table (start_seq): all from the top of a `Table n` start on, until a font of 9.5 or more follows a gap over 0.015. One box alone is none."""
-    starts = boxes.filter(F.col("text").rlike(r"(?U)^Table\s+\d+\b")).select("doc_id", "page", F.col("seq").alias("start_seq"), F.col("y0").alias("s_y0"))
-    order = Window.partitionBy("doc_id", "page", "start_seq").orderBy("y0", "x0", "seq")
-    rows = boxes.join(starts, PAGE).filter(F.col("y0") >= F.col("s_y0"))
-    stop = F.coalesce((F.col("font_size") >= 9.5) & (F.col("y0") - F.lag("y1").over(order) > 0.015), F.lit(False))
-    rows = rows.withColumn("stop", _flag(stop))
-    rows = rows.withColumn("stops", F.sum("stop").over(order.rowsBetween(Window.unboundedPreceding, 0))).filter("stops = 0")
-    return rows.withColumn("n_in", F.count("*").over(Window.partitionBy("doc_id", "page", "start_seq"))).filter("n_in >= 2").select(*boxes.columns, "start_seq")
+    """The boxes of each table (start_seq)."""
+    return P.rows_of(boxes, "tables", "start_seq")
 
 
 def table_regions(boxes: DataFrame) -> DataFrame:
@@ -153,74 +140,47 @@ def reference_groups(boxes: DataFrame) -> DataFrame:
 
 
 def figure_boxes(boxes: DataFrame) -> DataFrame:
-    """The caption boxes of each figure (start_seq): a `Fig. n` start above 0.6 after at least three boxes that end 0.005 above
-    it (page numbers aside), and what continues it without a gap over 0.018. `top` is the least y0 of the boxes above."""
-    starts = boxes.filter(F.col("text").rlike(r"(?U)^Fig\.\s*\d+\b") & (F.col("y0") < 0.6))
-    s = starts.select("doc_id", "page", F.col("seq").alias("start_seq"), *[F.col(c).alias("s_" + c) for c in ("x0", "y0", "font_size")])
-    above = boxes.filter(~S.is_page_number()).select(*PAGE, F.col("y0").alias("p_y0"), F.col("y1").alias("p_y1"))
-    prior = s.join(above, PAGE).filter(F.col("p_y1") < F.col("s_y0") - 0.005).groupBy("doc_id", "page", "start_seq").agg(F.count("*").alias("n_above"), F.min("p_y0").alias("top"))
-    s = s.join(prior.filter("n_above >= 3"), ["doc_id", "page", "start_seq"]).drop("n_above")
-    window = (F.col("s_y0") - 0.002 <= F.col("y0")) & (F.col("y1") <= F.col("s_y0") + 0.23) & (F.col("font_size") <= F.col("s_font_size") + 0.5) & (F.col("x0") >= F.col("s_x0") - 0.02)
-    rows = boxes.join(s, PAGE).filter(window)
-    order = Window.partitionBy("doc_id", "page", "start_seq").orderBy("y0", "x0", "seq")
-    low = F.max("y1").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    rows = rows.withColumn("gap", _flag(F.coalesce(F.col("y0") - low > 0.018, F.lit(False))))
-    rows = rows.withColumn("gaps", F.sum("gap").over(order.rowsBetween(Window.unboundedPreceding, 0))).filter("gaps = 0")
-    return rows.select(*boxes.columns, "start_seq", "s_y0", "top")
+    """The caption boxes of each figure (start_seq), with the least y0 of the boxes above it (`top`)."""
+    return P.rows_of(boxes, "figures", "start_seq", "s_y0", "top")
 
 
 def figure_captions(boxes: DataFrame) -> DataFrame:
     return envelopes(figure_boxes(boxes), "doc_id", "page", "start_seq")
 
 
-def figure_graphics(figures: DataFrame) -> DataFrame:
-    """B2: the region of each figure above its caption, from figure_boxes."""
-    g = figures.groupBy("doc_id", "page", "start_seq").agg(F.first("s_y0").alias("s_y0"), F.first("top").alias("t"))
-    y0, y1 = S.clamped(F.col("t") - 0.01), S.clamped(F.col("s_y0") - 0.008)
-    return g.select("doc_id", "page", "start_seq", F.lit(0.14).alias("x0"), y0.alias("y0"), F.lit(0.86).alias("x1"), F.when(y1 <= y0, F.least(y0 + 0.000001, F.lit(1.0))).otherwise(y1).alias("y1"), "s_y0")
+def figure_graphics(boxes: DataFrame) -> DataFrame:
+    """B2: the region of each figure above its caption."""
+    g = P.each_of(P.page_structures(boxes, "figures"), "figures", "f")
+    return g.select(*PAGE, "f.start_seq", P.graphic(F.col("f.top"), F.col("f.s_y0")).alias("g")).select(*PAGE, "start_seq", "g.*")
 
 
-def formula_boxes(boxes: DataFrame, regions: DataFrame | None = None) -> DataFrame:
-    """The boxes of each formula (seed): a seed and the boxes whose centre is within 0.018 of its own, with two words at most or a
-    font under 0.85 of its own. One box alone is none. From the top down, a seed that an earlier formula holds starts none.
-    Boxes that a region covers to 0.2 or more are left out."""
-    b = boxes if regions is None else without_regions(boxes, regions)
-    centre = (F.col("y0") + F.col("y1")) / 2
-    seeds = b.filter(S.is_math_seed()).select("doc_id", "page", F.col("seq").alias("seed"), centre.alias("cy"), F.col("font_size").alias("seed_font"), F.struct("y0", "x0", "seq").alias("place"))
-    near = b.join(seeds, PAGE).filter((F.abs(centre - F.col("cy")) <= 0.018) & ((S.natural_words() <= 2) | (F.col("font_size") < 0.85 * F.col("seed_font"))))
-    held = near.groupBy("doc_id", "page", "seed").agg(F.min("place").alias("place"), F.collect_list("seq").alias("seqs")).filter(F.size("seqs") >= 2)
-    page = held.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct("place", "seed", "seqs"))).alias("all"))
-    none = F.expr("struct(cast(array() as array<int>) as used, cast(array() as array<int>) as taken)")
+def formula_boxes(boxes: DataFrame, *, outside: bool = False) -> DataFrame:
+    """The boxes of each formula (seed); `outside`: of those outside figures and tables."""
+    return P.rows_of(boxes, "formulas" if outside else "open_formulas", "seed")
 
-    def take(a: Column, x: Column) -> Column:
-        free = ~F.array_contains(a["used"], x["seed"])
-        return F.when(free, F.struct(F.concat(a["used"], x["seqs"]).alias("used"), F.concat(a["taken"], F.array(x["seed"])).alias("taken"))).otherwise(a)
 
-    taken = page.select(*PAGE, F.explode(F.aggregate("all", none, take)["taken"]).alias("seed"))
-    return near.join(taken, ["doc_id", "page", "seed"], "left_semi").select(*boxes.columns, "seed")
+def formula_clusters(boxes: DataFrame, *, outside: bool = False) -> DataFrame:
+    return envelopes(formula_boxes(boxes, outside=outside), "doc_id", "page", "seed")
 
 
-def formula_clusters(boxes: DataFrame, regions: DataFrame | None = None) -> DataFrame:
-    return envelopes(formula_boxes(boxes, regions), "doc_id", "page", "seed")
+def regions(boxes: DataFrame) -> DataFrame:
+    """(doc_id, page, kind, start_seq, x0, y0, x1, y1): the tables and the graphics of figures."""
+    named = F.concat(
+        F.transform("tables", lambda t: F.struct(F.lit("table").alias("kind"), t["start_seq"].alias("start_seq"), P.envelope(t["rows"]).alias("at"))),
+        F.transform("figures", lambda f: F.struct(F.lit("graphic").alias("kind"), f["start_seq"].alias("start_seq"), P.graphic(f["top"], f["s_y0"]).alias("at"))),
+    )
+    found = P.page_structures(boxes, "figures", "tables").withColumn("named", named)
+    return P.each_of(found, "named", "r").select(*PAGE, "r.kind", "r.start_seq", "r.at.*")
 
 
 def math_exclusions(boxes: DataFrame) -> DataFrame:
     """Regions in which no formula is sought: graphics, caption boxes and tables."""
-    figures = figure_boxes(boxes)
-    return figure_graphics(figures).select(*PAGE, *BOX).unionByName(figures.select(*PAGE, *BOX)).unionByName(table_regions(boxes).select(*PAGE, *BOX))
+    return P.each_of(P.page_structures(boxes, "regions"), "regions", "r").select(*PAGE, "r.*")
 
 
 def consumed(boxes: DataFrame) -> DataFrame:
     """U4: (doc_id, page, seq, kind) of the boxes that the title, figures (captions and what their graphics touch), tables and formulas use up."""
-    def part(df: DataFrame, kind: str) -> DataFrame:
-        return df.select("doc_id", "page", "seq", F.lit(kind).alias("kind"))
-
-    figures = figure_boxes(boxes)
-    g = figure_graphics(figures).select("doc_id", "page", "s_y0", *[F.col(c).alias("g_" + c) for c in BOX])
-    above = boxes.join(g, PAGE).filter((F.col("y1") < F.col("s_y0") - 0.005) & ~S.is_page_number() & (S.overlap([F.col(c) for c in BOX], [F.col("g_" + c) for c in BOX]) > 0))
-    title = titles(boxes).withColumn("page", F.lit(1))
-    every = part(title, "title").unionByName(part(figures, "figure")).unionByName(part(above, "figure"))
-    return every.unionByName(part(table_boxes(boxes), "table")).unionByName(part(formula_boxes(boxes, math_exclusions(boxes)), "formula")).distinct()
+    return P.each_of(P.page_structures(boxes, "used"), "used", "u").select(*PAGE, "u.*")
 
 
 def sections(headings: DataFrame) -> DataFrame:
@@ -328,14 +288,12 @@ REASONS = {
 
 def omissions(boxes: DataFrame) -> DataFrame:
     """Tables, formulas, then what no structure used: page numbers, stamps, fragments and small signs beside prose, numbered in that order."""
-    used = consumed(boxes)
-    beside = overlay_math(with_median(boxes, used)).select("doc_id", "seq", F.lit(True).alias("beside"))
-    left = reading_order(boxes).join(used.select("doc_id", "seq"), ["doc_id", "seq"], "left_anti").join(beside, ["doc_id", "seq"], "left")
-    kind = F.when(S.is_page_number(), "page-number").when(S.is_stamp(), "stamp").when(F.col("beside") | S.is_formula_fragment(), "fragment")
-    singles = left.withColumn("kind", kind).filter("kind IS NOT NULL").select("doc_id", "page", "seq", "kind", F.lit(2).alias("turn"), F.col("reading_order").alias("at"))
-    tables = table_regions(boxes).select("doc_id", "page", F.col("start_seq").alias("seq"), F.lit("table").alias("kind"), F.lit(0).alias("turn"), F.col("start_seq").alias("at"))
-    formulas = formula_clusters(boxes, math_exclusions(boxes)).select("doc_id", "page", F.col("seed").alias("seq"), F.lit("formula").alias("kind"), F.lit(1).alias("turn"), F.col("seed").alias("at"))
-    every = tables.unionByName(formulas).unionByName(singles)
+    rows = reading_order(P.tagged_boxes(boxes))
+    single = F.when(S.is_page_number(), "page-number").when(S.is_stamp(), "stamp").when(F.col("beside") | S.is_formula_fragment(), "fragment")
+    found = [("table", F.col("table"), 0, "seq"), ("formula", F.col("formula"), 1, "seq")]
+    each = [F.when(on, F.struct(F.lit(kind).alias("kind"), F.lit(turn).alias("turn"), F.col(at).alias("at"))) for kind, on, turn, at in found]
+    each.append(F.when((F.size("kinds") == 0) & single.isNotNull(), F.struct(single.alias("kind"), F.lit(2).alias("turn"), F.col("reading_order").alias("at"))))
+    every = rows.select("doc_id", "page", "seq", F.explode(F.array_compact(F.array(*each))).alias("o")).select("doc_id", "page", "seq", "o.*")
     nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("turn", "page", "at", "seq"))
     said = [F.element_at(F.create_map(*[x for k, v in REASONS.items() for x in (F.lit(k), F.lit(v[i]))]), F.col("kind")) for i in (0, 1)]
     return every.select("doc_id", "page", "seq", said[0].alias("type"), said[1].alias("reason"), F.format_string("omit-%06d", nth).alias("id"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from foliomill.functions import scalars as S
 from foliomill.operators import layout as L
+from foliomill.operators import pages as P
 from foliomill.sources.bridge import BOXES, boxes
 
 QUERIES, SQL = {}, {}
@@ -109,8 +110,7 @@ def title_candidate(spark, sf_dir):
 
 @_query(f"{USED}, {median_sql('used')} SELECT doc_id, page, med AS median FROM med")
 def median_font(spark, sf_dir):
-    b = boxes(spark, sf_dir)
-    return L.median_fonts(b, L.consumed(b))
+    return P.page_structures(boxes(spark, sf_dir), "median").select("doc_id", "page", "median")
 
 
 @_query(f"SELECT doc_id, page, {ENVELOPE} FROM boxes GROUP BY doc_id, page")
@@ -150,10 +150,14 @@ def math_fragments(spark, sf_dir):
     return boxes(spark, sf_dir).select("doc_id", "seq", S.natural_words().alias("words"), S.math_signals().alias("signals"), S.is_math_seed().alias("seed"), S.is_formula_fragment().alias("fragment"), S.is_quality_fragment().alias("quality_fragment"))
 
 
-@_query(f"s AS (SELECT * FROM boxes WHERE {STAMP}) SELECT a.doc_id, a.page, a.seq AS a_seq, b.seq AS b_seq, round({overlap_sql('a', 'b')}, 9) AS area FROM s a JOIN boxes b ON a.doc_id = b.doc_id AND a.page = b.page WHERE {overlap_sql('a', 'b')} > 0")
+@_query(
+    f"""{FIGURES}, {TABLES}, r AS (SELECT doc_id, page, 'graphic' AS kind, start_seq, x0, y0, x1, y1 FROM graphics UNION ALL SELECT doc_id, page, 'table', start_seq, x0, y0, x1, y1 FROM tables)
+    SELECT a.doc_id, a.page, kind, start_seq, b.seq AS b_seq, round({overlap_sql('a', 'b')}, 9) AS area FROM r a JOIN boxes b ON a.doc_id = b.doc_id AND a.page = b.page WHERE {overlap_sql('a', 'b')} > 0"""
+)
 def spatial_overlap_join(spark, sf_dir):
     b = boxes(spark, sf_dir)
-    return L.overlapping(b.filter(S.is_stamp()), b).select("doc_id", "page", "a_seq", "b_seq", F.round("area", 9).alias("area"))
+    found = L.overlapping(L.regions(b), b.select("doc_id", "page", "seq", *L.BOX))
+    return found.select("doc_id", "page", F.col("a_kind").alias("kind"), F.col("a_start_seq").alias("start_seq"), "b_seq", F.round("area", 9).alias("area"))
 
 
 @_query(
@@ -170,8 +174,7 @@ def excluded_regions(spark, sf_dir):
     SELECT doc_id, page, seq FROM m WHERE font_size < 0.8 * med AND EXISTS (SELECT 1 FROM p WHERE p.doc_id = m.doc_id AND p.page = m.page AND p.seq <> m.seq AND m.y0 < p.y1 AND p.y0 < m.y1)"""
 )
 def overlay_math(spark, sf_dir):
-    b = boxes(spark, sf_dir)
-    return L.overlay_math(L.with_median(b, L.consumed(b))).select("doc_id", "page", "seq")
+    return P.each_of(P.page_structures(boxes(spark, sf_dir), "beside"), "beside", "seq").select("doc_id", "page", "seq")
 
 
 FRONT = f"""{TITLE}, label AS (SELECT doc_id, y0 AS abstract_top, y1 AS abstract_bottom FROM (SELECT *, row_number() OVER (PARTITION BY doc_id {BY_ROW}) AS n FROM boxes WHERE page = 1 AND lower(trim(text)) = 'abstract') WHERE n = 1),
@@ -248,7 +251,7 @@ def figure_captions(spark, sf_dir):
 
 @_query(f"{FIGURES} SELECT doc_id, page, start_seq, x0, y0, x1, y1 FROM graphics")
 def figure_graphics(spark, sf_dir):
-    return L.figure_graphics(L.figure_boxes(boxes(spark, sf_dir))).drop("s_y0")
+    return L.figure_graphics(boxes(spark, sf_dir))
 
 
 @_query(f"{formulas_sql()} SELECT * FROM formulas")
