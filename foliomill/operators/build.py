@@ -1,7 +1,9 @@
 """Packages from blocks: ids, XML, provenance records, manifest, checksums, and sinks that write them.
 
 Blocks are rows (doc_id, nth, kind, page, text, x0, y0, x1, y1); kinds are title, author, affiliation, abstract, heading, paragraph,
-reference, figure, note. Everything is keyed by doc_id; one document's XML is one row.
+reference, figure, note, publication (`label|kind of id|id`), date (`day month year`) and contribution (a note on equal shares). An optional
+column `marks` (array of strings) holds the labels of an author's affiliations and `†` for the note. Everything is keyed by doc_id; one
+document's XML is one row.
 """
 
 from __future__ import annotations
@@ -23,7 +25,10 @@ from pyspark.sql.window import Window
 
 from foliomill.functions import scalars as S
 
-PREFIX = {"author": "author", "affiliation": "aff", "abstract": "abstract", "heading": "sec", "paragraph": "p", "reference": "ref", "figure": "fig", "note": "p", "title": "title"}
+PREFIX = {"author": "author", "affiliation": "aff", "abstract": "abstract", "heading": "sec", "paragraph": "p", "reference": "ref", "figure": "fig", "note": "p", "title": "title", "publication": "journal-id", "date": "date", "contribution": "fn"}
+
+
+REVISION = "struct<actor:string,method:string,before:string,after:string,reason:string>"
 
 
 def with_ids(blocks: DataFrame) -> DataFrame:
@@ -54,20 +59,43 @@ def documents(blocks: DataFrame, *, journal: str = "Unknown publication", langua
             return f"<{tag}{f' id={quoteattr(ident)}' if ident else ''}{attrs}>{escape(text)}</{tag}>"
 
         out.append('<?xml version="1.0" encoding="UTF-8"?>\n<article xmlns:xlink="http://www.w3.org/1999/xlink" id="doc-000001" dtd-version="1.3" xml:lang=' + quoteattr(language) + ">\n<front><journal-meta><journal-title-group>")
-        out.append(put("journal-title", "title-000001", journal, None) + "</journal-title-group></journal-meta><article-meta><title-group>")
+        at = by.get("publication", [None])[0]
+        label, id_type, number = (at.text.split("|") + ["", ""])[:3] if at else (journal, "", "")
+        known = at.nth if at else None
+        if at:
+            out.insert(1, put("journal-id", at.element_id, label, known, attrs=' journal-id-type="publisher-id"'))
+            out[0], out[1] = out[0].removesuffix("<journal-title-group>"), out[1] + "<journal-title-group>"
+        out.append(put("journal-title", "title-000001", label, known) + "</journal-title-group>")
+        if at:
+            preprint = label == "arXiv"
+            out.append(put("issn", "issn-000001" if preprint else None, S.PREPRINT_ISSN if preprint else "", known, attrs=f' publication-format="electronic" specific-use="{"registry-derived" if preprint else "not-applicable"}"'))
+        out.append("</journal-meta><article-meta>" + (put("article-id", "article-id-000001", number, known, attrs=f" pub-id-type={quoteattr(id_type)}") if number else "") + "<title-group>")
         title = by.get("title", [None])[0]
         out.append(put("article-title", "title-000002", title.text if title else "Untitled", title.nth if title else None) + "</title-group>")
+        held = by.get("contribution", [None])[0]
+        labels = {m[1]: r.element_id for r in by.get("affiliation", []) if (m := re.match(r"(\d+)", r.text))}
         if by.get("author"):
             out.append("<contrib-group>")
             for i, r in enumerate(by["author"], 1):
                 given, _, surname = r.text.strip().rpartition(" ")
+                marks = getattr(r, "marks", None)
+                rids = [("aff", labels[x], x) for x in (marks if marks is not None else ()) if x in labels]
+                rids += [("author-notes", held.element_id, "†")] if held is not None and marks is not None and "†" in marks else []
+                seen = "".join(f'<xref ref-type="{kind}" rid="{rid}">{escape(x)}</xref>' for kind, rid, x in rids)
                 nodes += [(r.element_id, r.nth, "contrib"), (f"name-{i:06d}", r.nth, "name")]
-                out.append(f'<contrib id="{r.element_id}"><name id="name-{i:06d}"><surname>{escape(surname)}</surname>' + (f"<given-names>{escape(given)}</given-names>" if given else "") + "</name></contrib>")
+                out.append(f'<contrib id="{r.element_id}" contrib-type="author"><name id="name-{i:06d}" name-style="western"><surname>{escape(surname)}</surname>' + (f"<given-names>{escape(given)}</given-names>" if given else "") + f"</name>{seen}</contrib>")
             out.append("</contrib-group>")
         for r in by.get("affiliation", []):
             m = re.match(r"(\d+)\s*(.*)$", r.text, re.S)
             nodes.append((r.element_id, r.nth, ""))
             out.append(f'<aff id="{r.element_id}">' + (f"<label>{m[1]}</label> {escape(m[2])}" if m else escape(r.text)) + "</aff>")
+        if held is not None:
+            nodes.append((held.element_id, held.nth, "fn"))
+            out.append(f'<author-notes><fn id="{held.element_id}" fn-type="equal"><label>†</label>' + put("p", None, re.sub(r"^†\s*", "", held.text), None) + "</fn></author-notes>")
+        for r in by.get("date", [])[:1]:
+            day, month, year = (r.text.split() + ["", "", ""])[:3]
+            nodes.append((r.element_id, r.nth, ""))
+            out.append(f'<pub-date id="{r.element_id}" date-type="preprint" publication-format="electronic"><day>{escape(day)}</day><month>{escape(month)}</month><year>{escape(year)}</year></pub-date>')
         for r in by.get("abstract", [])[:1]:
             nodes.append((r.element_id, r.nth, ""))
             out.append(f'<abstract id="{r.element_id}">' + put("p", "p-000001", r.text, r.nth) + "</abstract>")
@@ -128,7 +156,7 @@ def element_records(documents_: DataFrame, boxes: DataFrame, recognised: DataFra
     sources = both.groupBy("doc_id", "nth").agg(F.array_sort(F.collect_list(place), lambda a, b: a["physical_page"] - b["physical_page"]).alias("sources"))
     decision = F.struct(F.lit("reconciled").alias("method"), F.lit(0.8).alias("confidence"))
     none = F.when(F.col("part") == "fig", F.transform("sources", lambda s: s.withField("candidates", F.slice(s["candidates"], 1, 0)))).otherwise(F.col("sources"))
-    return nodes.join(sources, ["doc_id", "nth"]).select("doc_id", "element_id", F.concat(F.lit("//*[@id='"), "element_id", F.lit("']")).alias("xml_path"), "reading_order", none.alias("sources"), decision.alias("decision"), F.array().alias("revisions"))
+    return nodes.join(sources, ["doc_id", "nth"]).select("doc_id", "element_id", F.concat(F.lit("//*[@id='"), "element_id", F.lit("']")).alias("xml_path"), "reading_order", none.alias("sources"), decision.alias("decision"), F.array().cast(f"array<{REVISION}>").alias("revisions"))
 
 
 def manifest(sources: DataFrame, name_prefix: str, format_name: str, schema_url: str, created_at: str, generator: tuple[str, str]) -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 import hashlib
 import os
 import stat
+import unicodedata
 from collections.abc import Iterator, Sequence
 from xml.parsers import expat
 
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 FILES = "package string, path string, kind string, size long, sha256 string, content binary"
-NODES = "package string, path string, seq int, parent int, depth int, tag string, id string, line int, attrs map<string,string>, own_text string, full_text string, error string"
+NODES = "package string, path string, seq int, parent int, depth int, tag string, id string, line int, attrs map<string,string>, own_text string, full_text string, trail string, flat string, spaced string, error string"
 XLINK = "http://www.w3.org/1999/xlink"
 XML = "http://www.w3.org/XML/1998/namespace"
 
@@ -63,11 +64,11 @@ def parse_xml(data: bytes) -> tuple[list[dict], str | None, int | None]:
     nodes: list[dict] = []
     stack: list[int] = []
     parser = expat.ParserCreate(namespace_separator="|")
-    parser.buffer_text = True
+    parser.buffer_text, parser.buffer_size = True, max(len(data), 1)  # one call for each run of text
 
     def start(tag: str, attrs: dict) -> None:
         named = {k.replace(XLINK + "|", "xlink:").replace(XML + "|", "xml:"): v for k, v in attrs.items()}
-        nodes.append({"parent": stack[-1] if stack else None, "depth": len(stack), "tag": tag, "id": named.get("id"), "line": parser.CurrentLineNumber, "attrs": named, "own": [], "full": []})
+        nodes.append({"parent": stack[-1] if stack else None, "depth": len(stack), "tag": tag, "id": named.get("id"), "line": parser.CurrentLineNumber, "attrs": named, "own": [], "full": [], "trail": (nodes[stack[-1]]["trail"] if stack else "") + "/" + tag})
         stack.append(len(nodes) - 1)
 
     def text(data: str) -> None:
@@ -87,8 +88,14 @@ def parse_xml(data: bytes) -> tuple[list[dict], str | None, int | None]:
     return nodes, None, None
 
 
-def xml_nodes(found: DataFrame, path: str = "content/document.xml") -> DataFrame:
-    """One row for each element; for a file that does not parse one row with its error."""
+def _flat(text: str) -> str:
+    """NFC, runs of white space as single blanks."""
+    return " ".join(unicodedata.normalize("NFC", text).split())
+
+
+def parsed(found: DataFrame, path: str = "content/document.xml") -> DataFrame:
+    """One row for each element of each (package, content); for one that does not parse one row with its error. `trail` holds the tags from
+    the root on; `flat` is the text of elements with an id and of paragraphs in NFC with single blanks, `spaced` the same with blanks between runs of text."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -96,11 +103,19 @@ def xml_nodes(found: DataFrame, path: str = "content/document.xml") -> DataFrame
             for package, data in zip(batch["package"], batch["content"], strict=True):
                 nodes, error, line = parse_xml(bytes(data))
                 if error:
-                    rows.append((package, path, 0, None, 0, None, None, line, {}, None, None, error))
-                rows += [(package, path, i, n["parent"], n["depth"], n["tag"], n["id"], n["line"], n["attrs"], "".join(n["own"]), "".join(n["full"]), None) for i, n in enumerate(nodes)]
+                    rows.append((package, path, 0, None, 0, None, None, line, {}, None, None, None, None, None, error))
+                for i, n in enumerate(nodes):
+                    read = n["id"] is not None or n["tag"] == "p"
+                    flat, spaced = (_flat("".join(n["full"])), _flat(" ".join(x for x in n["full"] if x.strip()))) if read else (None, None)
+                    rows.append((package, path, i, n["parent"], n["depth"], n["tag"], n["id"], n["line"], n["attrs"], "".join(n["own"]), "".join(n["full"]), n["trail"], flat, spaced, None))
             out = pd.DataFrame(rows, columns=[c.split()[0] for c in NODES.split(", ")])
             for c in ("seq", "parent", "depth", "line"):
                 out[c] = out[c].astype("Int32")
             yield out
 
-    return found.filter((F.col("path") == path) & (F.col("kind") == "file")).select("package", "content").mapInPandas(run, NODES)
+    return found.select("package", "content").mapInPandas(run, NODES)
+
+
+def xml_nodes(found: DataFrame, path: str = "content/document.xml") -> DataFrame:
+    """The elements of a file of each package."""
+    return parsed(found.filter((F.col("path") == path) & (F.col("kind") == "file")), path)
