@@ -4,8 +4,8 @@ Equal vectors become one. Unit vectors are quantised to int8 with the exact norm
 multiplied, and a pair can only reach the threshold if its product is above it less the pair's error bound. Such pairs, and no
 others, are computed again in double precision. A tile pair yields link counts and a spanning forest of its links, never pairs.
 
-Other columns are not read. Defined results: null or zero vectors and such with null or non-finite components link with nothing; vectors of different length do
-not link; rows of equal vectors link with each other; repeated rows each have a row; component_id is null only where every vec_id is.
+Other columns are not read; vectors may have any length. Defined results: null or zero vectors and such with null or non-finite components link with nothing; vectors of different length do
+not link; rows of equal vectors link with each other; repeated rows each have a row; component_id is null only where every vec_id is; no rows give no rows.
 """
 
 from __future__ import annotations
@@ -30,6 +30,16 @@ EXACT = 1024
 SLACK = 1e-6
 
 
+def in_range(x: np.ndarray) -> np.ndarray:
+    """x, but rows whose squares would leave the range of doubles scaled by a power of two, which no cosine sees."""
+    top = np.abs(x).max(1)
+    odd = (top < 1e-100) | (top > 1e100)
+    if odd.any():
+        x = x.copy()
+        x[odd] = np.ldexp(x[odd], -np.frexp(top[odd])[1][:, None])
+    return x
+
+
 def quantise(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(q int8, scale, error): |unit - scale * q| = error exactly, row by row."""
     scale = np.abs(unit).max(1) / 127
@@ -48,6 +58,7 @@ def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def tile_links(a: np.ndarray, b: np.ndarray, threshold: float, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs (i, j) with cosine of at least threshold in double precision; of one tile with itself only i < j."""
+    a, b = in_range(a), in_range(b)
     na, nb = np.linalg.norm(a, axis=1), np.linalg.norm(b, axis=1)
     ua, ub = a / na[:, None], b / nb[:, None]
     (qa, sa, ea), (qb, sb, eb) = quantise(ua), quantise(ub)
@@ -82,9 +93,11 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector: str = "e
     rows = vectors.select(F.col(id_col).alias("vec_id"), F.col(vector).cast("array<double>").alias("v"))
     fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     rows = rows.withColumn("ok", F.coalesce(fine, F.lit(False)))
-    rows = settle(rows.select("vec_id", F.when(F.col("ok"), F.xxhash64("v")).alias("h"), F.when(F.col("ok"), F.col("v")).alias("v")))
-    classes = rows.filter("h is not null").groupBy("h").agg(F.min("vec_id").alias("first"), F.count("*").alias("n"), F.first("v").alias("v"))
-    classes = settle(classes.withColumn("dim", F.size("v")))
+    # two hashes tell vectors apart; a class's own number stands for it from then on
+    hashes = [F.when(F.col("ok"), F.xxhash64("v", *seed)).alias(c) for c, seed in (("h1", []), ("h2", [F.lit(1)]))]
+    rows = settle(rows.select("vec_id", *hashes, F.when(F.col("ok"), F.col("v")).alias("v")))
+    classes = rows.filter("h1 is not null").groupBy("h1", "h2").agg(F.min("vec_id").alias("first"), F.count("*").alias("n"), F.first("v").alias("v"))
+    classes = settle(classes.withColumns({"dim": F.size("v"), "h": F.monotonically_increasing_id()}))
     n = classes.count()
     # tiles of bounded size, and enough of them for all cores
     cores = vectors.sparkSession.sparkContext.defaultParallelism
@@ -114,14 +127,14 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector: str = "e
     made = settle(sent.groupBy("dim", "a", "b").applyInArrow(multiply, "h long, links long, root long"))
     links = made.groupBy("h").agg(F.sum("links").alias("links"))
     parts = components(made.select(F.col("h").alias("a"), F.col("root").alias("b")))
-    of = classes.select("h", "first", "n").join(links, "h", "left").join(parts.withColumnRenamed("node", "h"), "h", "left")
-    of = settle(of.select("h", "first", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "h").alias("component")))
+    of = classes.select("h", "h1", "h2", "first", "n").join(links, "h", "left").join(parts.withColumnRenamed("node", "h"), "h", "left")
+    of = settle(of.select("h1", "h2", "first", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "h").alias("component")))
     for used in (classes, made, parts):
         unsettle(used)
     least = of.groupBy("component").agg(F.min("first").alias("component_id"))
-    of = of.join(least, "component").select("h", "n_links", "component_id")
-    out = rows.select("vec_id", "h").join(of, "h", "left")
-    out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("h").isNull(), F.col("vec_id")).otherwise(F.col("component_id")).alias("component_id"))
+    of = of.join(least, "component").select("h1", "h2", "n_links", "component_id")
+    out = rows.select("vec_id", "h1", "h2").join(of, ["h1", "h2"], "left")
+    out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("h1").isNull(), F.col("vec_id")).otherwise(F.col("component_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
 

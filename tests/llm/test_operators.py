@@ -643,6 +643,16 @@ def test_vectors_odd_rows(spark):
     assert got == Counter([(1, 2, 1), (1, 2, 1), (None, 2, 1), (2, 0, 2), (3, 0, 3), (4, 0, 4), (5, 0, 5), (6, 0, 6), (None, 0, None)])
 
 
+def test_vectors_at_the_ends_of_doubles(spark):
+    """Squares that leave the range of doubles: such vectors link as their multiples do, and hide no other vector's links."""
+    rng = np.random.default_rng(8)
+    v = rng.normal(size=16)
+    rows = [v * 1e-170, v, v * 1e200, np.r_[5e-324, np.zeros(15)], -v, *rng.normal(size=(40, 16))]
+    got = {r["vec_id"]: r["n_links"] for r in vectors.near_duplicates(spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(rows)], "vec_id long, embedding array<double>")).collect()}
+    assert [got[i] for i in range(3)] == [2, 2, 2] and got[4] == 0 and sum(got.values()) == 6
+    assert np.isfinite(vectors.in_range(np.array([[5e-324, 0.0], [1.7e308, -1.7e308], [1.0, 2.0]]))).all()
+
+
 def test_quantisation_bound_is_rigorous():
     u = np.random.default_rng(2).normal(size=(200, 64))
     u /= np.linalg.norm(u, axis=1)[:, None]
