@@ -72,7 +72,6 @@ def test_in_run_hyphens():
 def test_spaces_between_runs(spark):
     for a, b, expected in [("(", "x", False), ("word", "B", True), ("ab", "cd", False), ("α", "x", True), ("3", "kg", True), ("3", "k", False), ("", "x", False), ("A", "B", False)]:
         assert one(spark, S.needs_space(F.lit(a), F.lit(b))) is expected, (a, b)
-        assert prose._needs_space(a, b) is expected, (a, b)
     assert one(spark, S.repaired_spacing(F.lit("isBIG ∆x 10 nsand"))) == prose.repaired("isBIG ∆x 10 nsand", {}) == "is BIG ∆ x 10 ns and"
 
 
