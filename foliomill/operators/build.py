@@ -14,11 +14,12 @@ import os
 import re
 import shutil
 import tempfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from pathlib import Path
+from types import SimpleNamespace
 from xml.sax.saxutils import escape, quoteattr
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -46,8 +47,7 @@ def documents(blocks: DataFrame, *, journal: str = "Unknown publication", langua
     """(doc_id, xml, nodes): each document's XML, and (element_id, nth block, part) of its addressable elements in document order."""
     schema = "doc_id long, xml string, nodes array<struct<element_id:string,nth:int,part:string>>"
 
-    def render(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = list(pdf.sort_values("nth").itertuples())
+    def render(rows: list[SimpleNamespace]) -> tuple[str, list[tuple]]:
         by: dict[str, list] = {}
         for r in rows:
             by.setdefault(r.kind, []).append(r)
@@ -123,9 +123,20 @@ def documents(blocks: DataFrame, *, journal: str = "Unknown publication", langua
                 out.append(f'<ref id="{r.element_id}">' + (f"<label>{m[1]}</label>" if m else "") + f"<mixed-citation>{escape(m[2] if m else r.text)}</mixed-citation></ref>")
             out.append("</ref-list>")
         out.append("</back>\n</article>\n")
-        return pd.DataFrame([(pdf["doc_id"].iloc[0], "".join(out), nodes)], columns=["doc_id", "xml", "nodes"])
-
-    return blocks.groupBy("doc_id").applyInPandas(render, schema)
+        return "".join(out), nodes
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = pa.list_(pa.struct([("element_id", pa.string()), ("nth", pa.int32()), ("part", pa.string())]))
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                made = [render([SimpleNamespace(**r) for r in rows]) for rows in part.column(1).to_pylist()]
+                nodes = [[{"element_id": i, "nth": n, "part": x} for i, n, x in found] for _, found in made]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([xml for xml, _ in made], pa.string()), pa.array(nodes, kinds)], ["doc_id", "xml", "nodes"])
+
+    needed = ["nth", "kind", "text", "element_id", *[c for c in blocks.columns if c == "marks"]]
+    gathered = blocks.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.array_sort(F.collect_list(F.struct(*needed))).alias("rows"))
+    return gathered.mapInArrow(run, schema)
 
 
 def page_records(pages: DataFrame, source: str = "src-001") -> DataFrame:

@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 
 FILES = "package string, path string, kind string, size long, sha256 string, content binary"
 NODES = "package string, path string, seq int, parent int, depth int, tag string, id string, line int, attrs map<string,string>, own_text string, full_text string, trail string, flat string, spaced string, error string"
+#: Characters of nodes, roughly, that go back to Spark at a time.
+PARSED_CHARS = 4 << 20
 XLINK = "http://www.w3.org/1999/xlink"
 XML = "http://www.w3.org/XML/1998/namespace"
 
@@ -97,21 +99,29 @@ def parsed(found: DataFrame, path: str = "content/document.xml") -> DataFrame:
     """One row for each element of each (package, content); for one that does not parse one row with its error. `trail` holds the tags from
     the root on; `flat` is the text of elements with an id and of paragraphs in NFC with single blanks, `spaced` the same with blanks between runs of text."""
 
+    def table(rows: list[tuple]) -> pd.DataFrame:
+        out = pd.DataFrame(rows, columns=[c.split()[0] for c in NODES.split(", ")])
+        for c in ("seq", "parent", "depth", "line"):
+            out[c] = out[c].astype("Int32")
+        return out
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows, size = [], 0
         for batch in batches:
-            rows = []
             for package, data in zip(batch["package"], batch["content"], strict=True):
                 nodes, error, line = parse_xml(bytes(data))
                 if error:
                     rows.append((package, path, 0, None, 0, None, None, line, {}, None, None, None, None, None, error))
                 for i, n in enumerate(nodes):
+                    full = "".join(n["full"])
                     read = n["id"] is not None or n["tag"] == "p"
-                    flat, spaced = (_flat("".join(n["full"])), _flat(" ".join(x for x in n["full"] if x.strip()))) if read else (None, None)
-                    rows.append((package, path, i, n["parent"], n["depth"], n["tag"], n["id"], n["line"], n["attrs"], "".join(n["own"]), "".join(n["full"]), n["trail"], flat, spaced, None))
-            out = pd.DataFrame(rows, columns=[c.split()[0] for c in NODES.split(", ")])
-            for c in ("seq", "parent", "depth", "line"):
-                out[c] = out[c].astype("Int32")
-            yield out
+                    flat, spaced = (_flat(full), _flat(" ".join(x for x in n["full"] if x.strip()))) if read else (None, None)
+                    rows.append((package, path, i, n["parent"], n["depth"], n["tag"], n["id"], n["line"], n["attrs"], "".join(n["own"]), full, n["trail"], flat, spaced, None))
+                    size += 200 + 3 * len(full)
+                    if size > PARSED_CHARS:  # elements hold the texts of those inside them: rows go on in bounded portions
+                        yield table(rows)
+                        rows, size = [], 0
+        yield table(rows)
 
     return found.select("package", "content").mapInPandas(run, NODES)
 
