@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliomill.operators import build
+from foliomill.operators.profile import ADDRESSABLE
 from foliomill.sources.packages import parsed
 from foliomill.sources.written import forget, written
 
@@ -51,7 +52,10 @@ def packages_of(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     about = blocks.filter(f"{LOST} OR {REVISED}").select("doc_id", "element_id", F.expr(LOST).alias("lost"), F.when(F.expr(REVISED), F.array(F.struct(F.col("text").alias("after")))).alias("revisions"))
     records = records.join(about, ["doc_id", "element_id"], "left").filter("lost IS NOT TRUE")
     package = F.col("doc_id").cast("string").alias("package")
-    nodes = written(parsed(made.select(package, F.encode("xml", "UTF-8").alias("content"))))
+    nodes = parsed(made.select(package, F.encode("xml", "UTF-8").alias("content")))
+    # only the texts that the report reads: a node's text holds those of all nodes inside it
+    texts = [F.when(on, F.col(c)).alias(c) for c, on in (("own_text", F.col("tag") == "label"), ("flat", F.col("tag") == "p"), ("spaced", F.col("tag").isin(*ADDRESSABLE)))]
+    nodes = written(nodes.select("package", "seq", "tag", "id", "attrs", "trail", *texts, "error"))
     elements = written(records.select(package, "element_id", "sources", "revisions"))
     forget(blocks, made)
     return nodes, elements
