@@ -187,16 +187,3 @@ def quality_metrics(spark, sf_dir):
 def engine_versions(spark, sf_dir):
     found = G.distinct_versions(_t(spark, sf_dir, "events").select("event_type", (F.col("user_id") % 5).alias("version")), "event_type", "version")
     return found.select("event_type", F.array_join(F.transform("versions", lambda v: v.cast("string")), ",").alias("versions"))
-
-
-@_query(
-    """WITH a AS (SELECT conv_id, count(*) AS n, max(length(text)) AS longest, min(role) AS first_role FROM conversations GROUP BY 1), b AS (SELECT conv_id, count(*) AS n, max(length(text) + CASE WHEN conv_id % 9 = 2 THEN 1 ELSE 0 END) AS longest, min(role) AS first_role FROM conversations WHERE conv_id % 13 <> 4 OR turn <> 0 GROUP BY 1),
-    j AS (SELECT a.conv_id, a.n <> b.n AS d1, a.longest IS DISTINCT FROM b.longest AS d2, a.first_role <> b.first_role AS d3 FROM a JOIN b USING (conv_id))
-    SELECT conv_id, 'n' AS field FROM j WHERE d1 UNION ALL SELECT conv_id, 'longest' FROM j WHERE d2 UNION ALL SELECT conv_id, 'first_role' FROM j WHERE d3"""
-)
-def projection_diff(spark, sf_dir):
-    c = _t(spark, sf_dir, "conversations")
-    a = c.groupBy("conv_id").agg(F.count("*").alias("n"), F.max(F.length("text")).alias("longest"), F.min("role").alias("first_role"))
-    more = F.when(F.col("conv_id") % 9 == 2, 1).otherwise(0)
-    b = c.filter("conv_id % 13 <> 4 OR turn <> 0").groupBy("conv_id").agg(F.count("*").alias("n"), F.max(F.length("text") + more).alias("longest"), F.min("role").alias("first_role"))
-    return G.projection_differences(a, b, "conv_id", ["n", "longest", "first_role"])
