@@ -7,18 +7,15 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pyarrow as pa
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from foliomill.operators.prose import flat
-
-#: White space between tokens, as Spark's and the oracle's patterns have it.
-ITEMS_A_BLOCK = 512
+from foliomill.sources.written import written
 
 
 def key_text(*columns: Column | str) -> Column:
@@ -90,50 +87,35 @@ def tokens(text: str) -> list[str]:
     return re.findall(r"\w+", flat(text))
 
 
-def token_overlap(a: Column, b: Column) -> Column:
-    """Sum of the lesser counts over the tokens of a, by the number of tokens of a (1 at least). Token arrays."""
-    shared = F.aggregate(F.array_distinct(a), F.lit(0), lambda acc, x: acc + F.least(F.size(F.filter(a, lambda y: y == x)), F.size(F.filter(b, lambda y: y == x))))
-    return shared / F.greatest(F.size(a), F.lit(1))
+def symbols(texts: DataFrame, key: str) -> DataFrame:
+    """(key, symbols): the tokens of each text, the k-th copy of a token as a symbol of its own: what two texts share, counted by the lesser numbers, is a number of common symbols."""
+
+    @F.pandas_udf("array<string>")
+    def of(batch: pd.Series) -> pd.Series:
+        return pd.Series([[t if k == 0 else f"{t} {k}" for t, n in Counter(tokens(x)).items() for k in range(n)] for x in batch])
+
+    return texts.filter("text IS NOT NULL").select(F.col(key).cast("long").alias(key), of("text").alias("symbols"))
 
 
-def overlaps(items: DataFrame, docs: DataFrame) -> DataFrame:
-    """A8 of every item (item_id, text) with the whole text of every document (doc_id, text): item_id, doc_id, overlap.
+def overlaps(items: DataFrame, docs: DataFrame, tenths: int = 9) -> DataFrame:
+    """(item_id, doc_id, overlap) of items (item_id, text) and documents (doc_id, text) that hold at least `tenths` (1 to 10) tenths of the item's tokens.
 
-    Tokens are runs of word characters of the case-folded text; null texts are left out, and an item without tokens has no overlap. The
-    items are few: they are held in blocks and every document passes each block.
+    Tokens are runs of word characters of the case-folded text. Null texts, and items without tokens, have no rows; keys are unique. A document that lacks at most the
+    allowed part of an item's symbols holds one of any (allowed + 1) of them, so only the item's rarest (allowed + 1) symbols are looked up. All
+    sides are joined by shuffles, which the engine turns into broadcasts where it has measured a side as small.
     """
-    found = [(r["item_id"], tokens(r["text"])) for r in items.filter("text IS NOT NULL").select("item_id", "text").collect()]
-    blocks = []
-    for at in range(0, len(found), ITEMS_A_BLOCK):
-        part = found[at : at + ITEMS_A_BLOCK]
-        # the k-th copy of a token is a symbol of its own, so that a lesser count is a number of shared symbols
-        symbols: dict[str, list[int]] = {}
-        cells, size = [], 0
-        for j, (_, said) in enumerate(part):
-            for token, n in Counter(said).items():
-                have = symbols.setdefault(token, [])
-                while len(have) < n:
-                    have.append(size)
-                    size += 1
-                cells += [(e, j) for e in have[:n]]
-        table = np.zeros((size, len(part)), np.uint8)
-        table[tuple(np.array(cells, np.int64).reshape(-1, 2).T)] = 1
-        blocks.append((np.array([i for i, _ in part], np.int64), np.array([len(t) for _, t in part], np.int32), symbols, table))
-    shared = docs.sparkSession.sparkContext.broadcast(blocks)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                have = Counter(tokens(text))
-                for ids, sizes, symbols, table in shared.value:
-                    at = [e for t in have.keys() & symbols.keys() for e in symbols[t][: have[t]]]
-                    n = table[at].sum(axis=0, dtype=np.int32)
-                    ids_of_doc = pa.array([doc_id], pa.int64()).take(pa.array(np.zeros(len(ids), np.int64)))
-                    yield pa.RecordBatch.from_arrays([pa.array(ids), ids_of_doc, pa.array(n), pa.array(sizes)], ["item_id", "doc_id", "shared", "size"])
-
-    rows = docs.filter("text IS NOT NULL").select(F.col("doc_id").cast("long"), "text")
-    made = rows.mapInArrow(run, "item_id long, doc_id long, shared int, size int")
-    return made.select("item_id", "doc_id", F.round(F.col("shared") / F.greatest("size", F.lit(1)), 6).alias("overlap"))
+    asked = symbols(items, "item_id").withColumn("size", F.size("symbols")).filter("size > 0")
+    held = written(symbols(docs, "doc_id"))
+    each = held.select("doc_id", F.explode("symbols").alias("symbol"))
+    wanted = asked.select("item_id", "size", F.explode("symbols").alias("symbol"))
+    frequency = each.join(wanted.select("symbol").distinct(), "symbol", "left_semi").groupBy("symbol").agg(F.count("*").alias("f"))
+    rank = F.row_number().over(Window.partitionBy("item_id").orderBy("f", "symbol"))
+    allowed = F.expr(f"size - CAST(ceil({tenths} * size / 10) AS INT)")
+    rare = wanted.join(frequency, "symbol", "left").na.fill(0, ["f"]).withColumn("rank", rank).filter(F.col("rank") <= allowed + 1).filter("f > 0").select("item_id", "symbol")
+    pairs = each.join(rare, "symbol").select("item_id", "doc_id").distinct()
+    both = pairs.join(asked, "item_id").withColumnRenamed("symbols", "wanted").join(held, "doc_id")
+    shared = both.select("item_id", "doc_id", "size", F.size(F.array_intersect("wanted", "symbols")).alias("shared"))
+    return shared.filter(10 * F.col("shared") >= tenths * F.col("size")).select("item_id", "doc_id", F.round(F.col("shared") / F.col("size"), 6).alias("overlap"))
 
 
 def text_hygiene(df: DataFrame, text: str = "text") -> DataFrame:

@@ -139,7 +139,8 @@ def report_validity(spark, sf_dir):
     r"""WITH i AS (SELECT item_id, regexp_extract_all(replace(lower(nfc_normalize(text)), 'ß', 'ss'), '[\p{L}\p{N}_]+') AS t FROM benchmark WHERE text IS NOT NULL), d AS (SELECT doc_id, regexp_extract_all(replace(lower(nfc_normalize(text)), 'ß', 'ss'), '[\p{L}\p{N}_]+') AS t FROM documents WHERE text IS NOT NULL),
     iw AS (SELECT item_id, w, count(*) AS n FROM (SELECT item_id, unnest(t) AS w FROM i) GROUP BY 1, 2), dw AS (SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest(t) AS w FROM d) GROUP BY 1, 2),
     s AS (SELECT item_id, doc_id, sum(least(iw.n, dw.n)) AS s FROM iw JOIN dw ON iw.w = dw.w GROUP BY 1, 2)
-    SELECT i.item_id, d.doc_id, round(coalesce(s, 0) / greatest(len(i.t), 1), 6) AS overlap FROM i CROSS JOIN d LEFT JOIN s ON s.item_id = i.item_id AND s.doc_id = d.doc_id"""
+    SELECT i.item_id, s.doc_id, round(s / len(i.t), 6) AS overlap FROM s JOIN i ON s.item_id = i.item_id WHERE 10 * s >= 9 * len(i.t)
+"""
 )
 def token_overlap(spark, sf_dir):
     return I.overlaps(_t(spark, sf_dir, "benchmark"), _t(spark, sf_dir, "documents"))
