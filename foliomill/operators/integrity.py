@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from foliomill.operators.prose import flat
-from foliomill.sources.written import written
+from foliomill.sources.written import forget, written
 
 
 def key_text(*columns: Column | str) -> Column:
@@ -101,18 +101,20 @@ def overlaps(items: DataFrame, docs: DataFrame, tenths: int = 9) -> DataFrame:
     """(item_id, doc_id, overlap) of items (item_id, text) and documents (doc_id, text) that hold at least `tenths` (1 to 10) tenths of the item's tokens.
 
     Tokens are runs of word characters of the case-folded text. Null texts, and items without tokens, have no rows; keys are unique. A document that lacks at most the
-    allowed part of an item's symbols holds one of any (allowed + 1) of them, so only the item's rarest (allowed + 1) symbols are looked up. All
-    sides are joined by shuffles, which the engine turns into broadcasts where it has measured a side as small.
+    allowed part of an item's symbols holds one of any (allowed + 1) of them, so only the item's rarest (allowed + 1) symbols are looked up. The lesser
+    sides of the joins are written first: the planner knows their size and broadcasts those below its threshold, others are shuffled.
     """
-    asked = symbols(items, "item_id").withColumn("size", F.size("symbols")).filter("size > 0")
+    asked = written(symbols(items, "item_id").withColumn("size", F.size("symbols")).filter("size > 0"))
     held = written(symbols(docs, "doc_id"))
     each = held.select("doc_id", F.explode("symbols").alias("symbol"))
     wanted = asked.select("item_id", "size", F.explode("symbols").alias("symbol"))
-    frequency = each.join(wanted.select("symbol").distinct(), "symbol", "left_semi").groupBy("symbol").agg(F.count("*").alias("f"))
+    vocabulary = written(wanted.select("symbol").distinct())
+    frequency = each.join(vocabulary, "symbol", "left_semi").groupBy("symbol").agg(F.count("*").alias("f"))
     rank = F.row_number().over(Window.partitionBy("item_id").orderBy("f", "symbol"))
     allowed = F.expr(f"size - CAST(ceil({tenths} * size / 10) AS INT)")
-    rare = wanted.join(frequency, "symbol", "left").na.fill(0, ["f"]).withColumn("rank", rank).filter(F.col("rank") <= allowed + 1).filter("f > 0").select("item_id", "symbol")
-    pairs = each.join(rare, "symbol").select("item_id", "doc_id").distinct()
+    rare = written(wanted.join(frequency, "symbol", "left").na.fill(0, ["f"]).withColumn("rank", rank).filter(F.col("rank") <= allowed + 1).filter("f > 0").select("item_id", "symbol"))
+    pairs = written(each.join(rare, "symbol").select("item_id", "doc_id").distinct())
+    forget(vocabulary, rare)
     both = pairs.join(asked, "item_id").withColumnRenamed("symbols", "wanted").join(held, "doc_id")
     shared = both.select("item_id", "doc_id", "size", F.size(F.array_intersect("wanted", "symbols")).alias("shared"))
     return shared.filter(10 * F.col("shared") >= tenths * F.col("size")).select("item_id", "doc_id", F.round(F.col("shared") / F.col("size"), 6).alias("overlap"))
