@@ -115,7 +115,7 @@ def overlaps(items: DataFrame, docs: DataFrame, tenths: int = 9) -> DataFrame:
     rare = written(wanted.join(frequency, "symbol", "left").na.fill(0, ["f"]).withColumn("rank", rank).filter(F.col("rank") <= allowed + 1).filter("f > 0").select("item_id", "symbol"))
     pairs = written(each.join(rare, "symbol").select("item_id", "doc_id").distinct())
     forget(vocabulary, rare)
-    both = pairs.join(asked, "item_id").withColumnRenamed("symbols", "wanted").join(held, "doc_id")
+    both = held.join(pairs, "doc_id").join(asked.withColumnRenamed("symbols", "wanted"), "item_id")
     shared = both.select("item_id", "doc_id", "size", F.size(F.array_intersect("wanted", "symbols")).alias("shared"))
     return shared.filter(10 * F.col("shared") >= tenths * F.col("size")).select("item_id", "doc_id", F.round(F.col("shared") / F.col("size"), 6).alias("overlap"))
 
