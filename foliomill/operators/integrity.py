@@ -7,15 +7,20 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from foliomill.operators.prose import flat
-from foliomill.sources.written import forget, written
+from foliomill.sources.written import written
+
+#: Items, bytes and rows that meet at a time, and pairs that go back to Spark at a time.
+ITEMS_A_BLOCK, BUNDLE_BYTES, BUNDLE_ROWS, PAIRS_A_BATCH = 512, 1 << 18, 512, 1 << 16
 
 
 def key_text(*columns: Column | str) -> Column:
@@ -87,37 +92,74 @@ def tokens(text: str) -> list[str]:
     return re.findall(r"\w+", flat(text))
 
 
-def symbols(texts: DataFrame, key: str) -> DataFrame:
-    """(key, symbols): the tokens of each text, the k-th copy of a token as a symbol of its own: what two texts share, counted by the lesser numbers, is a number of common symbols."""
-
-    @F.pandas_udf("array<string>")
-    def of(batch: pd.Series) -> pd.Series:
-        return pd.Series([[t if k == 0 else f"{t} {k}" for t, n in Counter(tokens(x)).items() for k in range(n)] for x in batch])
-
-    return texts.filter("text IS NOT NULL").select(F.col(key).cast("long").alias(key), of("text").alias("symbols"))
-
-
-def overlaps(items: DataFrame, docs: DataFrame, tenths: int = 9) -> DataFrame:
-    """(item_id, doc_id, overlap) of items (item_id, text) and documents (doc_id, text) that hold at least `tenths` (1 to 10) tenths of the item's tokens.
-
-    Tokens are runs of word characters of the case-folded text. Null texts, and items without tokens, have no rows; keys are unique. A document that lacks at most the
-    allowed part of an item's symbols holds one of any (allowed + 1) of them, so only the item's rarest (allowed + 1) symbols are looked up. The lesser
-    sides of the joins are written first: the planner knows their size and broadcasts those below its threshold, others are shuffled.
+def _bundles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, text) as rows of lists, each of at most BUNDLE_ROWS texts and, but for a single one, about BUNDLE_BYTES."""
+    for batch in batches:
+        size = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
+        start = taken = 0
+        for end, n in enumerate(size):
+            if end > start and (taken + n > BUNDLE_BYTES or end - start == BUNDLE_ROWS):
+                yield _one_row(batch.slice(start, end - start))
+                start, taken = end, 0
+            taken += n
+        if start < batch.num_rows:
+            yield _one_row(batch.slice(start))
+
+
+def _one_row(rows: pa.RecordBatch) -> pa.RecordBatch:
+    ends = pa.array([0, rows.num_rows], pa.int32())
+    return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(ends, pa.concat_arrays([c])) for c in rows.columns], ["ids", "texts"])
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(item_id, doc_id, shared, size) of all pairs of rows (ids, texts, item_ids, item_texts) of lists."""
+    block, held = None, {}
+    for batch in batches:
+        for at in range(batch.num_rows):
+            ids, texts, item_ids, item_texts = (c[at].values for c in batch.columns)
+            if block is None or not (item_ids.equals(block[0]) and item_texts.equals(block[1])):
+                block, held = (item_ids, item_texts), {}
+                sizes = np.zeros(len(item_ids), np.int32)
+                for i, text in enumerate(item_texts):
+                    said = tokens(text.as_py())
+                    sizes[i] = len(said)
+                    # the k-th copy of a token is a symbol of its own, so that a lesser count is a number of shared symbols
+                    for token, n in Counter(said).items():
+                        holders = held.setdefault(token, [])
+                        holders.extend([] for _ in range(n - len(holders)))
+                        for k in range(n):
+                            holders[k].append(i)
+                held = {t: [np.array(x, np.int32) for x in holders] for t, holders in held.items()}
+            made, seen = [], 0
+            for i, text in enumerate(texts):
+                have = Counter(t for t in tokens(text.as_py()) if t in held)
+                found = [x for t, n in have.items() for x in held[t][:n]]
+                made.append(np.bincount(np.concatenate(found), minlength=len(sizes)) if found else np.zeros(len(sizes), np.int64))
+                seen += len(sizes)
+                if seen >= PAIRS_A_BATCH or i + 1 == len(texts):
+                    docs = np.repeat(ids.to_numpy()[i + 1 - len(made) : i + 1], len(sizes))
+                    columns = [np.tile(item_ids.to_numpy(), len(made)), docs, np.concatenate(made).astype(np.int32), np.tile(sizes, len(made))]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["item_id", "doc_id", "shared", "size"])
+                    made, seen = [], 0
+
+
+def overlaps(items: DataFrame, docs: DataFrame, tenths: int | None = None) -> DataFrame:
+    """A8 of every item (item_id, text) with the whole text of every document (doc_id, text): item_id, doc_id, overlap; with `tenths` (1 to 10) only
+    of items with tokens, and the pairs where the document holds at least so many tenths of the item's tokens.
+
+    Tokens are runs of word characters of the case-folded text; null texts are left out, and an item without tokens has no overlap. Bundles of documents
+    meet blocks of items: these are written first, so that the planner knows their size and broadcasts them only below its threshold.
     """
-    asked = written(symbols(items, "item_id").withColumn("size", F.size("symbols")).filter("size > 0"))
-    held = written(symbols(docs, "doc_id"))
-    each = held.select("doc_id", F.explode("symbols").alias("symbol"))
-    wanted = asked.select("item_id", "size", F.explode("symbols").alias("symbol"))
-    vocabulary = written(wanted.select("symbol").distinct())
-    frequency = each.join(vocabulary, "symbol", "left_semi").groupBy("symbol").agg(F.count("*").alias("f"))
-    rank = F.row_number().over(Window.partitionBy("item_id").orderBy("f", "symbol"))
-    allowed = F.expr(f"size - CAST(ceil({tenths} * size / 10) AS INT)")
-    rare = written(wanted.join(frequency, "symbol", "left").na.fill(0, ["f"]).withColumn("rank", rank).filter(F.col("rank") <= allowed + 1).filter("f > 0").select("item_id", "symbol"))
-    pairs = written(each.join(rare, "symbol").select("item_id", "doc_id").distinct())
-    forget(vocabulary, rare)
-    both = held.join(pairs, "doc_id").join(asked.withColumnRenamed("symbols", "wanted"), "item_id")
-    shared = both.select("item_id", "doc_id", "size", F.size(F.array_intersect("wanted", "symbols")).alias("shared"))
-    return shared.filter(10 * F.col("shared") >= tenths * F.col("size")).select("item_id", "doc_id", F.round(F.col("shared") / F.col("size"), 6).alias("overlap"))
+    asked = items.filter("text IS NOT NULL").select(F.col("item_id").cast("long"), "text")
+    n, size = asked.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    share = F.pmod(F.xxhash64("item_id"), F.lit(max(-(-n // ITEMS_A_BLOCK), -(-size // BUNDLE_BYTES), 1)))
+    each = F.sort_array(F.collect_list(F.struct("item_id", "text")))
+    blocks = written(asked.groupBy(share).agg(each.alias("i")).select(F.col("i.item_id").alias("item_ids"), F.col("i.text").alias("item_texts")))
+    bundles = docs.filter("text IS NOT NULL").select(F.col("doc_id").cast("long"), "text").mapInArrow(_bundles, "ids array<long>, texts array<string>")
+    made = bundles.crossJoin(blocks).mapInArrow(_shared, "item_id long, doc_id long, shared int, size int")
+    if tenths is not None:
+        made = made.filter((F.col("size") > 0) & (10 * F.col("shared") >= tenths * F.col("size")))
+    return made.select("item_id", "doc_id", F.round(F.col("shared") / F.greatest("size", F.lit(1)), 6).alias("overlap"))
 
 
 def text_hygiene(df: DataFrame, text: str = "text") -> DataFrame:

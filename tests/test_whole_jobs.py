@@ -25,7 +25,17 @@ def test_token_overlap_of_all_pairs(spark, sf):
     docs = [r for r in spark.read.parquet(f"{sf}/documents.parquet").collect() if r["text"] is not None]
     found = {(r["item_id"], r["doc_id"]): r["overlap"] for r in entry.queries()["token_overlap"](spark, sf).collect()}
     every = {(b["item_id"], d["doc_id"]): overlap(b["text"], d["text"]) for b in items for d in docs}
-    assert found and found == pytest.approx({k: v for k, v in every.items() if v >= 0.9}, abs=1e-6)
+    assert len(found) == len(items) * len(docs) and found == pytest.approx(every, abs=1e-6)
+
+
+def test_overlaps_of_all_pairs_of_bundles_and_blocks(spark, monkeypatch):
+    items = spark.createDataFrame([(1, "a a b"), (2, ""), (3, None), (4, "x\ny")], "item_id long, text string")
+    docs = spark.createDataFrame([(900, "z " * 500 + "a b a"), (901, "a"), (902, None), (903, " \t ")], "doc_id long, text string").coalesce(1)
+    every = {(1, 900): 1.0, (1, 901): 0.333333, (1, 903): 0.0, (2, 900): 0.0, (2, 901): 0.0, (2, 903): 0.0, (4, 900): 0.0, (4, 901): 0.0, (4, 903): 0.0}
+    for a_block in (512, 1):
+        monkeypatch.setattr(I, "ITEMS_A_BLOCK", a_block)
+        rows = I.overlaps(items, docs).collect()
+        assert len(rows) == len(every) and {(r["item_id"], r["doc_id"]): r["overlap"] for r in rows} == every
 
 
 def test_overlap_of_late_passages_ties_and_odd_texts(spark):
