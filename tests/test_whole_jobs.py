@@ -4,6 +4,7 @@ import random
 import re
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 
 import __spark_entry__ as entry
@@ -84,3 +85,17 @@ def test_close_candidates_are_kept(spark):
     both = {i: prose.comparable(a, t) for i, t in enumerate(texts)}
     assert found == {i: ratio for i, (ratio, accepted) in both.items() if accepted}
     assert {0, 3} <= set(found) and 4 not in found
+
+
+def test_overlaps_hold_bounded_portions(monkeypatch):
+    monkeypatch.setattr(I, "BUNDLE_BYTES", 1000)
+    monkeypatch.setattr(I, "PAIRS_A_BATCH", 64)
+    texts = ["w " * (1 + i % 90) for i in range(2000)] + ["z " * 5000, "w"]
+    docs = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], ["doc_id", "text"])
+    bundles = list(I._bundles(iter([docs])))
+    assert [t for b in bundles for t in b.column(1)[0].as_py()] == texts and [i for b in bundles for i in b.column(0)[0].as_py()] == list(range(len(texts)))
+    assert all(len(b.column(1)[0]) == 1 or len(b.column(1)[0]) <= I.BUNDLE_ROWS and sum(map(len, b.column(1)[0].as_py())) <= 1000 for b in bundles)
+    items = [pa.array([list(range(10))], pa.list_(pa.int64())), pa.array([["w w"] * 10], pa.list_(pa.string()))]
+    pairs = list(I._shared(pa.RecordBatch.from_arrays([*b.columns, *items], ["ids", "texts", "item_ids", "item_texts"]) for b in bundles))
+    assert sum(p.num_rows for p in pairs) == 10 * len(texts) and max(p.num_rows for p in pairs) < 64 + 10
+    assert sum(sum(p.column(2).to_pylist()) for p in pairs) == sum(10 * min(2, t.count("w")) for t in texts)
