@@ -1,5 +1,7 @@
 """Scalar rules, layout folds and text operators on small cases."""
 
+import random
+import time
 import uuid
 
 import pytest
@@ -184,3 +186,21 @@ def test_source_descriptors():
     for change in (('"https://example.org/a.pdf"', '"file:///a.pdf"'), ("https://", "https://u:p@"), ("0" * 64, "A" * 64), ('"size":5', '"size":0'), ('"a.pdf"}', '"../a.pdf"}'), ('"size"', '"more":1,"size"')):
         assert tools.descriptor_faults(good.replace(*change).encode())
     assert tools.descriptor_faults(b"\xef\xbb\xbf" + good.encode()) and tools.descriptor_faults(good.encode() + b"\r\n")
+
+
+def test_lines_are_folded_as_one_by_one(spark):
+    r = random.Random(3)
+    bits = ["nsmskmHzx", "ms", "kmA", "aBC", "δx", "µ", "-", "self-", "and", "or-else", "a  b", " ", "\t", " ", "end ", "Hz", "b-", "é", "nsms", "q", ""]
+    rows = [(i, [" ".join(r.choices(bits, k=r.randrange(1, 5))) if r.random() < 0.7 else "".join(r.choices(bits, k=r.randrange(0, 6))) for _ in range(r.randrange(1, 9))]) for i in range(600)]
+    t = F.col("texts")
+    plain = F.aggregate(F.slice(t, 2, F.greatest(F.size(t) - 1, F.lit(0))), F.element_at(t, 1), S.joined_lines)
+    got = spark.createDataFrame(rows, "i int, texts array<string>").select("texts", plain.alias("plain"), layout._joined(t).alias("joined")).collect()
+    assert [(x["texts"], x["joined"]) for x in got] == [(x["texts"], x["plain"]) for x in got]
+
+
+def test_many_lines_of_a_reference_take_no_square_of_time(spark):
+    started = time.monotonic()
+    n = 12_000
+    lines = spark.range(1).select(F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.concat(F.lit("word and more of a line "), i.cast("string"))).alias("texts"))
+    assert lines.select(F.length(layout._joined(F.col("texts")))).first()[0] == sum(25 + len(str(i)) for i in range(1, n + 1)) - 1
+    assert time.monotonic() - started < 60
