@@ -14,9 +14,9 @@ import os
 import re
 import shutil
 import tempfile
+from collections import namedtuple
 from collections.abc import Callable, Iterator
 from pathlib import Path
-from types import SimpleNamespace
 from xml.sax.saxutils import escape, quoteattr
 
 import pyarrow as pa
@@ -43,11 +43,12 @@ def with_ids(blocks: DataFrame) -> DataFrame:
     return blocks.withColumn("element_id", F.when(F.col("kind") == "title", F.lit("title-000002")).otherwise(F.concat(prefix, F.lit("-"), F.lpad(shifted.cast("string"), 6, "0"))))
 
 
-def documents(blocks: DataFrame, *, journal: str = "Unknown publication", language: str = "en") -> DataFrame:
-    """(doc_id, xml, nodes): each document's XML, and (element_id, nth block, part) of its addressable elements in document order."""
-    schema = "doc_id long, xml string, nodes array<struct<element_id:string,nth:int,part:string>>"
+def documents(blocks: DataFrame, *, journal: str = "Unknown publication", language: str = "en", texts: bool = False) -> DataFrame:
+    """(doc_id, xml, nodes): each document's XML, and (element_id, nth block, part) of its addressable elements in document order; `texts`: with their blocks' texts."""
+    fields = ["element_id", "nth", "part", *["text"] * texts]
+    schema = f"doc_id long, xml string, nodes array<struct<{','.join(f'{c}:int' if c == 'nth' else f'{c}:string' for c in fields)}>>"
 
-    def render(rows: list[SimpleNamespace]) -> tuple[str, list[tuple]]:
+    def render(rows: list[tuple]) -> tuple[str, list[tuple]]:
         by: dict[str, list] = {}
         for r in rows:
             by.setdefault(r.kind, []).append(r)
@@ -126,13 +127,21 @@ def documents(blocks: DataFrame, *, journal: str = "Unknown publication", langua
         return "".join(out), nodes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = pa.list_(pa.struct([("element_id", pa.string()), ("nth", pa.int32()), ("part", pa.string())]))
+        block = namedtuple("block", needed)
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                made = [render([SimpleNamespace(**r) for r in rows]) for rows in part.column(1).to_pylist()]
-                nodes = [[{"element_id": i, "nth": n, "part": x} for i, n, x in found] for _, found in made]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([xml for xml, _ in made], pa.string()), pa.array(nodes, kinds)], ["doc_id", "xml", "nodes"])
+                xmls, ends, found = [], [0], []
+                for held in part.column(1):
+                    rows = [block(*r) for r in zip(*[c.to_pylist() for c in held.values.flatten()], strict=True)]
+                    xml, nodes = render(rows)
+                    said = {r.nth: r.text for r in rows} if texts else {}
+                    found += [(*x, said.get(x[1])) for x in nodes] if texts else nodes
+                    xmls.append(xml)
+                    ends.append(len(found))
+                columns = [pa.array(c, pa.int32() if name == "nth" else pa.string()) for name, c in zip(fields, zip(*found, strict=True) if found else [()] * len(fields), strict=True)]
+                nodes = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(columns, fields))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(xmls, pa.string()), nodes], ["doc_id", "xml", "nodes"])
 
     needed = ["nth", "kind", "text", "element_id", *[c for c in blocks.columns if c == "marks"]]
     gathered = blocks.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.array_sort(F.collect_list(F.struct(*needed))).alias("rows"))

@@ -95,12 +95,13 @@ def consistency(nodes: DataFrame, elements: DataFrame) -> DataFrame:
     @F.pandas_udf("boolean")
     def fine(final: pd.Series, candidates: pd.Series, after: pd.Series) -> pd.Series:
         none: tuple = ()
-        return pd.Series([agrees(f, none if c is None else c, none if a is None else a) for f, c, a in zip(final, candidates, after, strict=True)])
+        return pd.Series([f is None or agrees(f, none if c is None else c, none if a is None else a) for f, c, a in zip(final, candidates, after, strict=True)])
 
-    both = asked.join(records, ["package", "element_id"], "left")
-    lost = both.filter("known IS NULL").select("package", F.lit("provenance_missing").alias("code"), "element_id")
-    differ = both.filter("known AND tag <> 'fig'").filter(~fine("spaced", "candidates", "after"))
-    return lost.unionByName(differ.select("package", F.lit("candidate_text_mismatch").alias("code"), "element_id"))
+    # one join for both codes; what is not compared goes to the tasks as null
+    both = asked.join(records, ["package", "element_id"], "left").withColumn("compared", F.col("known") & (F.col("tag") != "fig"))
+    both = both.withColumn("fine", fine(F.when(F.col("compared"), F.col("spaced")), F.when(F.col("compared"), F.col("candidates")), F.when(F.col("compared"), F.col("after"))))
+    code = F.when(F.col("known").isNull(), "provenance_missing").when(~F.col("fine"), "candidate_text_mismatch")
+    return both.select("package", code.alias("code"), "element_id").filter("code IS NOT NULL")
 
 
 def resource_findings(elements: DataFrame, files: DataFrame, facts: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from foliomill.functions import scalars as S
 from foliomill.operators import golden as G
-from foliomill.sources.bridge import BOXES, ROWS, boxes
+from foliomill.sources.bridge import BOXES, boxes, page_numbers
 from foliomill.sources.written import written
 
 #: What the changed packages have otherwise; the same words in Spark and in the oracle.
@@ -27,8 +27,7 @@ def _json(**values: Column) -> Column:
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, document_sha256, pages): numbers of the pages that hold boxes."""
     d = spark.read.parquet(f"{sf_dir}/documents.parquet").filter("text IS NOT NULL")
-    pages = F.array_distinct(F.array_compact(F.transform(F.split("text", "\n", -1), lambda line, i: F.when(F.trim(line) != "", (F.floor(i / ROWS) + 1).cast("int")))))
-    return d.select(F.col("doc_id").cast("long").alias("doc_id"), F.sha2(F.encode("text", "UTF-8"), 256).alias("document_sha256"), pages.alias("pages"))
+    return d.select(F.col("doc_id").cast("long").alias("doc_id"), F.sha2(F.encode("text", "UTF-8"), 256).alias("document_sha256"), page_numbers().alias("pages"))
 
 
 def _projection(spark: SparkSession, sf_dir: str, docs: DataFrame, changed: bool) -> DataFrame:

@@ -10,10 +10,11 @@ import hashlib
 import os
 import stat
 import unicodedata
-from collections.abc import Iterator, Sequence
+from collections.abc import Collection, Iterator, Mapping, Sequence
 from xml.parsers import expat
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -95,35 +96,42 @@ def _flat(text: str) -> str:
     return " ".join(unicodedata.normalize("NFC", text).split())
 
 
-def parsed(found: DataFrame, path: str = "content/document.xml") -> DataFrame:
+def parsed(found: DataFrame, path: str = "content/document.xml", texts: Mapping[str, Collection[str]] | None = None) -> DataFrame:
     """One row for each element of each (package, content); for one that does not parse one row with its error. `trail` holds the tags from
-    the root on; `flat` is the text of elements with an id and of paragraphs in NFC with single blanks, `spaced` the same with blanks between runs of text."""
+    the root on; `flat` is the text of elements with an id and of paragraphs in NFC with single blanks, `spaced` the same with blanks between runs of text. `texts` names, by column, the tags whose own_text, full_text, flat and spaced are wanted; others are null."""
+    types = {"int": pa.int32(), "string": pa.string(), "map<string,string>": pa.map_(pa.string(), pa.string())}
+    schema = pa.schema([(c.split()[0], types[c.split()[1]]) for c in NODES.split(", ")])
 
-    def table(rows: list[tuple]) -> pd.DataFrame:
-        out = pd.DataFrame(rows, columns=[c.split()[0] for c in NODES.split(", ")])
-        for c in ("seq", "parent", "depth", "line"):
-            out[c] = out[c].astype("Int32")
-        return out
+    def table(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def said(column: str, tag: str) -> bool:
+        return texts is None or tag in texts.get(column, ())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, size = [], 0
         for batch in batches:
-            for package, data in zip(batch["package"], batch["content"], strict=True):
-                nodes, error, line = parse_xml(bytes(data))
+            for package, data in zip(*batch.columns, strict=True):
+                package = package.as_py()
+                nodes, error, line = parse_xml(data.as_py())
                 if error:
-                    rows.append((package, path, 0, None, 0, None, None, line, {}, None, None, None, None, None, error))
+                    rows.append((package, path, 0, None, 0, None, None, line, [], None, None, None, None, None, error))
                 for i, n in enumerate(nodes):
-                    full = "".join(n["full"])
-                    read = n["id"] is not None or n["tag"] == "p"
-                    flat, spaced = (_flat(full), _flat(" ".join(x for x in n["full"] if x.strip()))) if read else (None, None)
-                    rows.append((package, path, i, n["parent"], n["depth"], n["tag"], n["id"], n["line"], n["attrs"], "".join(n["own"]), full, n["trail"], flat, spaced, None))
-                    size += 200 + 3 * len(full)
+                    tag, runs = n["tag"], n["full"]
+                    read = n["id"] is not None or tag == "p"
+                    full = "".join(runs) if said("full_text", tag) else None
+                    own = "".join(n["own"]) if said("own_text", tag) else None
+                    flat = _flat("".join(runs)) if read and said("flat", tag) else None
+                    spaced = _flat(" ".join(x for x in runs if x.strip())) if read and said("spaced", tag) else None
+                    rows.append((package, path, i, n["parent"], n["depth"], tag, n["id"], n["line"], list(n["attrs"].items()), own, full, n["trail"], flat, spaced, None))
+                    size += 200 + sum(len(x) for x in (full, flat, spaced) if x)
                     if size > PARSED_CHARS:  # elements hold the texts of those inside them: rows go on in bounded portions
                         yield table(rows)
                         rows, size = [], 0
-        yield table(rows)
+        if rows:
+            yield table(rows)
 
-    return found.select("package", "content").mapInPandas(run, NODES)
+    return found.select("package", "content").mapInArrow(run, NODES)
 
 
 def xml_nodes(found: DataFrame, path: str = "content/document.xml") -> DataFrame:

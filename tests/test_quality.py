@@ -94,3 +94,16 @@ def test_command(spark, tmp_path, capsys):
     (root / "content/document.xml").write_text("<article>")
     assert command.main(["quality", str(root)]) == 2
     assert command.main(["query", "no_such_query", "x", "y"]) == 2
+
+
+def test_consistency_joins_once(spark):
+    elements = spark.createDataFrame([record("title-000002", [("ocr", "Nothing alike here")])], RECORDS)
+    plan = Q.consistency(nodes(spark, XML), elements)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join LeftOuter") == 1 and plan.count("MapInArrow") == 1
+
+
+def test_only_wanted_texts_are_read(spark):
+    found = spark.createDataFrame([("k0", bytearray(XML.encode()))], "package string, content binary")
+    whole, some = (parsed(found, texts=t).orderBy("seq").collect() for t in (None, {"own_text": {"label"}, "flat": {"p"}}))
+    assert [(r["tag"], r["id"], r["attrs"], r["trail"]) for r in whole] == [(r["tag"], r["id"], r["attrs"], r["trail"]) for r in some]
+    assert [(r["own_text"], r["flat"], r["full_text"], r["spaced"]) for r in some] == [(r["own_text"] if r["tag"] == "label" else None, r["flat"] if r["tag"] == "p" else None, None, None) for r in whole]
