@@ -204,3 +204,12 @@ def test_many_lines_of_a_reference_take_no_square_of_time(spark):
     lines = spark.range(1).select(F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.concat(F.lit("word and more of a line "), i.cast("string"))).alias("texts"))
     assert lines.select(F.length(layout._joined(F.col("texts")))).first()[0] == sum(25 + len(str(i)) for i in range(1, n + 1)) - 1
     assert time.monotonic() - started < 60
+
+
+def test_front_lines_need_no_join(spark):
+    rows = [("A Title of the Work", (0.2, 0.1, 0.8, 0.13), 17), ("Ada Lovelace, Alan Turing", (0.2, 0.2, 0.8, 0.22), 12), ("small, print", (0.2, 0.22, 0.8, 0.23), 10.6), ("1", (0.41, 0.2, 0.42, 0.21), 8), ("2,†", (0.79, 0.2, 0.81, 0.21), 8), ("Abstract", (0.4, 0.4, 0.5, 0.42), 11), ("Later, on", (0.2, 0.7, 0.8, 0.72), 12), ("3", (0.2, 0.8, 0.3, 0.82), 8)]
+    found = layout.front_lines(boxes(spark, rows).unionByName(boxes(spark, [("Not, here", (0.2, 0.2, 0.8, 0.22), 12)], 2)))
+    assert sorted((r["seq"], r["kind"], r["text"]) for r in found.collect()) == [(1, "author", "Ada Lovelace, Alan Turing"), (3, "marker", "1"), (4, "marker", "2,†")]
+    assert layout.front_lines(boxes(spark, rows[:1])).count() == 0 == layout.front_lines(boxes(spark, rows, 2)).count()
+    for df in (found, layout.front_matter(boxes(spark, rows))):
+        assert "Join" not in df._jdf.queryExecution().optimizedPlan().toString()
