@@ -111,6 +111,24 @@ def _one_row(rows: pa.RecordBatch) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(ends, pa.concat_arrays([c])) for c in rows.columns], ["ids", "texts"])
 
 
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (doc_id, text, block, item_ids, item_texts) as rows of lists for `_shared`. A block's items stand in its first row of a task only and are held."""
+    names, blocks = ["ids", "texts", "item_ids", "item_texts"], {}
+    for batch in batches:
+        numbers = batch.column(2)
+        for at in np.flatnonzero(batch.column(3).is_valid().to_numpy(zero_copy_only=False)):
+            blocks[numbers[at].as_py()] = [pa.array([c[at].as_py()], c.type) for c in batch.columns[3:]]
+        for block in pc.unique(numbers).to_pylist():
+            own = pc.equal(numbers, block)
+            rows = batch.select([0, 1])
+            for bundle in _bundles(iter([rows if pc.all(own).as_py() else rows.filter(own)])):
+                yield pa.RecordBatch.from_arrays([*bundle.columns, *blocks[block]], names)
+
+
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return _shared(_met(batches))
+
+
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(item_id, doc_id, shared, size) of all pairs of rows (ids, texts, item_ids, item_texts) of lists."""
     block, held = None, {}
@@ -147,16 +165,19 @@ def overlaps(items: DataFrame, docs: DataFrame, tenths: int | None = None) -> Da
     """A8 of every item (item_id, text) with the whole text of every document (doc_id, text): item_id, doc_id, overlap; with `tenths` (1 to 10) only
     of items with tokens, and the pairs where the document holds at least so many tenths of the item's tokens.
 
-    Tokens are runs of word characters of the case-folded text; null texts are left out, and an item without tokens has no overlap. Bundles of documents
-    meet blocks of items: these are written first, so that the planner knows their size and broadcasts them only below its threshold.
+    Tokens are runs of word characters of the case-folded text; null texts are left out, and an item without tokens has no overlap. Documents
+    meet blocks of items: these are written first, so that the planner knows their size and broadcasts them only below its threshold. Python gets a
+    document's text once for each block, and a block's items with the first document of a partition.
     """
     asked = items.filter("text IS NOT NULL").select(F.col("item_id").cast("long"), "text")
     n, size = asked.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     share = F.pmod(F.xxhash64("item_id"), F.lit(max(-(-n // ITEMS_A_BLOCK), -(-size // BUNDLE_BYTES), 1)))
     each = F.sort_array(F.collect_list(F.struct("item_id", "text")))
-    blocks = written(asked.groupBy(share).agg(each.alias("i")).select(F.col("i.item_id").alias("item_ids"), F.col("i.text").alias("item_texts")))
-    bundles = docs.filter("text IS NOT NULL").select(F.col("doc_id").cast("long"), "text").mapInArrow(_bundles, "ids array<long>, texts array<string>")
-    made = bundles.crossJoin(blocks).mapInArrow(_shared, "item_id long, doc_id long, shared int, size int")
+    blocks = written(asked.groupBy(share.alias("block")).agg(each.alias("i")).select("block", F.col("i.item_id").alias("item_ids"), F.col("i.text").alias("item_texts")))
+    nth = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))  # in its partition, from 0
+    met = docs.filter("text IS NOT NULL").select(F.col("doc_id").cast("long"), "text", nth.alias("nth")).crossJoin(blocks)
+    first = [F.when(F.col("nth") == 0, F.col(c)).alias(c) for c in ("item_ids", "item_texts")]
+    made = met.select("doc_id", "text", "block", *first).mapInArrow(_pairs, "item_id long, doc_id long, shared int, size int")
     if tenths is not None:
         made = made.filter((F.col("size") > 0) & (10 * F.col("shared") >= tenths * F.col("size")))
     return made.select("item_id", "doc_id", F.round(F.col("shared") / F.greatest("size", F.lit(1)), 6).alias("overlap"))

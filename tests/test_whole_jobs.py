@@ -99,3 +99,35 @@ def test_overlaps_hold_bounded_portions(monkeypatch):
     pairs = list(I._shared(pa.RecordBatch.from_arrays([*b.columns, *items], ["ids", "texts", "item_ids", "item_texts"]) for b in bundles))
     assert sum(p.num_rows for p in pairs) == 10 * len(texts) and max(p.num_rows for p in pairs) < 64 + 10
     assert sum(sum(p.column(2).to_pylist()) for p in pairs) == sum(10 * min(2, t.count("w")) for t in texts)
+
+
+@pytest.mark.parametrize(("threshold", "join"), [("10m", "BuildRight"), ("-1", "CartesianProduct"), ("-1", "BuildLeft")])
+def test_overlaps_send_texts_through_python_once(spark, monkeypatch, threshold, join):
+    r = random.Random(7)
+    words = [f"w{i}" for i in range(9)]
+    items = [(i, " ".join(r.choices(words, k=r.randrange(0, 9)))) for i in range(7)]
+    docs = [(i, None if i % 8 == 3 else " ".join(r.choices(words, k=r.randrange(0, 30)))) for i in range(50)]
+    monkeypatch.setattr(I, "ITEMS_A_BLOCK", 2)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    try:
+        texts = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+        made = I.overlaps(spark.createDataFrame(items, "item_id long, text string"), texts.hint("broadcast") if join == "BuildLeft" else texts)
+        rows = made.collect()
+        assert join in made._jdf.queryExecution().executedPlan().toString()
+        assert made._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1  # two held a task's texts twice
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    every = {(i, d): overlap(a, b) for i, a in items for d, b in docs if b is not None}
+    assert len(rows) == len(every) and {(x["item_id"], x["doc_id"]): x["overlap"] for x in rows} == pytest.approx(every, abs=1e-6)
+
+
+def test_items_are_sent_once_in_a_task():
+    def batch(rows):
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.string(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.string())))], ["doc_id", "text", "block", "item_ids", "item_texts"])
+
+    first = batch([(1, "a b", 0, [10, 11], ["a", "b c"]), (1, "a b", 1, [12], ["b b"]), (2, "c", 0, None, None), (2, "c", 1, None, None)])
+    pairs = list(I._pairs(iter([first, batch([(3, "b b", 1, None, None)]), batch([(3, "b b", 0, None, None)])])))
+    assert sorted(tuple(x.values()) for p in pairs for x in p.to_pylist()) == [(10, 1, 1, 1), (10, 2, 0, 1), (10, 3, 0, 1), (11, 1, 1, 2), (11, 2, 1, 2), (11, 3, 1, 2), (12, 1, 1, 2), (12, 2, 0, 2), (12, 3, 2, 2)]
+    with pytest.raises(KeyError):  # never a pair without its items
+        list(I._pairs(iter([batch([(3, "b b", 1, None, None)])])))
